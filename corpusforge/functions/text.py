@@ -35,10 +35,14 @@ def char_windows(c, n: int = 3, newline: bool = True) -> Column:
     The line keeps its terminating newline (``newline=True``), as lines read
     from a file do. A line shorter than ``n`` yields one window: the short
     string itself, which can never equal a full ``n``-gram.
+
+    One left-to-right regex pass with a zero-width lookahead captures every
+    overlapping window in O(length); indexing code points with ``substring``
+    would rescan the UTF-8 bytes for every position.
     """
     s = F.concat(col_of(c), F.lit("\n")) if newline else col_of(c)
-    last = F.greatest(F.length(s) - F.lit(n - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, n))
+    grams = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.when(F.size(grams) > 0, grams).otherwise(F.array(s))
 
 
 def token_ngrams(toks, n: int) -> Column:

@@ -119,16 +119,18 @@ def kl_grid(gram_stream: DataFrame, train: list[str], dev: list[str], key_col: s
 
 
 def kl_divergence(train_counts: DataFrame, dev_counts: DataFrame, gram_col: str = "gram",
-                  n_col: str = "n", smoothing: int = 1) -> DataFrame:
-    """KL(dev ‖ train) of two count tables (full outer join of the keys)."""
-    j = (train_counts.select(gram_col, F.col(n_col).alias("_a"))
-         .join(dev_counts.select(gram_col, F.col(n_col).alias("_b")), gram_col, "full_outer"))
+                  n_col: str = "n", smoothing: int = 1, group_cols: list[str] | None = None) -> DataFrame:
+    """KL(dev ‖ train) of two count tables, per group: full outer join of the
+    keys (missing count = 0), ``+smoothing`` on the union, one aggregate."""
+    g = list(group_cols or [])
+    j = (train_counts.select(*g, gram_col, F.col(n_col).alias("_a"))
+         .join(dev_counts.select(*g, gram_col, F.col(n_col).alias("_b")), g + [gram_col], "full_outer"))
     s = float(smoothing)
     A = F.coalesce("_a", F.lit(0)) + s
     B = F.coalesce("_b", F.lit(0)) + s
-    agg = j.agg(F.sum(A).alias("sa"), F.sum(B).alias("sb"), F.sum(B * F.log(B / A)).alias("sbl"),
-                F.count(F.lit(1)).alias("n_grams"))
-    return agg.select(F.col("n_grams").cast("long"),
+    agg = j.groupBy(*g).agg(F.sum(A).alias("sa"), F.sum(B).alias("sb"), F.sum(B * F.log(B / A)).alias("sbl"),
+                            F.count(F.lit(1)).alias("n_grams"))
+    return agg.select(*g, F.col("n_grams").cast("long"),
                       F.round(F.col("sbl") / F.col("sb") + F.log(F.col("sa") / F.col("sb")), ROUND)
                       .alias("kl_dev_train"))
 

@@ -45,3 +45,204 @@ def q_kl_grid(spark, sf):
     from ..functions.text import char_windows
     grams = I.doc_lines(spark, sf).select("corpus", F.explode(char_windows("line", 3)).alias("gram"))
     return stats.kl_grid(grams, I.TRAIN_KEYS, I.DEV_KEYS)
+
+
+def _lang_lexicons(spark, sf):
+    lex = stats.lexicon(I.documents(spark, sf), "text", ["split", "lang"])
+    train = lex.where(F.col("split") == "train").drop("split")
+    dev = lex.where(F.col("split") == "dev").drop("split")
+    return train, dev
+
+
+@query("oov_stats")
+def q_oov_stats(spark, sf):
+    train, dev = _lang_lexicons(spark, sf)
+    return stats.oov_stats(train, dev, ["lang"])
+
+
+@query("oov_tokens")
+def q_oov_tokens(spark, sf):
+    train, dev = _lang_lexicons(spark, sf)
+    return stats.oov_tokens(train, dev, ["lang"]).select("lang", "token", F.col("n").cast("long"))
+
+
+@query("sample_oov")
+def q_sample_oov(spark, sf):
+    train, dev = _lang_lexicons(spark, sf)
+    oov = stats.oov_tokens(train, dev, ["lang"])
+    return stats.sample_oov(oov, 20, I.SEED, ["lang"]).select("lang", "rank", "token", F.col("n").cast("long"))
+
+
+@query("vocab_setops")
+def q_vocab_setops(spark, sf):
+    train, dev = _lang_lexicons(spark, sf)
+    return stats.vocab_setops(train, dev, ["lang"])
+
+
+@query("kl_divergence")
+def q_kl_divergence(spark, sf):
+    prof = stats.char_ngrams(I.doc_lines(spark, sf), "line", 3, ["split", "lang"])
+    train = prof.where(F.col("split") == "train").drop("split")
+    dev = prof.where(F.col("split") == "dev").drop("split")
+    return stats.kl_divergence(train, dev, group_cols=["lang"])
+
+
+@query("corpus_stats")
+def q_corpus_stats(spark, sf):
+    return stats.corpus_stats(I.doc_lines(spark, sf), "line", ["corpus"])
+
+
+@query("unique_tokens")
+def q_unique_tokens(spark, sf):
+    return stats.unique_tokens(I.doc_lines(spark, sf), "line", ["corpus"])
+
+
+@query("line_counts")
+def q_line_counts(spark, sf):
+    return stats.line_counts(I.doc_lines(spark, sf), ["lang", "split"])
+
+
+@query("corpus_lines")
+def q_corpus_lines(spark, sf):
+    from ..sources.lines import number_lines
+    lines = number_lines(I.documents(spark, sf), "doc_id", "text", ["corpus"])
+    return lines.select("corpus", "doc_id", F.col("line_in_doc").cast("long"), "line_no", "line")
+
+
+@query("grid_export")
+def q_grid_export(spark, sf):
+    from ..sources.sinks import format_grid
+    grid = q_kl_grid(spark, sf)
+    return format_grid(grid, "kl_dev_train", "train", "dev", I.DEV_KEYS, 2, row_order=I.TRAIN_KEYS)
+
+
+@query("stats_export")
+def q_stats_export(spark, sf):
+    from ..sources.sinks import stats_rows
+    return stats_rows(q_corpus_stats(spark, sf), "corpus")
+
+
+# ------------------------------------------------------------ corpus building
+
+def _line_ids(df):
+    return df.withColumn("line_id", F.concat_ws(":", F.col("doc_id").cast("string"),
+                                                F.col("line_in_doc").cast("string")))
+
+
+def _lang_corpus(spark, sf, lang):
+    """Lines of one language as a line file: ``line_no, line``."""
+    from ..sources.lines import number_lines
+    docs = I.documents(spark, sf).where(F.col("lang") == lang)
+    return number_lines(docs, "doc_id", "text").select("line_no", "line")
+
+
+@query("shuffle_rows")
+def q_shuffle_rows(spark, sf):
+    from ..operators.sampling import shuffle_positions
+    docs = I.documents(spark, sf).select("doc_id")
+    return shuffle_positions(docs, "doc_id", I.SEED, "pos")
+
+
+@query("head_rows")
+def q_head_rows(spark, sf):
+    from ..operators.sampling import head
+    return head(I.documents(spark, sf).select("doc_id", "lang"), 100, "doc_id", I.SEED)
+
+
+@query("tail_rows")
+def q_tail_rows(spark, sf):
+    from ..operators.sampling import head
+    return head(I.documents(spark, sf).select("doc_id", "lang"), 100, "doc_id", I.SEED, last=True)
+
+
+@query("split_corpus")
+def q_split_corpus(spark, sf):
+    from ..operators.sampling import split_corpus
+    lines = _line_ids(I.doc_lines(spark, sf).select("doc_id", "line_in_doc"))
+    out = split_corpus(lines, "line_id", 4096, 4096, I.SEED)
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), "split")
+
+
+@query("reshuffle_split")
+def q_reshuffle_split(spark, sf):
+    from ..operators.sampling import resplit
+    docs = I.documents(spark, sf).select("doc_id", "split")
+    train = docs.where(F.col("split") == "train").drop("split")
+    valid = docs.where(F.col("split") == "dev").drop("split")
+    return resplit(train, valid, "doc_id", seed=7)
+
+
+@query("size_matched_subsample")
+def q_size_matched_subsample(spark, sf):
+    from ..operators.sampling import subsample_to
+    from ..sources.lines import number_lines
+    lines = number_lines(I.documents(spark, sf), "doc_id", "text", ["source"])
+    ref = lines.where(F.col("source") == "src0")
+    out = subsample_to(lines, ref, "line_no", "split", ["source"])
+    return out.select("source", "doc_id", F.col("line_in_doc").cast("long"), "split")
+
+
+@query("bernoulli_sample")
+def q_bernoulli_sample(spark, sf):
+    from ..operators.sampling import sample_ratio
+    from ..sources.lines import number_lines
+    lines = _line_ids(number_lines(I.documents(spark, sf), "doc_id", "text", ["lang"]))
+    out = sample_ratio(lines, 0.3, "line_id", I.SEED, "line", "line_no")
+    return out.select("lang", "doc_id", F.col("line_in_doc").cast("long"))
+
+
+@query("concat_corpora")
+def q_concat_corpora(spark, sf):
+    p = I.pairs(spark, sf)
+    src = p.select("conv_id", "turn", F.lit("src").alias("side"), F.col("src").alias("text"))
+    tgt = p.select("conv_id", "turn", F.lit("tgt").alias("side"), F.col("tgt").alias("text"))
+    return src.unionByName(tgt)
+
+
+@query("augment_mix")
+def q_augment_mix(spark, sf):
+    from ..operators.sampling import augment_mix
+    nat = I.pairs(spark, sf)
+    syn = nat.select("conv_id", "turn", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    return augment_mix(syn, nat, 2).select("origin", "copy", "conv_id", "turn", "src", "tgt")
+
+
+@query("tsv_pairs")
+def q_tsv_pairs(spark, sf):
+    from ..sources.align import tsv_field
+    c = I.table(spark, sf, "conversations")
+    tsv = I.pairs(spark, sf).select("conv_id", "turn", F.concat_ws("\t", "src", "tgt").alias("line"))
+    no_tab = c.where(F.col("role") == "system").select("conv_id", "turn", F.col("text").alias("line"))
+    lines = tsv.unionByName(no_tab)
+    return lines.select("conv_id", "turn", tsv_field("line", 1).alias("f1"), tsv_field("line", 2).alias("f2"))
+
+
+@query("paste_align")
+def q_paste_align(spark, sf):
+    from ..sources.align import paste
+    return paste(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"))
+
+
+@query("zip_align")
+def q_zip_align(spark, sf):
+    from ..sources.align import zip_lines
+    en = _lang_corpus(spark, sf, "en").withColumn("label", F.lit("__label__en"))
+    es = _lang_corpus(spark, sf, "es")
+    return zip_lines("line_no", (en, "line", "src"), (en, "label", "src_label"), (es, "line", "tgt"))
+
+
+@query("swap_direction")
+def q_swap_direction(spark, sf):
+    from ..sources.align import canonical, paste
+    a = paste(_lang_corpus(spark, sf, "en"), _lang_corpus(spark, sf, "fr"))
+    a = a.select("line_no", F.lit("en").alias("src_lang"), F.lit("fr").alias("tgt_lang"), "src", "tgt")
+    b = paste(_lang_corpus(spark, sf, "es"), _lang_corpus(spark, sf, "de"))
+    b = b.select("line_no", F.lit("es").alias("src_lang"), F.lit("de").alias("tgt_lang"), "src", "tgt")
+    return canonical(a.unionByName(b))
+
+
+@query("build_parallel")
+def q_build_parallel(spark, sf):
+    from ..plans.pipelines import build_parallel
+    return build_parallel(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"), "fr", "en",
+                          n_val=1000, n_dev=1000, seed=I.SEED)

@@ -68,7 +68,7 @@ SELECT g.train, g.dev,
        round(100.0 * coalesce(m.n_uoov, 0) / nullif(t.uni, 0), 6) AS unique_oov
 FROM grid g LEFT JOIN miss m USING (train, dev) LEFT JOIN dev_tot t ON t.corpus = g.dev""")
 
-register("kl_grid", f"""WITH {LINES}, {GRID},
+KL_CTE = f"""{LINES}, {GRID},
 grams AS (
   SELECT corpus, substr(l, i, 3) AS gram
   FROM (SELECT corpus, line || chr(10) AS l FROM lines) x,
@@ -82,6 +82,197 @@ sm AS (
                  LEFT JOIN cnt b ON b.corpus = s.dev AND b.gram = s.gram),
 pq AS (
   SELECT train, dev, b / sum(b) OVER (PARTITION BY train, dev) AS p,
-         a / sum(a) OVER (PARTITION BY train, dev) AS q FROM sm)
-SELECT train, dev, count(*)::BIGINT AS n_grams, round(sum(p * ln(p / q)), 6) AS kl_dev_train
-FROM pq GROUP BY train, dev""")
+         a / sum(a) OVER (PARTITION BY train, dev) AS q FROM sm),
+klg AS (SELECT train, dev, count(*)::BIGINT AS n_grams, round(sum(p * ln(p / q)), 6) AS kl_dev_train
+        FROM pq GROUP BY train, dev)"""
+
+register("kl_grid", f"WITH {KL_CTE} SELECT * FROM klg")
+
+LANG_LEX = TOKENS + """,
+tl AS (SELECT split_part(corpus, ':', 2) AS lang, token, n FROM lex WHERE corpus LIKE 'train:%'),
+dl AS (SELECT split_part(corpus, ':', 2) AS lang, token, n FROM lex WHERE corpus LIKE 'dev:%'),
+oovt AS (SELECT d.lang, d.token, d.n FROM dl d
+         WHERE NOT EXISTS (SELECT 1 FROM tl t WHERE t.lang = d.lang AND t.token = d.token))"""
+
+register("oov_stats", f"""WITH {LANG_LEX}
+SELECT d.lang,
+       coalesce(sum(CASE WHEN o.token IS NOT NULL THEN d.n END), 0)::BIGINT AS n_oov,
+       sum(d.n)::BIGINT AS n_tokens,
+       count(o.token)::BIGINT AS n_unique_oov,
+       count(*)::BIGINT AS n_unique,
+       round(coalesce(sum(CASE WHEN o.token IS NOT NULL THEN d.n END), 0) / sum(d.n), 6) AS p_oov,
+       round(count(o.token) / count(*), 6) AS p_unique_oov
+FROM dl d LEFT JOIN oovt o ON o.lang = d.lang AND o.token = d.token
+GROUP BY d.lang""")
+
+register("oov_tokens", f"WITH {LANG_LEX} SELECT lang, token, n::BIGINT AS n FROM oovt")
+
+register("sample_oov", f"""WITH {LANG_LEX},
+r AS (SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || token), token) AS rank
+      FROM oovt)
+SELECT lang, rank::BIGINT AS rank, token, n::BIGINT AS n FROM r WHERE rank <= 20""")
+
+register("vocab_setops", f"""WITH {LANG_LEX},
+a AS (SELECT DISTINCT lang, token FROM tl), b AS (SELECT DISTINCT lang, token FROM dl),
+u AS (SELECT lang, token FROM a UNION SELECT lang, token FROM b)
+SELECT u.lang,
+       (SELECT count(*) FROM a WHERE a.lang = u.lang)::BIGINT AS n_a,
+       (SELECT count(*) FROM b WHERE b.lang = u.lang)::BIGINT AS n_b,
+       count(*)::BIGINT AS n_union,
+       (SELECT count(*) FROM (SELECT token FROM a WHERE a.lang = u.lang EXCEPT SELECT token FROM b WHERE b.lang = u.lang))::BIGINT AS n_a_minus_b,
+       (SELECT count(*) FROM (SELECT token FROM b WHERE b.lang = u.lang EXCEPT SELECT token FROM a WHERE a.lang = u.lang))::BIGINT AS n_b_minus_a
+FROM u GROUP BY u.lang""")
+
+GRAMS = """,
+grams AS (
+  SELECT corpus, split, lang, substr(l, i, 3) AS gram
+  FROM (SELECT corpus, split, lang, line || chr(10) AS l FROM lines) x,
+       range(1, greatest(length(l) - 2, 1) + 1) r(i)),
+cnt AS (SELECT corpus, split, lang, gram, count(*) AS n FROM grams GROUP BY ALL)"""
+
+register("kl_divergence", f"""WITH {LINES}{GRAMS},
+sm AS (
+  SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) + 1.0 AS a, coalesce(b.n, 0) + 1.0 AS b
+  FROM (SELECT * FROM cnt WHERE split = 'train') a
+  FULL OUTER JOIN (SELECT * FROM cnt WHERE split = 'dev') b ON a.lang = b.lang AND a.gram = b.gram),
+pq AS (SELECT lang, b / sum(b) OVER (PARTITION BY lang) AS p, a / sum(a) OVER (PARTITION BY lang) AS q FROM sm)
+SELECT lang, count(*)::BIGINT AS n_grams, round(sum(p * ln(p / q)), 6) AS kl_dev_train FROM pq GROUP BY lang""")
+
+UNIQ = r"""
+uniq AS (
+  SELECT corpus, count(DISTINCT t)::BIGINT AS n_unique FROM (
+    SELECT corpus, unnest(list_filter(string_split_regex(translate(line, ':;,?!"', '      '), '[ \n]+'),
+                                      lambda x: x <> '')) AS t FROM lines) GROUP BY corpus)"""
+
+register("unique_tokens", f"WITH {LINES}, {UNIQ} SELECT corpus, n_unique FROM uniq")
+
+CSTATS = f"""{LINES}, {UNIQ},
+sizes AS (
+  SELECT corpus, count(*)::BIGINT AS n_lines,
+         sum(len(list_filter(string_split_regex(line, '{WS}'), lambda t: t <> '')))::BIGINT AS n_tokens,
+         sum(strlen(line) + 1)::BIGINT AS n_bytes, sum(length(line) + 1)::BIGINT AS n_chars
+  FROM lines GROUP BY corpus),
+cstats AS (
+  SELECT s.corpus, n_lines, n_tokens, n_bytes, n_chars,
+         (n_tokens // n_lines)::BIGINT AS mean_line_tokens, (n_bytes // n_tokens)::BIGINT AS mean_token_bytes,
+         u.n_unique, (100 * u.n_unique // n_tokens)::BIGINT AS pct_unique
+  FROM sizes s LEFT JOIN uniq u USING (corpus))"""
+
+register("corpus_stats", f"WITH {CSTATS} SELECT * FROM cstats")
+
+register("stats_export", f"""WITH {CSTATS}
+SELECT corpus, concat_ws(' & ', corpus, n_lines, mean_line_tokens, mean_token_bytes, pct_unique) || ' \\\\' AS tex
+FROM cstats""")
+
+register("line_counts", f"WITH {LINES} SELECT lang, split, count(*)::BIGINT AS n_lines FROM lines GROUP BY lang, split")
+
+register("corpus_lines", f"""WITH {LINES}
+SELECT corpus, doc_id, line_in_doc::BIGINT AS line_in_doc,
+       (row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_in_doc) - 1)::BIGINT AS line_no, line
+FROM lines""")
+
+_TRAIN_ORDER = "[" + ", ".join(f"'train:{x}'" for x in LANGS) + "]"
+_CELLS = ", ".join(f"max(CASE WHEN dev = 'dev:{x}' THEN printf('%.2f', round(kl_dev_train, 2)) END) AS dev_{x}"
+                   for x in LANGS)
+_TEX = ", ".join(f"coalesce(dev_{x}, '')" for x in LANGS)
+register("grid_export", f"""WITH {KL_CTE},
+cells AS (SELECT train, {_CELLS} FROM klg GROUP BY train)
+SELECT train, coalesce(list_position({_TRAIN_ORDER}, train) - 1, 0)::BIGINT AS rank,
+       {", ".join(f"dev_{x}" for x in LANGS)},
+       concat_ws(' & ', train, {_TEX}) || ' \\\\' AS tex
+FROM cells""")
+
+
+def hash_unit_sql(expr: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def lang_file(lang: str, name: str) -> str:
+    return f"""{name} AS (SELECT (row_number() OVER (ORDER BY doc_id, line_in_doc) - 1)::BIGINT AS line_no, line
+  FROM lines WHERE lang = '{lang}')"""
+
+
+PAIRS = """pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS src, a.text AS tgt
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+register("shuffle_rows", """SELECT doc_id,
+  (row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1)::BIGINT AS pos FROM documents""")
+
+register("head_rows", """SELECT doc_id, lang FROM documents
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
+
+register("tail_rows", """SELECT doc_id, lang FROM documents
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)) DESC, doc_id DESC LIMIT 100""")
+
+register("split_corpus", f"""WITH {LINES},
+r AS (SELECT doc_id, line_in_doc,
+             row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_in_doc AS VARCHAR)),
+                                CAST(doc_id AS VARCHAR) || ':' || CAST(line_in_doc AS VARCHAR)) - 1 AS r
+      FROM lines)
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc,
+       CASE WHEN r < 4096 THEN 'val' WHEN r < 8192 THEN 'dev' ELSE 'train' END AS split FROM r""")
+
+register("reshuffle_split", f"""WITH {DOCS},
+n AS (SELECT count(*) AS n_train FROM docs WHERE split = 'train'),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos FROM docs)
+SELECT doc_id, CASE WHEN pos < (SELECT n_train FROM n) THEN 'train' ELSE 'valid' END AS split FROM p""")
+
+register("size_matched_subsample", f"""WITH {LINES},
+n AS (SELECT count(*) AS n_ref FROM lines WHERE source = 'src0' AND split = 'train'),
+t AS (SELECT source, doc_id, line_in_doc, split,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id, line_in_doc) - 1 AS pos
+      FROM lines WHERE split = 'train')
+SELECT source, doc_id, line_in_doc::BIGINT AS line_in_doc, split FROM t WHERE pos < (SELECT n_ref FROM n)
+UNION ALL
+SELECT source, doc_id, line_in_doc::BIGINT, split FROM lines WHERE split <> 'train'""")
+
+register("bernoulli_sample", f"""WITH {LINES},
+l AS (SELECT lang, doc_id, line_in_doc, line,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_in_doc) - 1 AS line_no,
+             CAST(doc_id AS VARCHAR) || ':' || CAST(line_in_doc AS VARCHAR) AS line_id FROM lines)
+SELECT lang, doc_id, line_in_doc::BIGINT AS line_in_doc FROM l
+WHERE ({hash_unit_sql('line_id')} <= 0.3 OR line_no = 0) AND line <> ''""")
+
+register("concat_corpora", f"""WITH {PAIRS}
+SELECT conv_id, turn, 'src' AS side, src AS text FROM pairs
+UNION ALL SELECT conv_id, turn, 'tgt' AS side, tgt AS text FROM pairs""")
+
+register("augment_mix", f"""WITH {PAIRS}
+SELECT 'syn' AS origin, 1 AS copy, conv_id, turn, tgt AS src, src AS tgt FROM pairs
+UNION ALL
+SELECT 'nat' AS origin, c.copy, conv_id, turn, src, tgt FROM pairs, (VALUES (1), (2)) c(copy)""")
+
+register("tsv_pairs", f"""WITH {PAIRS},
+l AS (SELECT conv_id, turn, src || chr(9) || tgt AS line FROM pairs
+      UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'system')
+SELECT conv_id, turn,
+       CASE WHEN strpos(line, chr(9)) = 0 THEN line ELSE split_part(line, chr(9), 1) END AS f1,
+       CASE WHEN strpos(line, chr(9)) = 0 THEN line ELSE split_part(line, chr(9), 2) END AS f2
+FROM l""")
+
+register("paste_align", f"""WITH {LINES}, {lang_file('fr', 'a')}, {lang_file('en', 'b')}
+SELECT coalesce(a.line_no, b.line_no) AS line_no, coalesce(a.line, '') AS src, coalesce(b.line, '') AS tgt
+FROM a FULL OUTER JOIN b ON a.line_no = b.line_no""")
+
+register("zip_align", f"""WITH {LINES}, {lang_file('en', 'a')}, {lang_file('es', 'b')}
+SELECT a.line_no, a.line AS src, '__label__en' AS src_label, b.line AS tgt FROM a JOIN b USING (line_no)""")
+
+
+def _paste(a: str, b: str) -> str:
+    return f"""SELECT coalesce(x.line_no, y.line_no) AS line_no, coalesce(x.line, '') AS src, coalesce(y.line, '') AS tgt
+  FROM {a} x FULL OUTER JOIN {b} y ON x.line_no = y.line_no"""
+
+
+register("swap_direction", f"""WITH {LINES}, {lang_file('en', 'en_f')}, {lang_file('fr', 'fr_f')},
+{lang_file('es', 'es_f')}, {lang_file('de', 'de_f')}
+SELECT line_no, 'en' AS src_lang, 'fr' AS tgt_lang, src, tgt FROM ({_paste('en_f', 'fr_f')})
+UNION ALL
+SELECT line_no, 'de' AS src_lang, 'es' AS tgt_lang, tgt AS src, src AS tgt FROM ({_paste('es_f', 'de_f')})""")
+
+register("build_parallel", f"""WITH {LINES}, {lang_file('fr', 'fr_f')}, {lang_file('en', 'en_f')},
+p AS ({_paste('fr_f', 'en_f')}),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(line_no AS VARCHAR)), line_no) - 1 AS r FROM p)
+SELECT line_no, CASE WHEN r < 1000 THEN 'val' WHEN r < 2000 THEN 'dev' ELSE 'train' END AS split,
+       'fr' AS src_lang, 'en' AS tgt_lang, src, tgt FROM r""")

@@ -1,0 +1,21 @@
+"""Composite jobs: each is one lazy plan over the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.sampling import split_corpus
+from ..sources.align import canonical, paste
+
+
+def build_parallel(src_lines: DataFrame, tgt_lines: DataFrame, src_lang: str, tgt_lang: str,
+                   n_val: int = 4096, n_dev: int = 4096, seed: int = 42,
+                   english_target: bool = True) -> DataFrame:
+    """Two aligned line files → shuffled val/dev/train pairs in canonical
+    direction: paste → seeded exact-size split → direction swap."""
+    pairs = paste(src_lines, tgt_lines)
+    split = split_corpus(pairs, "line_no", n_val, n_dev, seed)
+    out = split.select("line_no", "split", F.lit(src_lang).alias("src_lang"),
+                       F.lit(tgt_lang).alias("tgt_lang"), "src", "tgt")
+    return canonical(out, english_target=english_target)
