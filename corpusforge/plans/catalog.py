@@ -246,3 +246,73 @@ def q_build_parallel(spark, sf):
     from ..plans.pipelines import build_parallel
     return build_parallel(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"), "fr", "en",
                           n_val=1000, n_dev=1000, seed=I.SEED)
+
+
+# ------------------------------------------------------------------ filtering
+
+def _lid_model(spark, sf):
+    from ..operators.lid import lid_fit
+    train = I.doc_lines(spark, sf).where(F.col("split") == "train")
+    return lid_fit(train, "lang", "line", 3)
+
+
+@query("lid_fit")
+def q_lid_fit(spark, sf):
+    grams, langs = _lid_model(spark, sf)
+    return (grams.join(langs, "lang")
+            .select("lang", "gram", "n", F.round(F.col("ln_c1") - F.col("ln_denominator"), 6).alias("logp")))
+
+
+@query("lid_predict")
+def q_lid_predict(spark, sf):
+    from ..operators.lid import lid_predict
+    dev = I.doc_lines(spark, sf).where(F.col("split") == "dev").select("doc_id", "line_in_doc", "lang", "line")
+    pred = lid_predict(dev, _lid_model(spark, sf), ["doc_id", "line_in_doc"], "line")
+    return (dev.select("doc_id", "line_in_doc", "lang").join(pred, ["doc_id", "line_in_doc"])
+            .select("doc_id", F.col("line_in_doc").cast("long"), "lang", "pred", "pred_score"))
+
+
+@query("lid_filter")
+def q_lid_filter(spark, sf):
+    from ..operators.filters import lid_filter
+    from ..operators.lid import label_of, lid_predict
+    pairs = q_build_parallel(spark, sf)
+    model = _lid_model(spark, sf)
+    ps = lid_predict(pairs.select("line_no", F.col("src").alias("line")), model, ["line_no"], "line", out="ps")
+    pt = lid_predict(pairs.select("line_no", F.col("tgt").alias("line")), model, ["line_no"], "line", out="pt")
+    labelled = (pairs.join(ps, "line_no").join(pt, "line_no")
+                .withColumn("src_label", label_of("ps")).withColumn("tgt_label", label_of("pt")))
+    return lid_filter(labelled, "fr", "en").select("line_no", "split", "src", "tgt")
+
+
+@query("clean_pairs")
+def q_clean_pairs(spark, sf):
+    from ..operators.filters import clean_pairs
+    return clean_pairs(I.pairs(spark, sf), splits=None).select("conv_id", "turn")
+
+
+@query("mono_length")
+def q_mono_length(spark, sf):
+    from ..operators.filters import max_tokens
+    lines = I.doc_lines(spark, sf)
+    return (max_tokens(lines, "line", 100, True, splits=("train",))
+            .select("doc_id", F.col("line_in_doc").cast("long"), "split"))
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    from ..functions.text import char_pieces, truncate_tokens
+    lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", char_pieces("line").alias("pieces"))
+    return lines.select("doc_id", F.col("line_in_doc").cast("long"),
+                        truncate_tokens("pieces", 1022).alias("pieces"))
+
+
+@query("encoded_length")
+def q_encoded_length(spark, sf):
+    from ..functions.text import char_pieces
+    from ..operators.filters import drop_oversize, piece_count
+    p = I.pairs(spark, sf)
+    enc = p.select("conv_id", "turn", (piece_count(char_pieces("src")) + 1).alias("src_len"),
+                   (piece_count(char_pieces("tgt")) + 1).alias("tgt_len"))
+    return drop_oversize(enc, "src_len", "tgt_len", 1024).select(
+        "conv_id", "turn", F.col("src_len").cast("long"), F.col("tgt_len").cast("long"))

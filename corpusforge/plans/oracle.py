@@ -276,3 +276,79 @@ p AS ({_paste('fr_f', 'en_f')}),
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(line_no AS VARCHAR)), line_no) - 1 AS r FROM p)
 SELECT line_no, CASE WHEN r < 1000 THEN 'val' WHEN r < 2000 THEN 'dev' ELSE 'train' END AS split,
        'fr' AS src_lang, 'en' AS tgt_lang, src, tgt FROM r""")
+
+
+LID = f"""{LINES},
+tg AS (SELECT lang, substr(l, i, 3) AS gram
+       FROM (SELECT lang, line || chr(10) AS l FROM lines WHERE split = 'train') x,
+            range(1, greatest(length(l) - 2, 1) + 1) r(i)),
+cnt AS (SELECT lang, gram, count(*) AS n FROM tg GROUP BY lang, gram),
+v AS (SELECT count(DISTINCT gram) AS v FROM cnt),
+lt AS (SELECT lang, sum(n) AS n_total FROM cnt GROUP BY lang)"""
+
+
+def lid_pred_sql(src: str, ids: str, text: str, out: str) -> str:
+    """CTE chain predicting ``text`` of relation ``src`` keyed by ``ids``."""
+    on = " AND ".join(f"s.{c} = n.{c}" for c in ids.split(", "))
+    return f"""{out}_g AS (SELECT {ids}, substr(l, i, 3) AS gram
+       FROM (SELECT {ids}, {text} || chr(10) AS l FROM {src}) x, range(1, greatest(length(l) - 2, 1) + 1) r(i)),
+{out}_n AS (SELECT {ids}, count(*) AS n_g FROM {out}_g GROUP BY {ids}),
+{out}_s AS (SELECT {", ".join("g." + c for c in ids.split(", "))}, c.lang, sum(ln(c.n + 1)) AS s
+       FROM {out}_g g JOIN cnt c ON c.gram = g.gram GROUP BY ALL),
+{out}_sc AS (SELECT {", ".join("n." + c for c in ids.split(", "))}, lt.lang,
+       round(coalesce(s.s, 0) - n.n_g * ln(lt.n_total + v.v), 6) AS score
+       FROM {out}_n n CROSS JOIN lt CROSS JOIN v LEFT JOIN {out}_s s ON {on} AND s.lang = lt.lang),
+{out} AS (SELECT {ids}, lang AS {out}, score AS {out}_score FROM (
+       SELECT *, row_number() OVER (PARTITION BY {ids} ORDER BY score DESC, lang DESC) AS rk FROM {out}_sc) WHERE rk = 1)"""
+
+
+register("lid_fit", f"""WITH {LID}
+SELECT c.lang, c.gram, c.n::BIGINT AS n, round(ln(c.n + 1) - ln(lt.n_total + v.v), 6) AS logp
+FROM cnt c JOIN lt USING (lang) CROSS JOIN v""")
+
+register("lid_predict", f"""WITH {LID},
+dl AS (SELECT doc_id, line_in_doc, lang, line FROM lines WHERE split = 'dev'),
+{lid_pred_sql('dl', 'doc_id, line_in_doc', 'line', 'pred')}
+SELECT dl.doc_id, dl.line_in_doc::BIGINT AS line_in_doc, dl.lang, p.pred, p.pred_score
+FROM dl JOIN pred p USING (doc_id, line_in_doc)""")
+
+_BP = ORACLE["build_parallel"]
+_BP_CTE = _BP[len("WITH "):_BP.index("\nSELECT line_no, CASE WHEN r < 1000")]
+register("lid_filter", f"""WITH {LID}, {_BP_CTE.replace(LINES + ",", "", 1)},
+bp AS (SELECT line_no, CASE WHEN r < 1000 THEN 'val' WHEN r < 2000 THEN 'dev' ELSE 'train' END AS split, src, tgt
+       FROM r),
+{lid_pred_sql('bp', 'line_no', 'src', 'ps')},
+{lid_pred_sql('bp', 'line_no', 'tgt', 'pt')}
+SELECT bp.line_no, bp.split, bp.src, bp.tgt FROM bp JOIN ps USING (line_no) JOIN pt USING (line_no)
+WHERE bp.split <> 'train' OR (ps.ps = 'fr' AND pt.pt = 'en')""")
+
+register("clean_pairs", f"""WITH {PAIRS},
+l AS (SELECT conv_id, turn,
+             len(list_filter(string_split_regex(src, '{WS}'), lambda t: t <> '')) AS a,
+             len(list_filter(string_split_regex(tgt, '{WS}'), lambda t: t <> '')) AS b FROM pairs)
+SELECT conv_id, turn FROM l
+WHERE a BETWEEN 1 AND 100 AND b BETWEEN 1 AND 100 AND a / b <= 1.8 AND b / a <= 1.8""")
+
+register("mono_length", f"""WITH {LINES}
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, split FROM lines
+WHERE split <> 'train' OR len(list_filter(string_split_regex(line, '{WS}'), lambda t: t <> '')) < 100""")
+
+
+def char_pieces_sql(expr: str) -> str:
+    words = f"array_to_string(list_filter(string_split_regex({expr}, '{WS}'), lambda t: t <> ''), ' ')"
+    marked = f"('▁' || replace({words}, ' ', '▁'))"
+    return f"array_to_string(list_filter(string_split({marked}, ''), lambda x: x <> ''), ' ')"
+
+
+register("truncate_tokens", f"""WITH {LINES}
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc,
+       array_to_string(string_split({char_pieces_sql('line')}, ' ')[1:1022], ' ') AS pieces
+FROM lines""")
+
+register("encoded_length", f"""WITH {PAIRS},
+e AS (SELECT conv_id, turn,
+             len(list_filter(string_split({char_pieces_sql('src')}, ' '), lambda t: t <> '')) + 1 AS src_len,
+             len(list_filter(string_split({char_pieces_sql('tgt')}, ' '), lambda t: t <> '')) + 1 AS tgt_len
+      FROM pairs)
+SELECT conv_id, turn, src_len::BIGINT AS src_len, tgt_len::BIGINT AS tgt_len FROM e
+WHERE src_len <= 1024 AND tgt_len <= 1024""")
