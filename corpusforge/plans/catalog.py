@@ -316,3 +316,67 @@ def q_encoded_length(spark, sf):
                    (piece_count(char_pieces("tgt")) + 1).alias("tgt_len"))
     return drop_oversize(enc, "src_len", "tgt_len", 1024).select(
         "conv_id", "turn", F.col("src_len").cast("long"), F.col("tgt_len").cast("long"))
+
+
+# ------------------------------------------------------------------ text jobs
+
+def _tok_lines(spark, sf):
+    from ..functions.rules import normalise_tokenise
+    lines = I.doc_lines(spark, sf)
+    return lines.withColumn("tok", normalise_tokenise("line", "lang"))
+
+
+@query("normalise_tokenise")
+def q_normalise_tokenise(spark, sf):
+    return _tok_lines(spark, sf).select("doc_id", F.col("line_in_doc").cast("long"), "tok")
+
+
+@query("detokenise")
+def q_detokenise(spark, sf):
+    from ..functions.rules import detokenise
+    t = _tok_lines(spark, sf)
+    return t.select("doc_id", F.col("line_in_doc").cast("long"), detokenise("tok", "lang").alias("text"))
+
+
+@query("sentence_split")
+def q_sentence_split(spark, sf):
+    from ..functions.rules import sentence_breaks
+    lines = I.doc_lines(spark, sf)
+    s = lines.select("doc_id", "line_in_doc", F.posexplode(F.split(sentence_breaks("line"), "\n", -1))
+                     .alias("sent_no", "sentence"))
+    s = s.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "")
+    return s.select("doc_id", F.col("line_in_doc").cast("long"), F.col("sent_no").cast("long"), "sentence")
+
+
+def _truecase_model(spark, sf):
+    from ..operators.truecase import truecase_fit
+    return truecase_fit(_tok_lines(spark, sf).where(F.col("split") == "train"), "tok", ["lang"])
+
+
+@query("truecase_fit")
+def q_truecase_fit(spark, sf):
+    return _truecase_model(spark, sf).select("lang", "lc", "form", "n", "is_best")
+
+
+@query("truecase_apply")
+def q_truecase_apply(spark, sf):
+    from ..operators.truecase import truecase_apply
+    dev = _tok_lines(spark, sf).where(F.col("split") == "dev")
+    out = truecase_apply(dev, _truecase_model(spark, sf), ["doc_id", "line_in_doc", "lang"], "tok", "text",
+                         group_cols=["lang"])
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), "text")
+
+
+@query("detruecase")
+def q_detruecase(spark, sf):
+    from ..operators.truecase import detruecase
+    t = _tok_lines(spark, sf)
+    return t.select("doc_id", F.col("line_in_doc").cast("long"), detruecase(F.lower("tok")).alias("text"))
+
+
+@query("postprocess")
+def q_postprocess(spark, sf):
+    from ..plans.pipelines import postprocess
+    from ..functions.text import char_pieces
+    t = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "lang", char_pieces(F.lower("tok")).alias("hyp"))
+    return postprocess(t, "hyp", "lang").select("doc_id", F.col("line_in_doc").cast("long"), "text")

@@ -352,3 +352,86 @@ e AS (SELECT conv_id, turn,
       FROM pairs)
 SELECT conv_id, turn, src_len::BIGINT AS src_len, tgt_len::BIGINT AS tgt_len FROM e
 WHERE src_len <= 1024 AND tgt_len <= 1024""")
+
+
+from ..functions.rules import (DELAY_TOKENS, DETOKENISE, SENTENCE_BREAK, SENTENCE_END_TOKENS,  # noqa: E402
+                               normalise_tokenise_sql, rules_sql)
+
+
+def _in_list(xs) -> str:
+    return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+
+
+TOKL = LINES + f""",
+tokl AS (SELECT *, {normalise_tokenise_sql('line', 'lang')} AS tok FROM lines)"""
+
+
+def flags_sql(src: str, ids: str, text: str, name: str) -> str:
+    """CTEs ``{name}`` = (ids, pos, t, s): tokens with sentence-start flags."""
+    return f"""{name}_t AS (
+  SELECT {ids}, unnest(generate_series(1, len(tk))) AS pos, unnest(tk) AS t
+  FROM (SELECT {ids}, list_filter(string_split({text}, ' '), lambda x: x <> '') AS tk FROM {src})),
+{name}_p AS (
+  SELECT *, last_value(CASE WHEN t NOT IN {_in_list(DELAY_TOKENS)} THEN t END IGNORE NULLS)
+            OVER (PARTITION BY {ids} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM {name}_t),
+{name} AS (SELECT {ids}, pos, t, (prev IS NULL OR prev IN {_in_list(SENTENCE_END_TOKENS)}) AS s FROM {name}_p)"""
+
+
+register("normalise_tokenise", f"WITH {TOKL} SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, tok FROM tokl")
+
+register("detokenise", f"""WITH {TOKL}
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, {rules_sql('tok', DETOKENISE, 'lang')} AS text FROM tokl""")
+
+register("sentence_split", f"""WITH {LINES},
+s AS (SELECT doc_id, line_in_doc, string_split({rules_sql('line', SENTENCE_BREAK)}, chr(10)) AS parts FROM lines),
+e AS (SELECT doc_id, line_in_doc, unnest(range(len(parts))) AS sent_no, unnest(parts) AS sentence FROM s)
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, sent_no::BIGINT AS sent_no, trim(sentence) AS sentence
+FROM e WHERE trim(sentence) <> ''""")
+
+TC_MODEL = TOKL + """,
+trn AS (SELECT doc_id, line_in_doc, lang, tok FROM tokl WHERE split = 'train'),
+""" + flags_sql("trn", "doc_id, line_in_doc, lang", "tok", "trf") + """,
+tcc AS (SELECT lang, lower(t) AS lc, t AS form, count(*)::BIGINT AS n FROM trf WHERE NOT s GROUP BY ALL),
+tcm AS (SELECT *, row_number() OVER (PARTITION BY lang, lc ORDER BY n DESC, form) = 1 AS is_best FROM tcc)"""
+
+register("truecase_fit", f"WITH {TC_MODEL} SELECT lang, lc, form, n, is_best FROM tcm")
+
+register("truecase_apply", f"""WITH {TC_MODEL},
+dv AS (SELECT doc_id, line_in_doc, lang, tok FROM tokl WHERE split = 'dev'),
+{flags_sql('dv', 'doc_id, line_in_doc, lang', 'tok', 'dvf')},
+nt AS (
+  SELECT f.doc_id, f.line_in_doc, f.pos,
+         CASE WHEN f.s AND b.form IS NOT NULL THEN b.form
+              WHEN k.form IS NOT NULL THEN f.t
+              WHEN b.form IS NOT NULL THEN b.form ELSE f.t END AS tok
+  FROM dvf f
+  LEFT JOIN (SELECT lang, lc, form FROM tcm WHERE is_best) b ON b.lang = f.lang AND b.lc = lower(f.t)
+  LEFT JOIN tcm k ON k.lang = f.lang AND k.form = f.t),
+agg AS (SELECT doc_id, line_in_doc, string_agg(tok, ' ' ORDER BY pos) AS text FROM nt GROUP BY doc_id, line_in_doc)
+SELECT dv.doc_id, dv.line_in_doc::BIGINT AS line_in_doc, coalesce(agg.text, '') AS text
+FROM dv LEFT JOIN agg USING (doc_id, line_in_doc)""")
+
+
+def detruecase_sql(src: str, ids: str, text: str, name: str) -> str:
+    return flags_sql(src, ids, text, name + "_f") + f""",
+{name} AS (
+  SELECT {ids}, string_agg(CASE WHEN s AND left(t, 1) <> 'ß' THEN upper(left(t, 1)) || substr(t, 2) ELSE t END,
+                           ' ' ORDER BY pos) AS text
+  FROM {name}_f GROUP BY {ids})"""
+
+
+register("detruecase", f"""WITH {TOKL},
+lw AS (SELECT doc_id, line_in_doc, lower(tok) AS tok FROM tokl),
+{detruecase_sql('lw', 'doc_id, line_in_doc', 'tok', 'dt')}
+SELECT lw.doc_id, lw.line_in_doc::BIGINT AS line_in_doc, coalesce(dt.text, '') AS text
+FROM lw LEFT JOIN dt USING (doc_id, line_in_doc)""")
+
+register("postprocess", f"""WITH {TOKL},
+hy AS (SELECT doc_id, line_in_doc, lang, {char_pieces_sql('lower(tok)')} AS hyp FROM tokl),
+dec AS (SELECT doc_id, line_in_doc, lang,
+               replace(ltrim(translate(replace(hyp, ' ', ''), '▁', ' ')), '@@ ', '') AS tok FROM hy),
+{detruecase_sql('dec', 'doc_id, line_in_doc', 'tok', 'dt')}
+SELECT dec.doc_id, dec.line_in_doc::BIGINT AS line_in_doc,
+       {rules_sql("coalesce(dt.text, '')", DETOKENISE, 'dec.lang')} AS text
+FROM dec LEFT JOIN dt USING (doc_id, line_in_doc)""")

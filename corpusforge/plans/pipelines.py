@@ -19,3 +19,13 @@ def build_parallel(src_lines: DataFrame, tgt_lines: DataFrame, src_lang: str, tg
     out = split.select("line_no", "split", F.lit(src_lang).alias("src_lang"),
                        F.lit(tgt_lang).alias("tgt_lang"), "src", "tgt")
     return canonical(out, english_target=english_target)
+
+
+def postprocess(df: DataFrame, pieces_col: str, lang_col: str, out_col: str = "text") -> DataFrame:
+    """Decoder pieces → text: decode pieces, strip continuation marks,
+    detruecase, detokenise — one projection."""
+    from ..functions.rules import detokenise
+    from ..functions.text import decode_pieces, strip_bpe_marks
+    from ..operators.truecase import detruecase
+    text = detokenise(detruecase(strip_bpe_marks(decode_pieces(pieces_col))), lang_col)
+    return df.withColumn(out_col, text)
