@@ -41,3 +41,39 @@ def index_by_int(df: DataFrame, order_col: str, out: str = "idx", width: int = 1
     """Positions in the order of a unique integer column (ids, line numbers)."""
     bucket = F.floor(F.col(order_col) / F.lit(width)).cast("long")
     return exclusive_prefix_sum(df, [order_col], bucket, weight, out, partition_cols)
+
+
+def prefix_agg(df: DataFrame, order_col: str, value_col: str, how: str, out: str,
+               partition_cols: list[str] | None = None, width: int = 1 << 14,
+               inclusive: bool = True) -> DataFrame:
+    """Running ``max`` or ``last`` non-null value in ``order_col`` order per
+    partition, without putting a whole partition into one window task.
+
+    Rows are cut into ``order_col div width`` buckets: a window runs inside
+    each bucket (at most ``width`` rows), bucket summaries are a small table
+    whose own running value is the carry-in, and the two are combined.
+    ``order_col`` must be an integer unique within a partition.
+    """
+    parts = list(partition_cols or [])
+    v = F.col(value_col)
+    b = F.floor(F.col(order_col) / F.lit(width)).cast("long")
+    tagged = df.withColumn("_bk", b)
+    end = 0 if inclusive else -1
+    inside = Window.partitionBy(*parts, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    before = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    if how == "max":
+        summary = tagged.groupBy(*parts, "_bk").agg(F.max(v).alias("_bv"))
+        summary = summary.withColumn("_carry", F.max("_bv").over(before))
+        local = F.max(v).over(inside)
+        combine = F.greatest(F.col("_local"), F.col("_carry"))
+    elif how == "last":
+        summary = tagged.groupBy(*parts, "_bk").agg(
+            F.max_by(v, F.when(v.isNotNull(), F.col(order_col))).alias("_bv"))
+        summary = summary.withColumn("_carry", F.last("_bv", ignorenulls=True).over(before))
+        local = F.last(v, ignorenulls=True).over(inside)
+        combine = F.coalesce(F.col("_local"), F.col("_carry"))
+    else:
+        raise ValueError(how)
+    tagged = tagged.withColumn("_local", local)
+    return (tagged.join(summary.select(*parts, "_bk", "_carry"), parts + ["_bk"], "left")
+            .withColumn(out, combine).drop("_bk", "_local", "_carry"))

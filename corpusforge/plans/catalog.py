@@ -380,3 +380,56 @@ def q_postprocess(spark, sf):
     from ..functions.text import char_pieces
     t = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "lang", char_pieces(F.lower("tok")).alias("hyp"))
     return postprocess(t, "hyp", "lang").select("doc_id", F.col("line_in_doc").cast("long"), "text")
+
+
+# -------------------------------------------------------------------- metrics
+
+@query("bleu")
+def q_bleu(spark, sf):
+    from ..operators.metrics import bleu
+    p = I.pairs(spark, sf).select("conv_id", "turn", F.col("src").alias("hyp"), F.col("tgt").alias("ref"))
+    return bleu(p, ["conv_id", "turn"], "hyp", "ref")
+
+
+def _decoder_log(spark, sf):
+    """A decoder log for the pairs: a source line and a hypothesis line (id,
+    score, pieces) per pair, as a decoder prints them."""
+    from ..functions.rules import normalise_tokenise
+    from ..functions.text import char_pieces
+    p = I.pairs(spark, sf).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    pieces = char_pieces(F.lower(normalise_tokenise("src")))
+    s_line = F.concat(F.lit("S-"), F.col("id"), F.lit("\t"), F.col("src"))
+    h_line = F.concat(F.lit("H-"), F.col("id"), F.lit("\t-0.5\t"), pieces)
+    return p.select(F.explode(F.array(s_line, h_line)).alias("line"))
+
+
+@query("score_dev")
+def q_score_dev(spark, sf):
+    from ..plans.pipelines import score_dev
+    refs = I.pairs(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("tgt").alias("ref"))
+    return score_dev(_decoder_log(spark, sf), refs, "en")
+
+
+def _logs(spark, sf):
+    e = I.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    line = F.when(F.col("event_id") % 100 == 0, F.concat(F.lit(": Up. "), F.col("event_id").cast("string"), F.lit(" :"))) \
+        .otherwise(F.concat(F.lit(": "), F.col("event_type"), F.lit(" : "), F.col("value").cast("string"), F.lit(" :")))
+    return e.select((F.col("user_id") % 4).alias("run"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+@query("log_scalars")
+def q_log_scalars(spark, sf):
+    from ..operators.logs import log_scalars
+    return log_scalars(_logs(spark, sf))
+
+
+@query("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    from ..operators.logs import best_step, log_scalars
+    return best_step(log_scalars(_logs(spark, sf)), "purchase")
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    from ..operators.logs import early_stop, log_scalars
+    return early_stop(log_scalars(_logs(spark, sf)), "purchase", 10)

@@ -435,3 +435,118 @@ dec AS (SELECT doc_id, line_in_doc, lang,
 SELECT dec.doc_id, dec.line_in_doc::BIGINT AS line_in_doc,
        {rules_sql("coalesce(dt.text, '')", DETOKENISE, 'dec.lang')} AS text
 FROM dec LEFT JOIN dt USING (doc_id, line_in_doc)""")
+
+
+from ..operators.logs import KEY_VALUE_PATTERNS, NAMED_PATTERNS, STEP_PATTERN  # noqa: E402
+from ..operators.metrics import BLEU_13A, ENTITIES  # noqa: E402
+
+
+def tok13a_sql(expr: str) -> str:
+    s = f"replace(replace(replace({expr}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for a, b in ENTITIES:
+        s = f"replace({s}, '{a}', '{b}')"
+    s = f"(' ' || {s} || ' ')"
+    for pat, rep in BLEU_13A:
+        s = f"regexp_replace({s}, '{pat}', '{rep.replace('$', chr(92))}', 'g')"
+    return f"list_filter(string_split_regex({s}, '{WS}'), lambda t: t <> '')"
+
+
+def bleu_sql(src: str, ids: str, hyp: str, ref: str) -> str:
+    """CTE chain ending in ``bleu_out``."""
+    grams = " UNION ALL ".join(
+        f"SELECT {ids}, {n} AS n, array_to_string(tk[i:i + {n - 1}], ' ') AS g, side "
+        f"FROM (SELECT *, unnest(generate_series(1, len(tk) - {n - 1})) AS i FROM bt WHERE len(tk) >= {n})"
+        for n in range(1, 5))
+    logs = []
+    for n in range(1, 5):
+        zeros = " + ".join(f"(CASE WHEN t{k} > 0 AND m{k} = 0 THEN 1 ELSE 0 END)" for k in range(1, n + 1))
+        p = (f"(CASE WHEN t{n} = 0 THEN 0.0 WHEN m{n} = 0 THEN 100.0 / (pow(2.0, {zeros}) * t{n}) "
+             f"ELSE 100.0 * m{n} / t{n} END)")
+        logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
+    return f"""bt AS (
+  SELECT {ids}, 'h' AS side, {tok13a_sql(hyp)} AS tk FROM {src}
+  UNION ALL SELECT {ids}, 'r' AS side, {tok13a_sql(ref)} AS tk FROM {src}),
+bg AS ({grams}),
+bc AS (SELECT n, {ids}, g, count(*) FILTER (WHERE side = 'h') AS ch, count(*) FILTER (WHERE side = 'r') AS cr
+       FROM bg GROUP BY ALL),
+bo AS (SELECT n, sum(least(ch, cr)) AS m, sum(ch) AS t FROM bc GROUP BY n),
+bl AS (SELECT sum(len(tk)) FILTER (WHERE side = 'h') AS sys_len, sum(len(tk)) FILTER (WHERE side = 'r') AS ref_len FROM bt),
+bw AS (SELECT bl.sys_len, bl.ref_len,
+              {", ".join(f"coalesce((SELECT m FROM bo WHERE n = {n}), 0) AS m{n}, coalesce((SELECT t FROM bo WHERE n = {n}), 0) AS t{n}" for n in range(1, 5))}
+       FROM bl),
+bp AS (SELECT *, CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len = 0 THEN 0.0
+                      ELSE exp(1 - ref_len / sys_len) END AS bp FROM bw),
+bleu_out AS (
+  SELECT round(bp * exp(({" + ".join(logs)}) / 4.0), 6) AS bleu, round(bp, 6) AS bp,
+         sys_len::BIGINT AS sys_len, ref_len::BIGINT AS ref_len,
+         {", ".join(f"m{n}::BIGINT AS matches_{n}" for n in range(1, 5))},
+         {", ".join(f"t{n}::BIGINT AS total_{n}" for n in range(1, 5))}
+  FROM bp)"""
+
+
+register("bleu", f"""WITH {PAIRS},
+bp_in AS (SELECT conv_id, turn, src AS hyp, tgt AS ref FROM pairs),
+{bleu_sql('bp_in', 'conv_id, turn', 'hyp', 'ref')}
+SELECT * FROM bleu_out""")
+
+register("score_dev", f"""WITH {PAIRS},
+hy AS (SELECT conv_id, turn, 'en' AS lang, tgt AS ref,
+              {char_pieces_sql('lower(' + normalise_tokenise_sql('src') + ')')} AS hyp FROM pairs),
+dec AS (SELECT conv_id, turn, lang, ref,
+               replace(ltrim(translate(replace(hyp, ' ', ''), '▁', ' ')), '@@ ', '') AS tok FROM hy),
+{detruecase_sql('dec', 'conv_id, turn', 'tok', 'dt')},
+sd AS (SELECT dec.conv_id, dec.turn, dec.ref,
+              {rules_sql("coalesce(dt.text, '')", DETOKENISE, 'dec.lang')} AS hyp
+       FROM dec LEFT JOIN dt USING (conv_id, turn)),
+{bleu_sql('sd', 'conv_id, turn', 'hyp', 'ref')}
+SELECT * FROM bleu_out""")
+
+
+def _re(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _scalar_case() -> tuple[str, str]:
+    keys, vals = [], []
+    for name, pat in NAMED_PATTERNS:
+        keys.append(f"WHEN regexp_extract(line, {_re(pat)}, 1) <> '' THEN '{name}'")
+        vals.append(f"WHEN regexp_extract(line, {_re(pat)}, 1) <> '' THEN regexp_extract(line, {_re(pat)}, 1)")
+    for pat in KEY_VALUE_PATTERNS:
+        keys.append(f"WHEN regexp_extract(line, {_re(pat)}, 2) <> '' THEN regexp_extract(line, {_re(pat)}, 1)")
+        vals.append(f"WHEN regexp_extract(line, {_re(pat)}, 2) <> '' THEN regexp_extract(line, {_re(pat)}, 2)")
+    return "CASE " + " ".join(keys) + " END", "CASE " + " ".join(vals) + " END"
+
+
+_K, _V = _scalar_case()
+SCALARS = f"""logs AS (
+  SELECT user_id % 4 AS run, event_id AS line_no,
+         CASE WHEN event_id % 100 = 0 THEN ': Up. ' || CAST(event_id AS VARCHAR) || ' :'
+              ELSE ': ' || event_type || ' : ' || CAST(value AS VARCHAR) || ' :' END AS line
+  FROM events),
+tagged AS (
+  SELECT run, line_no, nullif(regexp_extract(line, {_re(STEP_PATTERN)}, 1), '')::BIGINT AS step_here, line FROM logs),
+filled AS (
+  SELECT *, last_value(step_here IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS step
+  FROM tagged),
+scalars AS (
+  SELECT run, line_no, step, {_K} AS key, CAST({_V} AS DOUBLE) AS value FROM filled WHERE step_here IS NULL)"""
+
+register("log_scalars", f"WITH {SCALARS} SELECT * FROM scalars WHERE key IS NOT NULL")
+
+register("best_checkpoint", f"""WITH {SCALARS},
+m AS (SELECT * FROM scalars WHERE key = 'purchase' AND step IS NOT NULL),
+r AS (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY value DESC, step) AS rk FROM m)
+SELECT run, step AS best_step, value AS best_value FROM r WHERE rk = 1""")
+
+register("early_stop", f"""WITH {SCALARS},
+m AS (SELECT run, line_no, step, value, row_number() OVER (PARTITION BY run ORDER BY line_no) - 1 AS idx
+      FROM scalars WHERE key = 'purchase'),
+p AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb
+      FROM m),
+q AS (SELECT *, max(CASE WHEN pb IS NULL OR value > pb THEN idx END)
+                OVER (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM p),
+fs AS (SELECT run, min(idx) AS i FROM q WHERE idx - li >= 10 GROUP BY run),
+nv AS (SELECT run, count(*)::BIGINT AS n_validations FROM m GROUP BY run)
+SELECT nv.run, q.step AS stop_step, nv.n_validations
+FROM nv LEFT JOIN fs ON fs.run = nv.run LEFT JOIN q ON q.run = fs.run AND q.idx = fs.i""")

@@ -29,3 +29,17 @@ def postprocess(df: DataFrame, pieces_col: str, lang_col: str, out_col: str = "t
     from ..operators.truecase import detruecase
     text = detokenise(detruecase(strip_bpe_marks(decode_pieces(pieces_col))), lang_col)
     return df.withColumn(out_col, text)
+
+
+def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str = "line",
+              id_col: str = "id", ref_col: str = "ref") -> DataFrame:
+    """Decoder log → hypotheses (``H`` lines, third field; id from the first)
+    → post-processing → pairing with references by id → corpus BLEU."""
+    from ..operators.metrics import bleu
+    parts = F.split(F.col(line_col), "\t", -1)
+    hyps = (decoder_log.where(F.col(line_col).startswith("H"))
+            .select(F.substring(F.element_at(parts, 1), 3, 1 << 30).alias(id_col),
+                    F.element_at(parts, 3).alias("pieces"), F.lit(lang).alias("_lang")))
+    text = postprocess(hyps, "pieces", "_lang", "hyp")
+    pairs = text.join(refs, id_col)
+    return bleu(pairs, [id_col], "hyp", ref_col)
