@@ -85,9 +85,14 @@ def decode_pieces(c) -> Column:
     return F.ltrim(s)
 
 
+def chars(c) -> Column:
+    """Code points of a string (a supplementary character stays whole)."""
+    return F.regexp_extract_all(col_of(c), F.lit("(?s)."), 0)
+
+
 def char_pieces(c) -> Column:
     """Character segmentation: word-start mark on the first char of each word."""
     words = tokens(c)
     marked = F.array_join(words, " ")
     s = F.concat(F.lit(PIECE_SPACE), F.regexp_replace(marked, " ", PIECE_SPACE))
-    return F.array_join(F.filter(F.split(s, "", -1), lambda x: x != F.lit("")), " ")
+    return F.array_join(chars(s), " ")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import hash_bucket, hash_key, hash_unit
 from .ordering import exclusive_prefix_sum, index_by_int
 
-# Largest prefix taken through TakeOrderedAndProject / broadcast anti join.
-SMALL_PREFIX = 1_000_000
+# Largest prefix taken through TakeOrderedAndProject / broadcast anti join
+# (every task ships its own top k to one merge, so k must stay small).
+SMALL_PREFIX = 10_000
 
 
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42, out: str = "pos",

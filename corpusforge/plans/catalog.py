@@ -433,3 +433,72 @@ def q_best_checkpoint(spark, sf):
 def q_early_stop(spark, sf):
     from ..operators.logs import early_stop, log_scalars
     return early_stop(log_scalars(_logs(spark, sf)), "purchase", 10)
+
+
+# -------------------------------------------------------------------- subword
+
+def _train_tok(spark, sf):
+    return _tok_lines(spark, sf).where(F.col("split") == "train")
+
+
+@query("char_vocab")
+def q_char_vocab(spark, sf):
+    from ..operators.subword import char_vocab
+    return char_vocab(_train_tok(spark, sf), "tok", 1.0, ["lang"])
+
+
+@query("bpe_pair_counts")
+def q_bpe_pair_counts(spark, sf):
+    from ..operators.subword import pair_counts, word_table
+    return pair_counts(word_table(_train_tok(spark, sf), "tok", ["lang"]), ["lang"])
+
+
+BPE_VOCAB, BPE_ROUND = 256, 32
+
+
+def _bpe(spark, sf):
+    from ..operators.subword import bpe_learn, word_table
+    return bpe_learn(word_table(_train_tok(spark, sf), "tok"), BPE_VOCAB, BPE_ROUND)
+
+
+@query("bpe_learn")
+def q_bpe_learn(spark, sf):
+    vocab, _ = _bpe(spark, sf)
+    return vocab.select("id", "piece", "kind", "rank", "n")
+
+
+@query("subword_encode")
+def q_subword_encode(spark, sf):
+    from ..functions.text import char_pieces
+    t = _tok_lines(spark, sf)
+    return t.select("doc_id", F.col("line_in_doc").cast("long"), char_pieces("tok").alias("pieces"))
+
+
+@query("subword_encode_bpe")
+def q_subword_encode_bpe(spark, sf):
+    from ..operators.subword import bpe_encode_words, encode_lines, word_table
+    vocab, _ = _bpe(spark, sf)
+    dev = _tok_lines(spark, sf).where(F.col("split") == "dev")
+    wp = bpe_encode_words(word_table(dev, "tok"), vocab)
+    out = encode_lines(dev, wp, ["doc_id", "line_in_doc"], "tok", "pieces")
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), "pieces")
+
+
+@query("numericalise")
+def q_numericalise(spark, sf):
+    from ..functions.text import char_pieces
+    from ..operators.subword import char_vocab, json_vocab_ids, numericalise
+    tok = _tok_lines(spark, sf).where(F.col("lang") == "en")
+    vocab = json_vocab_ids(char_vocab(tok.where(F.col("split") == "train"), "tok", 1.0))
+    dev = tok.where(F.col("split") == "dev").select("doc_id", "line_in_doc", char_pieces("tok").alias("pieces"))
+    out = numericalise(dev, vocab, ["doc_id", "line_in_doc"], "pieces")
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), F.array_join("ids", " ").alias("ids"))
+
+
+@query("segment_corpus")
+def q_segment_corpus(spark, sf):
+    from ..plans.pipelines import segment_corpus
+    lines = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "split", "tok")
+    out = segment_corpus(lines, ["doc_id", "line_in_doc"], "tok", BPE_VOCAB, BPE_ROUND)
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), "split",
+                      F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids"))

@@ -550,3 +550,44 @@ fs AS (SELECT run, min(idx) AS i FROM q WHERE idx - li >= 10 GROUP BY run),
 nv AS (SELECT run, count(*)::BIGINT AS n_validations FROM m GROUP BY run)
 SELECT nv.run, q.step AS stop_step, nv.n_validations
 FROM nv LEFT JOIN fs ON fs.run = nv.run LEFT JOIN q ON q.run = fs.run AND q.idx = fs.i""")
+
+
+def chars_sql(expr: str) -> str:
+    return f"list_filter(string_split({expr}, ''), lambda x: x <> '')"
+
+
+def _marked(expr: str) -> str:
+    return f"('▁' || array_to_string(list_filter(string_split_regex({expr}, '{WS}'), lambda t: t <> ''), '▁'))"
+
+
+register("char_vocab", f"""WITH {TOKL},
+c AS (SELECT lang, unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train'),
+n AS (SELECT lang, piece, count(*)::BIGINT AS n FROM c GROUP BY lang, piece),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, piece) AS rk,
+             sum(n) OVER (PARTITION BY lang) AS total FROM n)
+SELECT lang, (rk + 2)::INTEGER AS id, piece, n, round(ln(n / total), 6) AS score FROM r""")
+
+register("bpe_pair_counts", f"""WITH {TOKL},
+w AS (SELECT lang, unnest(list_filter(string_split_regex(tok, '{WS}'), lambda t: t <> '')) AS word
+      FROM tokl WHERE split = 'train'),
+wf AS (SELECT lang, word, count(*) AS freq, {chars_sql("'▁' || word")} AS s FROM w GROUP BY lang, word),
+p AS (SELECT lang, freq, s[i] AS l, s[i + 1] AS r FROM (SELECT *, unnest(generate_series(1, len(s) - 1)) AS i
+      FROM wf WHERE len(s) > 1))
+SELECT lang, l AS "left", r AS "right", sum(freq)::BIGINT AS n FROM p GROUP BY lang, l, r""")
+
+register("subword_encode", f"""WITH {TOKL}
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, {char_pieces_sql('tok')} AS pieces FROM tokl""")
+
+register("numericalise", f"""WITH {TOKL},
+c AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train' AND lang = 'en'),
+v AS (SELECT piece, (row_number() OVER (ORDER BY count(*) DESC, piece) + 1)::INTEGER AS id FROM c GROUP BY piece),
+d AS (SELECT doc_id, line_in_doc, string_split({char_pieces_sql('tok')}, ' ') AS ps FROM tokl
+      WHERE split = 'dev' AND lang = 'en'),
+e AS (SELECT doc_id, line_in_doc, unnest(generate_series(1, len(ps))) AS pos, unnest(ps) AS piece FROM d),
+j AS (SELECT e.doc_id, e.line_in_doc, e.pos, coalesce(v.id, 1) AS id FROM e LEFT JOIN v USING (piece)
+      WHERE e.piece <> ''),
+a AS (SELECT doc_id, line_in_doc, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM j
+      GROUP BY doc_id, line_in_doc)
+SELECT d.doc_id, d.line_in_doc::BIGINT AS line_in_doc,
+       CASE WHEN a.ids IS NULL THEN '0' ELSE a.ids || ' 0' END AS ids
+FROM d LEFT JOIN a USING (doc_id, line_in_doc)""")

@@ -43,3 +43,19 @@ def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str
     text = postprocess(hyps, "pieces", "_lang", "hyp")
     pairs = text.join(refs, id_col)
     return bleu(pairs, [id_col], "hyp", ref_col)
+
+
+def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_size: int,
+                   merges_per_round: int = 64, split_col: str = "split",
+                   learn_splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """Learn a BPE vocabulary on the training lines (one joint vocabulary for
+    every column given), encode every split, numericalise with reserved ids.
+    Returns ``(id…, split, pieces, ids)``."""
+    from ..operators.subword import (bpe_encode_words, bpe_learn, encode_lines, json_vocab_ids,
+                                     numericalise, word_table)
+    train = lines.where(F.col(split_col).isin(list(learn_splits)))
+    vocab, _ = bpe_learn(word_table(train, text_col), vocab_size, merges_per_round)
+    wp = bpe_encode_words(word_table(lines, text_col), vocab)
+    enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
+    ids = numericalise(enc, json_vocab_ids(vocab), id_cols, "pieces")
+    return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
