@@ -502,3 +502,20 @@ def q_segment_corpus(spark, sf):
     out = segment_corpus(lines, ["doc_id", "line_in_doc"], "tok", BPE_VOCAB, BPE_ROUND)
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "split",
                       F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+
+
+# ----------------------------------------------------------------- pipelines
+
+@query("preprocess_corpus")
+def q_preprocess_corpus(spark, sf):
+    from ..plans.pipelines import preprocess_corpus
+    pairs = q_build_parallel(spark, sf)
+    return preprocess_corpus(pairs, "fr", "en", _lid_model(spark, sf)).select("line_no", "split", "src", "tgt")
+
+
+@query("preprocess_monolingual")
+def q_preprocess_monolingual(spark, sf):
+    from ..plans.pipelines import preprocess_monolingual
+    lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "split", "line")
+    out = preprocess_monolingual(lines, ["doc_id", "line_in_doc"], "line")
+    return out.select("doc_id", F.col("line_in_doc").cast("long"), "lang", "split", "text")

@@ -591,3 +591,51 @@ a AS (SELECT doc_id, line_in_doc, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p
 SELECT d.doc_id, d.line_in_doc::BIGINT AS line_in_doc,
        CASE WHEN a.ids IS NULL THEN '0' ELSE a.ids || ' 0' END AS ids
 FROM d LEFT JOIN a USING (doc_id, line_in_doc)""")
+
+
+def truecase_sql(fit_src: str, apply_src: str, ids: str, text: str, name: str, group: str | None = None) -> str:
+    """CTE chain: fit a truecaser on ``fit_src`` and apply it to ``apply_src``;
+    ``{name}`` = (ids, text) with every row of ``apply_src``."""
+    g = f"{group}, " if group else ""
+    gj = (lambda a, b: f"{a}.{group} = {b}.{group} AND ") if group else (lambda a, b: "")
+    fit_ids = f"{ids}, {group}" if group else ids
+    return f"""{flags_sql(fit_src, fit_ids, text, name + '_ff')},
+{name}_c AS (SELECT {g}lower(t) AS lc, t AS form, count(*) AS n FROM {name}_ff WHERE NOT s GROUP BY ALL),
+{name}_m AS (SELECT *, row_number() OVER (PARTITION BY {g}lc ORDER BY n DESC, form) = 1 AS is_best FROM {name}_c),
+{flags_sql(apply_src, fit_ids, text, name + '_af')},
+{name}_nt AS (
+  SELECT {", ".join("f." + c for c in fit_ids.split(", "))}, f.pos,
+         CASE WHEN f.s AND b.form IS NOT NULL THEN b.form WHEN k.form IS NOT NULL THEN f.t
+              WHEN b.form IS NOT NULL THEN b.form ELSE f.t END AS tok
+  FROM {name}_af f
+  LEFT JOIN (SELECT * FROM {name}_m WHERE is_best) b ON {gj('b', 'f')}b.lc = lower(f.t)
+  LEFT JOIN {name}_m k ON {gj('k', 'f')}k.form = f.t),
+{name}_ag AS (SELECT {fit_ids}, string_agg(tok, ' ' ORDER BY pos) AS text FROM {name}_nt GROUP BY {fit_ids}),
+{name} AS (SELECT {", ".join("a." + c for c in fit_ids.split(", "))}, coalesce(g.text, '') AS text
+           FROM {apply_src} a LEFT JOIN {name}_ag g USING ({fit_ids}))"""
+
+
+_LF = ORACLE["lid_filter"]
+_LF_CTE = _LF[len("WITH "):_LF.index("\nSELECT bp.line_no, bp.split, bp.src, bp.tgt FROM bp")]
+register("preprocess_corpus", f"""WITH {_LF_CTE},
+lf AS (SELECT bp.line_no, bp.split, bp.src, bp.tgt FROM bp JOIN ps USING (line_no) JOIN pt USING (line_no)
+       WHERE bp.split <> 'train' OR (ps.ps = 'fr' AND pt.pt = 'en')),
+tk AS (SELECT line_no, split, {normalise_tokenise_sql('src', "'fr'")} AS src,
+              {normalise_tokenise_sql('tgt', "'en'")} AS tgt FROM lf),
+cl AS (SELECT * FROM (SELECT *, len(list_filter(string_split_regex(src, '{WS}'), lambda t: t <> '')) AS a,
+                               len(list_filter(string_split_regex(tgt, '{WS}'), lambda t: t <> '')) AS b FROM tk)
+       WHERE split <> 'train' OR (a BETWEEN 1 AND 100 AND b BETWEEN 1 AND 100 AND a / b <= 1.8 AND b / a <= 1.8)),
+s_all AS (SELECT line_no, split, src FROM cl), s_fit AS (SELECT * FROM s_all WHERE split = 'train'),
+t_all AS (SELECT line_no, split, tgt FROM cl), t_fit AS (SELECT * FROM t_all WHERE split = 'train'),
+{truecase_sql('s_fit', 's_all', 'line_no', 'src', 'tcs')},
+{truecase_sql('t_fit', 't_all', 'line_no', 'tgt', 'tct')}
+SELECT cl.line_no, cl.split, tcs.text AS src, tct.text AS tgt
+FROM cl JOIN tcs USING (line_no) JOIN tct USING (line_no)""")
+
+register("preprocess_monolingual", f"""WITH {TOKL},
+ml AS (SELECT doc_id, line_in_doc, lang, split, tok FROM tokl
+       WHERE split <> 'train' OR len(list_filter(string_split_regex(tok, '{WS}'), lambda t: t <> '')) < 100),
+mf AS (SELECT * FROM ml WHERE split = 'train'),
+{truecase_sql('mf', 'ml', 'doc_id, line_in_doc', 'tok', 'tcm2', 'lang')}
+SELECT ml.doc_id, ml.line_in_doc::BIGINT AS line_in_doc, ml.lang, ml.split, tcm2.text
+FROM ml JOIN tcm2 USING (doc_id, line_in_doc, lang)""")

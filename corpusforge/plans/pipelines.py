@@ -59,3 +59,70 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
     enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
     ids = numericalise(enc, json_vocab_ids(vocab), id_cols, "pieces")
     return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
+
+
+def _side_truecase(df: DataFrame, id_cols: list[str], col: str, split_col: str, fit_splits, model=None):
+    from ..operators.truecase import truecase_apply, truecase_fit
+    if model is None:
+        model = truecase_fit(df.where(F.col(split_col).isin(list(fit_splits))), col)
+    return truecase_apply(df, model, id_cols, col, col)
+
+
+def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=None, id_col: str = "line_no",
+                      split_col: str = "split", filter_splits: tuple[str, ...] = ("train",),
+                      min_len: int = 1, max_len: int = 100, ratio: float = 1.8,
+                      truecase_models: tuple[DataFrame, DataFrame] | None = None,
+                      materialise: bool = True) -> DataFrame:
+    """Parallel corpus preparation as one plan: language filter (filtered
+    splits only, labels from ``lid_model``; skipped when None) → normalise and
+    tokenise both sides → length/ratio cleaning (filtered splits) → truecaser
+    fitted on the filtered splits per side (or the given models, e.g. one
+    fitted on another corpus) → truecasing of every split.
+
+    The tokenised table feeds both the fit and the apply; with
+    ``materialise`` it is checkpointed once (reliable, in the session's
+    checkpoint folder) instead of being recomputed.
+    """
+    from ..functions.rules import normalise_tokenise
+    from ..operators.filters import clean_pairs, lid_filter
+    from ..operators.lid import label_of, lid_predict
+    df = pairs.select(id_col, split_col, "src", "tgt")
+    if lid_model is not None:
+        ps = lid_predict(df.select(id_col, F.col("src").alias("line")), lid_model, [id_col], "line", out="_ps")
+        pt = lid_predict(df.select(id_col, F.col("tgt").alias("line")), lid_model, [id_col], "line", out="_pt")
+        df = (df.join(ps.select(id_col, label_of("_ps").alias("src_label")), id_col, "left")
+              .join(pt.select(id_col, label_of("_pt").alias("tgt_label")), id_col, "left"))
+        df = lid_filter(df, src_lang, tgt_lang, splits=filter_splits, split_col=split_col)
+    df = (df.withColumn("_sl", F.lit(src_lang)).withColumn("_tl", F.lit(tgt_lang))
+          .select(id_col, split_col, normalise_tokenise("src", "_sl").alias("src"),
+                  normalise_tokenise("tgt", "_tl").alias("tgt")))
+    df = clean_pairs(df, "src", "tgt", min_len, max_len, ratio, splits=filter_splits, split_col=split_col)
+    if materialise:
+        from ..session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
+    sm, tm = truecase_models or (None, None)
+    src = _side_truecase(df.select(id_col, split_col, "src"), [id_col], "src", split_col, filter_splits, sm)
+    tgt = _side_truecase(df.select(id_col, split_col, "tgt"), [id_col], "tgt", split_col, filter_splits, tm)
+    return df.select(id_col, split_col).join(src, id_col).join(tgt, id_col)
+
+
+def preprocess_monolingual(lines: DataFrame, id_cols: list[str], text_col: str = "line", lang_col: str = "lang",
+                           split_col: str = "split", fit_splits: tuple[str, ...] = ("train",),
+                           max_fields: int = 100, materialise: bool = True) -> DataFrame:
+    """Monolingual preparation: normalise and tokenise → fewer than
+    ``max_fields`` tokens on the fitted splits (empty lines stay) →
+    truecaser per language fitted on those splits → truecasing of every
+    split. Returns ``(id…, lang, split, text)``."""
+    from ..functions.rules import normalise_tokenise
+    from ..operators.filters import max_tokens
+    from ..operators.truecase import truecase_apply, truecase_fit
+    df = lines.select(*id_cols, lang_col, split_col, normalise_tokenise(text_col, lang_col).alias("tok"))
+    df = max_tokens(df, "tok", max_fields, True, splits=fit_splits, split_col=split_col)
+    if materialise:
+        from ..session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
+    model = truecase_fit(df.where(F.col(split_col).isin(list(fit_splits))), "tok", [lang_col])
+    out = truecase_apply(df, model, id_cols + [lang_col], "tok", "text", group_cols=[lang_col])
+    return df.select(*id_cols, lang_col, split_col).join(out, id_cols + [lang_col])
