@@ -36,12 +36,14 @@ def char_windows(c, n: int = 3, newline: bool = True) -> Column:
     from a file do. A line shorter than ``n`` yields one window: the short
     string itself, which can never equal a full ``n``-gram.
 
-    One left-to-right regex pass with a zero-width lookahead captures every
-    overlapping window in O(length); indexing code points with ``substring``
-    would rescan the UTF-8 bytes for every position.
+    One left-to-right regex pass captures every overlapping window in
+    O(length): each match consumes exactly one code point and looks ahead for
+    the window (a zero-width match would also stop inside a surrogate pair).
+    Indexing code points with ``substring`` would rescan the string for every
+    position.
     """
     s = F.concat(col_of(c), F.lit("\n")) if newline else col_of(c)
-    grams = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    grams = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
     return F.when(F.size(grams) > 0, grams).otherwise(F.array(s))
 
 

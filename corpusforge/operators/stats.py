@@ -144,7 +144,7 @@ def oov_stats(train_lex: DataFrame, dev_lex: DataFrame, group_cols: list[str] |
     miss = F.col("_known").isNull()
     out = j.groupBy(*g).agg(
         F.coalesce(F.sum(F.when(miss, F.col("n"))), F.lit(0)).cast("long").alias("n_oov"),
-        F.sum("n").cast("long").alias("n_tokens"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_tokens"),
         F.count_if(miss).cast("long").alias("n_unique_oov"),
         F.count(F.lit(1)).cast("long").alias("n_unique"))
     return (out.withColumn("p_oov", F.round(F.try_divide(F.col("n_oov").cast("double"), F.col("n_tokens")), ROUND))
