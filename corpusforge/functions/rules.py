@@ -17,15 +17,16 @@ from .text import col_of
 
 Rule = tuple[str, str, "tuple[str, ...] | None"]
 
+# ---- fixed values: one-character mappings (one ``translate`` pass; a
+# character without a counterpart is deleted) ----------------------------------
+TRANSLATE_FROM = "\u201c\u201d\u201e\u201f\u00ab\u00bb\u2018\u2019\u201a\u201b\u00b4`\u2013\u00a0\u202f\u2009\u3000\r"
+# six double-quote forms, six apostrophe forms, en dash, four spaces; CR is dropped
+TRANSLATE_TO = '"' * 6 + "'" * 6 + "-" + " " * 4
+
 # ---- fixed values: punctuation normalisation -------------------------------
 NORMALISE: list[Rule] = [
-    ("\r", "", None),
-    ("[\u201c\u201d\u201e\u201f\u00ab\u00bb]", '"', None),
-    ("[\u2018\u2019\u201a\u201b\u00b4`]", "'", None),
     ("\u2026", "...", None),
-    ("\u2013", "-", None),
     ("\u2014", " - ", None),
-    ("[\u00a0\u202f\u2009\u3000]", " ", None),
     (" +([:;?!%])", "$1", ("!", "fr")),
     (" {2,}", " ", None),
     ("^ ", "", None),
@@ -43,8 +44,8 @@ TOKENISE: list[Rule] = [
     ("([\\p{L}])'([\\p{L}])", "$1 '$2", ("en",)),
     ("([\\p{L}])'([\\p{L}])", "$1' $2", ("fr",)),
     ("([^. ])\\.( *)$", "$1 .$2", None),
-    ("([\\p{L}\\p{N}]{3,})\\. (\\p{Lu})", "$1 . $2", None),
-    ("([\\p{L}\\p{N}]{3,})\\. (\\p{Lu})", "$1 . $2", None),
+    ("([\\p{L}\\p{N}]{3})\\. (\\p{Lu})", "$1 . $2", None),
+    ("([\\p{L}\\p{N}]{3})\\. (\\p{Lu})", "$1 . $2", None),
     ("[ \\t]+", " ", None),
     ("^ ", "", None),
     (" $", "", None),
@@ -113,11 +114,11 @@ def apply_rules(c, rules: list[Rule], lang_col: str | None = None) -> Column:
 
 
 def normalise(c, lang_col: str | None = None) -> Column:
-    return apply_rules(c, NORMALISE, lang_col)
+    return apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE, lang_col)
 
 
 def normalise_tokenise(c, lang_col: str | None = None) -> Column:
-    return apply_rules(c, NORMALISE + TOKENISE, lang_col)
+    return apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE + TOKENISE, lang_col)
 
 
 def detokenise(c, lang_col: str | None = None) -> Column:
@@ -167,5 +168,10 @@ def rules_sql(expr: str, rules: list[Rule], lang_expr: str | None = None) -> str
     return f"(CASE {arms} ELSE {_chain_sql(expr, rules, None)} END)"
 
 
+def translate_sql(expr: str) -> str:
+    return (f"translate({expr}, {_sql_literal(TRANSLATE_FROM.replace(chr(13), ''))} || chr(13), "
+            f"{_sql_literal(TRANSLATE_TO)})")
+
+
 def normalise_tokenise_sql(expr: str, lang_expr: str | None = None) -> str:
-    return rules_sql(expr, NORMALISE + TOKENISE, lang_expr)
+    return rules_sql(translate_sql(expr), NORMALISE + TOKENISE, lang_expr)
