@@ -47,13 +47,21 @@ def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str
 
 def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_size: int,
                    merges_per_round: int = 64, split_col: str = "split",
-                   learn_splits: tuple[str, ...] = ("train",)) -> DataFrame:
-    """Learn a BPE vocabulary on the training lines (one joint vocabulary for
-    every column given), encode every split, numericalise with reserved ids.
+                   learn_splits: tuple[str, ...] = ("train",), max_sentences: int | None = 1_000_000,
+                   seed: int = 42, id_col: str | None = None) -> DataFrame:
+    """Learn a BPE vocabulary on the training lines (at most ``max_sentences``
+    of them, a seeded random choice; one joint vocabulary for every column
+    given), encode every split, numericalise with reserved ids.
     Returns ``(id…, split, pieces, ids)``."""
+    from ..operators.sampling import head
     from ..operators.subword import (bpe_encode_words, bpe_learn, encode_lines, json_vocab_ids,
                                      numericalise, word_table)
     train = lines.where(F.col(split_col).isin(list(learn_splits)))
+    if max_sentences is not None:
+        key = id_col or "_sid"
+        keyed = train if id_col else train.withColumn("_sid", F.concat_ws(":", *[F.col(c).cast("string")
+                                                                                 for c in id_cols]))
+        train = head(keyed, max_sentences, key, seed)
     vocab, _ = bpe_learn(word_table(train, text_col), vocab_size, merges_per_round)
     wp = bpe_encode_words(word_table(lines, text_col), vocab)
     enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
