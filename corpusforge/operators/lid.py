@@ -32,30 +32,50 @@ def lid_fit(lines: DataFrame, lang_col: str = "lang", line_col: str = "line", n:
     return grams, langs
 
 
+def _languages(langs: DataFrame) -> list[tuple[str, float]]:
+    # one row per language: the language inventory, bounded and tiny
+    return [(r["lang"], float(r["ln_denominator"])) for r in langs.orderBy("lang").collect()]
+
+
+def _line_sums(lines: DataFrame, grams: DataFrame, names: list[str], id_cols: list[str], line_col: str,
+               n: int) -> DataFrame:
+    """Per line: number of n-grams and, per language, Σ ln(c+1) over its grams.
+
+    The model is pivoted to one row per gram (a column per language), so every
+    line gram meets at most one model row: the join keeps row counts, and one
+    hash aggregate per line (collapsed map-side) yields all sums at once.
+    """
+    wide = grams.groupBy("gram").pivot("lang", names).agg(F.first("ln_c1"))
+    lg = lines.select(*id_cols, F.explode(char_windows(line_col, n)).alias("gram"))
+    j = lg.join(wide, "gram", "left")
+    aggs = [F.count(F.lit(1)).alias("_ng")] + [F.coalesce(F.sum(F.col(f"`{x}`")), F.lit(0.0)).alias(f"_s{i}")
+                                               for i, x in enumerate(names)]
+    return j.groupBy(*id_cols).agg(*aggs)
+
+
 def lid_scores(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: list[str],
                line_col: str = "line", n: int = 3) -> DataFrame:
     """``(id…, lang, score)`` for every line and every language."""
     grams, langs = model
-    lg = lines.select(*id_cols, F.explode(char_windows(line_col, n)).alias("gram"))
-    seen = (lg.join(grams.select("gram", "lang", "ln_c1"), "gram")
-            .groupBy(*id_cols, "lang").agg(F.sum("ln_c1").alias("_seen")))
-    sizes = lines.select(*id_cols, F.size(char_windows(line_col, n)).alias("_ng"))
-    # every line × every language: the language table has one row per language
-    full = sizes.crossJoin(F.broadcast(langs.select("lang", "ln_denominator")))
-    return (full.join(seen, id_cols + ["lang"], "left")
-            .select(*id_cols, "lang",
-                    (F.coalesce(F.col("_seen"), F.lit(0.0)) - F.col("_ng") * F.col("ln_denominator"))
-                    .alias("score")))
+    inv = _languages(langs)
+    sums = _line_sums(lines, grams, [x for x, _ in inv], id_cols, line_col, n)
+    per = [F.struct(F.lit(x).alias("lang"), (F.col(f"_s{i}") - F.col("_ng") * F.lit(den)).alias("score"))
+           for i, (x, den) in enumerate(inv)]
+    return sums.select(*id_cols, F.explode(F.array(*per)).alias("_x")).select(*id_cols, "_x.lang", "_x.score")
 
 
 def lid_predict(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: list[str],
                 line_col: str = "line", n: int = 3, out: str = "pred") -> DataFrame:
     """Most likely language per line (score rounded to 6 decimals; ties → the
-    larger language code)."""
-    sc = lid_scores(lines, model, id_cols, line_col, n)
-    best = sc.groupBy(*id_cols).agg(
-        F.max(F.struct(F.round("score", ROUND).alias("s"), F.col("lang").alias("l"))).alias("_b"))
-    return best.select(*id_cols, F.col("_b.l").alias(out), F.col("_b.s").alias(f"{out}_score"))
+    larger language code), chosen in-row over the language columns."""
+    grams, langs = model
+    inv = _languages(langs)
+    sums = _line_sums(lines, grams, [x for x, _ in inv], id_cols, line_col, n)
+    cands = [F.struct(F.round(F.col(f"_s{i}") - F.col("_ng") * F.lit(den), ROUND).alias("s"), F.lit(x).alias("l"))
+             for i, (x, den) in enumerate(inv)]
+    best = F.greatest(*cands) if len(cands) > 1 else cands[0]
+    return sums.select(*id_cols, best.alias("_b")).select(*id_cols, F.col("_b.l").alias(out),
+                                                           F.col("_b.s").alias(f"{out}_score"))
 
 
 def label_of(lang_col) -> "F.Column":
