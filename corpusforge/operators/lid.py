@@ -18,11 +18,21 @@ from ..functions.text import char_windows
 ROUND = 6
 
 
-def lid_fit(lines: DataFrame, lang_col: str = "lang", line_col: str = "line", n: int = 3) -> tuple[DataFrame, DataFrame]:
+def lid_fit(lines: DataFrame, lang_col: str = "lang", line_col: str = "line", n: int = 3,
+            materialise: bool = True) -> tuple[DataFrame, DataFrame]:
     """Returns ``(grams, langs)``: ``grams(lang, gram, n, ln_c1)`` and
-    ``langs(lang, n_total, ln_denominator)``."""
+    ``langs(lang, n_total, ln_denominator)``.
+
+    With ``materialise`` the gram counts (the model: grams × languages, far
+    smaller than the corpus) are written once as a reliable checkpoint, so
+    predicting several columns and reading the language inventory do not
+    refit it."""
     counts = (lines.select(F.col(lang_col).alias("lang"), F.explode(char_windows(line_col, n)).alias("gram"))
               .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    if materialise:
+        from ..session import checkpoint_dir
+        checkpoint_dir(lines.sparkSession)
+        counts = counts.checkpoint()
     vocab = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n_total"))
     langs = (totals.crossJoin(vocab)  # one row per language × one row

@@ -25,6 +25,8 @@ TRAIN_KEYS = [f"train:{lang}" for lang in LANGS]
 DEV_KEYS = [f"dev:{lang}" for lang in LANGS]
 
 
+PARTITIONS_PER_CORE = 4
+
 # key used to spread a table whose scan yields too few partitions
 TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id", "labels": "doc_id",
               "pages": "page_id", "benchmark": "item_id"}
@@ -33,13 +35,14 @@ TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "even
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a shared table. A scan with fewer partitions than the cluster's
     default parallelism (a small file, one row group) is hash-partitioned on
-    the table key so CPU-heavy text work is not serialised in one task; on a
-    large input the scan already has enough splits and nothing is added."""
+    the table key so CPU-heavy text work is not serialised in one task — into
+    several partitions per core, since document sizes vary by orders of
+    magnitude. A large input already has enough splits and nothing is added."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
     key = TABLE_KEYS.get(name)
-    if key and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target, key)
+    if key and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(PARTITIONS_PER_CORE * cores, key)
     return df
 
 
