@@ -519,3 +519,38 @@ def q_preprocess_monolingual(spark, sf):
     lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "split", "line")
     out = preprocess_monolingual(lines, ["doc_id", "line_in_doc"], "line")
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "lang", "split", "text")
+
+
+# -------------------------------------------------------- vocabulary files
+
+def _vocab_file(spark, sf):
+    """The character vocabulary of the English training lines written as a
+    vocabulary file would be: three special rows, then ``piece \\t score`` in
+    id order, numbered from 0."""
+    from ..operators.subword import SPECIALS, char_vocab
+    tok = _tok_lines(spark, sf).where((F.col("lang") == "en") & (F.col("split") == "train"))
+    v = char_vocab(tok, "tok", 1.0).select("id", F.concat_ws("\t", "piece", F.col("score").cast("string")).alias("line"))
+    specials = spark.createDataFrame([(i, f"{p}\t0") for i, p in enumerate(SPECIALS)], "id int, line string")
+    return specials.unionByName(v).select(F.col("id").cast("long").alias("line_no"), "line")
+
+
+@query("vocab_read")
+def q_vocab_read(spark, sf):
+    from ..sources.align import read_vocab
+    return read_vocab(_vocab_file(spark, sf)).select("id", "piece", F.round("score", 6).alias("score"))
+
+
+@query("vocab_dict")
+def q_vocab_dict(spark, sf):
+    from ..sources.align import read_vocab
+    from ..sources.sinks import vocab_to_dict
+    v = read_vocab(_vocab_file(spark, sf))
+    return vocab_to_dict(v.select("id", "piece"), keep=["id"])
+
+
+@query("vocab_json")
+def q_vocab_json(spark, sf):
+    from ..sources.align import read_vocab
+    from ..sources.sinks import vocab_to_json
+    v = read_vocab(_vocab_file(spark, sf))
+    return vocab_to_json(v.withColumn("id", F.col("id") + 2))

@@ -39,9 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     several partitions per core, since document sizes vary by orders of
     magnitude. A large input already has enough splits and nothing is added."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a SparkContext handle
+        return df
     key = TABLE_KEYS.get(name)
-    if key and df.rdd.getNumPartitions() < cores:
+    try:
+        n_splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: keep the scan as it is
+        n_splits = cores
+    if key and n_splits < cores:
         df = df.repartition(PARTITIONS_PER_CORE * cores, key)
     return df
 

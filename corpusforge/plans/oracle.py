@@ -639,3 +639,16 @@ mf AS (SELECT * FROM ml WHERE split = 'train'),
 {truecase_sql('mf', 'ml', 'doc_id, line_in_doc', 'tok', 'tcm2', 'lang')}
 SELECT ml.doc_id, ml.line_in_doc::BIGINT AS line_in_doc, ml.lang, ml.split, tcm2.text
 FROM ml JOIN tcm2 USING (doc_id, line_in_doc, lang)""")
+
+
+_VOCAB_FILE = f"""{TOKL},
+vc AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train' AND lang = 'en'),
+vn AS (SELECT piece, count(*) AS n FROM vc GROUP BY piece),
+vr AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) + 2 AS id,
+              round(ln(n / sum(n) OVER ()), 6) AS score FROM vn)"""
+
+register("vocab_read", f"""WITH {_VOCAB_FILE}
+SELECT (id - 3)::INTEGER AS id, piece, score FROM vr""")
+
+register("vocab_dict", f"""WITH {_VOCAB_FILE}
+SELECT (id - 3)::INTEGER AS id, piece || ' 100' AS line FROM vr""")

@@ -96,6 +96,7 @@ def vocab_to_json(vocab: DataFrame, piece_col: str = "piece", id_col: str = "id"
     return allv.agg(F.to_json(m).alias("json"))
 
 
-def vocab_to_dict(vocab: DataFrame, piece_col: str = "piece", count: int = 100) -> DataFrame:
+def vocab_to_dict(vocab: DataFrame, piece_col: str = "piece", count: int = 100,
+                  keep: list[str] | None = None) -> DataFrame:
     """Vocabulary → ``piece count`` lines for a fixed-count dictionary."""
-    return vocab.select(F.concat_ws(" ", F.col(piece_col), F.lit(str(count))).alias("line"))
+    return vocab.select(*(keep or []), F.concat_ws(" ", F.col(piece_col), F.lit(str(count))).alias("line"))
