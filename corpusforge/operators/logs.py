@@ -69,11 +69,17 @@ def early_stop(metrics: DataFrame, key: str, patience: int = 10, run_col: str =
     for ``patience`` consecutive validations (per run; NULL if never).
 
     Validations are the rows of ``key`` in ``order_col`` order; running maxima
-    are bucketed prefixes, so one long run does not land in one task.
+    are bucketed prefixes, so one long run does not land in one task. The
+    numbered validation series (one row per validation, far smaller than the
+    log) is checkpointed once, so the two running maxima do not re-read the
+    log.
     """
+    from ..session import checkpoint_dir
     from .ordering import index_by_int
     m = metrics.where(F.col("key") == key).select(run_col, order_col, "step", "value")
     m = index_by_int(m, order_col, "idx", width, [run_col])
+    checkpoint_dir(m.sparkSession)
+    m = m.checkpoint()
     m = prefix_agg(m, "idx", "value", "max", "_prev_best", [run_col], width, inclusive=False)
     m = m.withColumn("_imp_idx", F.when(F.col("_prev_best").isNull() | (F.col("value") > F.col("_prev_best")),
                                         F.col("idx")))
