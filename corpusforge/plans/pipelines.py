@@ -69,13 +69,6 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
     return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
 
 
-def _side_truecase(df: DataFrame, id_cols: list[str], col: str, split_col: str, fit_splits, model=None):
-    from ..operators.truecase import truecase_apply, truecase_fit
-    if model is None:
-        model = truecase_fit(df.where(F.col(split_col).isin(list(fit_splits))), col)
-    return truecase_apply(df, model, id_cols, col, col)
-
-
 def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=None, id_col: str = "line_no",
                       split_col: str = "split", filter_splits: tuple[str, ...] = ("train",),
                       min_len: int = 1, max_len: int = 100, ratio: float = 1.8,
@@ -109,10 +102,19 @@ def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=
         from ..session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint()
-    sm, tm = truecase_models or (None, None)
-    src = _side_truecase(df.select(id_col, split_col, "src"), [id_col], "src", split_col, filter_splits, sm)
-    tgt = _side_truecase(df.select(id_col, split_col, "tgt"), [id_col], "tgt", split_col, filter_splits, tm)
-    return df.select(id_col, split_col).join(src, id_col).join(tgt, id_col)
+    # both sides in one table: one fit (per side), one apply, one pivot back
+    from ..operators.truecase import truecase_apply, truecase_fit
+    stacked = (df.select(id_col, split_col, F.lit("src").alias("side"), F.col("src").alias("text"))
+               .unionByName(df.select(id_col, split_col, F.lit("tgt").alias("side"), F.col("tgt").alias("text"))))
+    if truecase_models is None:
+        model = truecase_fit(stacked.where(F.col(split_col).isin(list(filter_splits))), "text", ["side"])
+    else:
+        sm, tm = truecase_models
+        model = (sm.select("lc", "form", "n").withColumn("side", F.lit("src"))
+                 .unionByName(tm.select("lc", "form", "n").withColumn("side", F.lit("tgt"))))
+    tc = truecase_apply(stacked, model, [id_col, split_col, "side"], "text", "text", group_cols=["side"])
+    return tc.groupBy(id_col, split_col).agg(F.max(F.when(F.col("side") == "src", F.col("text"))).alias("src"),
+                                             F.max(F.when(F.col("side") == "tgt", F.col("text"))).alias("tgt"))
 
 
 def preprocess_monolingual(lines: DataFrame, id_cols: list[str], text_col: str = "line", lang_col: str = "lang",
@@ -132,5 +134,4 @@ def preprocess_monolingual(lines: DataFrame, id_cols: list[str], text_col: str =
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint()
     model = truecase_fit(df.where(F.col(split_col).isin(list(fit_splits))), "tok", [lang_col])
-    out = truecase_apply(df, model, id_cols + [lang_col], "tok", "text", group_cols=[lang_col])
-    return df.select(*id_cols, lang_col, split_col).join(out, id_cols + [lang_col])
+    return truecase_apply(df, model, id_cols + [lang_col, split_col], "tok", "text", group_cols=[lang_col])
