@@ -554,3 +554,26 @@ def q_vocab_json(spark, sf):
     from ..sources.sinks import vocab_to_json
     v = read_vocab(_vocab_file(spark, sf))
     return vocab_to_json(v.withColumn("id", F.col("id") + 2))
+
+
+# ------------------------------------------------------- registry, relabel
+
+@query("relabel_split")
+def q_relabel_split(spark, sf):
+    """Source split names mapped to ours after a re-split (``valid`` → ``val``)."""
+    from ..sources.align import relabel_split
+    return relabel_split(q_reshuffle_split(spark, sf), {"valid": "val", "test": "dev"})
+
+
+@query("corpus_registry")
+def q_corpus_registry(spark, sf):
+    """Every source of ``documents`` registered as a corpus (role by the seeded
+    split), read through the registry and counted."""
+    from ..sources.registry import corpora, join_registered
+    names = [r["source"] for r in I.table(spark, sf, "documents").select("source").distinct()
+             .orderBy("source").collect()]  # registry: one row per source, a handful
+    reg = corpora(spark, [(f"{s}:{role}", role, f"{s}:{role}", "xx", "xx") for s in names
+                          for role in ("train", "dev")])
+    lines = I.doc_lines(spark, sf).select("source", "split", "line")
+    read = join_registered(lines, reg, F.concat_ws(":", "source", "split"))
+    return read.groupBy("corpus", "role").agg(F.count(F.lit(1)).cast("long").alias("n_lines"))

@@ -652,3 +652,11 @@ SELECT (id - 3)::INTEGER AS id, piece, score FROM vr""")
 
 register("vocab_dict", f"""WITH {_VOCAB_FILE}
 SELECT (id - 3)::INTEGER AS id, piece || ' 100' AS line FROM vr""")
+
+_RS = ORACLE["reshuffle_split"]
+register("relabel_split", _RS.replace(
+    "SELECT doc_id, CASE WHEN pos < (SELECT n_train FROM n) THEN 'train' ELSE 'valid' END AS split FROM p",
+    "SELECT doc_id, CASE WHEN pos < (SELECT n_train FROM n) THEN 'train' ELSE 'val' END AS split FROM p"))
+
+register("corpus_registry", f"""WITH {LINES}
+SELECT source || ':' || split AS corpus, split AS role, count(*)::BIGINT AS n_lines FROM lines GROUP BY source, split""")

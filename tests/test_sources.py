@@ -32,6 +32,15 @@ def test_registry_reads_and_tags(spark):
     assert only_dev.count() == 1
 
 
+def test_join_registered_single_scan(spark):
+    lines = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")], "src string, line string")
+    reg = registry.corpora(spark, [("A", "train", "a", "fr", "en"), ("B", "dev", "b", "fr", "en")])
+    got = sorted(tuple(r) for r in registry.join_registered(lines, reg, "src").select("corpus", "role", "line")
+                 .collect())
+    assert got == [("A", "train", "x"), ("A", "train", "y"), ("B", "dev", "z")]
+    assert registry.join_registered(lines, reg, "src", role="dev").count() == 1
+
+
 def test_joint_vocabulary_rule():
     registry.check_joint("bpe", "bpe", 16000, 16000)
     registry.check_joint("char", "char", None, 5)
