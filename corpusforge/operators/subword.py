@@ -43,7 +43,8 @@ def char_vocab(lines: DataFrame, text_col: str = "line", coverage: float = 1.0,
     inventory (hundreds of rows per group), not over corpus rows."""
     g = list(group_cols or [])
     marked = F.concat(F.lit(PIECE_SPACE), F.array_join(tokens(text_col), PIECE_SPACE))
-    counts = lines.select(*g, F.explode(chars(marked)).alias("piece")).groupBy(*g, "piece").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    counts = (lines.select(*g, F.explode(chars(marked)).alias("piece"))
+              .groupBy(*g, "piece").agg(F.count(F.lit(1)).cast("long").alias("n")))
     order = Window.partitionBy(*g).orderBy(F.col("n").desc(), F.col("piece"))
     whole = Window.partitionBy(*g)
     ranked = (counts.withColumn("_rank", F.row_number().over(order))
