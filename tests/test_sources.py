@@ -111,3 +111,19 @@ def test_relabel_and_direction(spark):
     assert c == {("fr", "en", "b", "a"), ("fr", "en", "c", "d")}
     rv = align.reverse(df).select("src_lang", "tgt_lang", "src", "tgt").collect()
     assert tuple(rv[0]) == ("fr", "en", "b", "a")
+
+
+def test_read_lines_numbering_across_many_splits(spark):
+    d = _tmp()
+    p = os.path.join(d, "big.txt")
+    want = [f"line {i} " + "x" * (i % 37) for i in range(3000)]
+    _write(p, "\n".join(want) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = lines.read_lines(spark, p)
+        assert df.rdd.getNumPartitions() > 1
+        got = [(r.line_no, r.line) for r in df.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(enumerate(want))
