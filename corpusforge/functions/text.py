@@ -44,7 +44,9 @@ def char_windows(c, n: int = 3, newline: bool = True) -> Column:
     """
     s = F.concat(col_of(c), F.lit("\n")) if newline else col_of(c)
     grams = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
-    return F.when(F.size(grams) > 0, grams).otherwise(F.array(s))
+    # at least n code points <=> at least one window; testing the length keeps
+    # the regex to one evaluation even where no subexpression reuse applies
+    return F.when(F.length(s) >= n, grams).otherwise(F.array(s))
 
 
 def token_ngrams(toks, n: int) -> Column:
