@@ -24,7 +24,9 @@ def explode_lines(df: DataFrame, text_col: str = "text", pos_col: str = "line_in
                   line_col: str = "line") -> DataFrame:
     """One row per line, keeping every other column; ``pos_col`` is 0-based."""
     keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.posexplode(split_lines(text_col)).alias(pos_col, line_col))
+    # split once in a projection: an explode does not share repeated subexpressions
+    parts = df.select(*keep, split_lines(text_col).alias("_lines"))
+    return parts.select(*keep, F.posexplode("_lines").alias(pos_col, line_col))
 
 
 def number_lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
