@@ -59,10 +59,12 @@ def char_vocab(lines: DataFrame, text_col: str = "line", coverage: float = 1.0,
 def pair_counts(words: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Weighted adjacent symbol pairs: ``(group…, left, right, n)``."""
     g = list(group_cols or [])
-    s = F.split(F.col("syms"), " ", -1)
+    # split once in a projection: an explode does not share repeated subexpressions
+    split = words.select(*g, "freq", F.split(F.col("syms"), " ", -1).alias("_s"))
+    s = F.col("_s")
     k = F.size(s) - 1
     zipped = F.arrays_zip(F.slice(s, 1, k).alias("l"), F.slice(s, 2, k).alias("r"))
-    ex = words.where(F.size(s) > 1).select(*g, "freq", F.explode(zipped).alias("p"))
+    ex = split.where(F.size(s) > 1).select(*g, "freq", F.explode(zipped).alias("p"))
     return (ex.groupBy(*g, F.col("p.l").alias("left"), F.col("p.r").alias("right"))
             .agg(F.sum("freq").cast("long").alias("n")))
 
