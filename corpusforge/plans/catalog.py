@@ -243,7 +243,7 @@ def q_swap_direction(spark, sf):
 
 @query("build_parallel")
 def q_build_parallel(spark, sf):
-    from ..plans.pipelines import build_parallel
+    from ..plans.composites import build_parallel
     return build_parallel(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"), "fr", "en",
                           n_val=1000, n_dev=1000, seed=I.SEED)
 
@@ -376,7 +376,7 @@ def q_detruecase(spark, sf):
 
 @query("postprocess")
 def q_postprocess(spark, sf):
-    from ..plans.pipelines import postprocess
+    from ..plans.composites import postprocess
     from ..functions.text import char_pieces
     t = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "lang", char_pieces(F.lower("tok")).alias("hyp"))
     return postprocess(t, "hyp", "lang").select("doc_id", F.col("line_in_doc").cast("long"), "text")
@@ -405,7 +405,7 @@ def _decoder_log(spark, sf):
 
 @query("score_dev")
 def q_score_dev(spark, sf):
-    from ..plans.pipelines import score_dev
+    from ..plans.composites import score_dev
     refs = I.pairs(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("tgt").alias("ref"))
     return score_dev(_decoder_log(spark, sf), refs, "en")
 
@@ -497,25 +497,25 @@ def q_numericalise(spark, sf):
 
 @query("segment_corpus")
 def q_segment_corpus(spark, sf):
-    from ..plans.pipelines import segment_corpus
+    from ..plans.composites import segment_corpus
     lines = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "split", "tok")
     out = segment_corpus(lines, ["doc_id", "line_in_doc"], "tok", BPE_VOCAB, BPE_ROUND)
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "split",
                       F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
-# ----------------------------------------------------------------- pipelines
+# ---------------------------------------------------------------- composites
 
 @query("preprocess_corpus")
 def q_preprocess_corpus(spark, sf):
-    from ..plans.pipelines import preprocess_corpus
+    from ..plans.composites import preprocess_corpus
     pairs = q_build_parallel(spark, sf)
     return preprocess_corpus(pairs, "fr", "en", _lid_model(spark, sf)).select("line_no", "split", "src", "tgt")
 
 
 @query("preprocess_monolingual")
 def q_preprocess_monolingual(spark, sf):
-    from ..plans.pipelines import preprocess_monolingual
+    from ..plans.composites import preprocess_monolingual
     lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "split", "line")
     out = preprocess_monolingual(lines, ["doc_id", "line_in_doc"], "line")
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "lang", "split", "text")
