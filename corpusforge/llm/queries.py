@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import mixing, pii, quality, sharding, simhash
-from corpusforge.llm.common import fold, table, written
+from corpusforge.llm import langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
+from corpusforge.llm.common import fold, table
 
 SHARDS = 16
 WEIGHTS = (5, 2, 1)
@@ -32,6 +32,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness; the likeness to the next document."""
+    found = order_minhash.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        order_minhash.fingerprint(F.col("sig")).alias("fingerprint"),
+        order_minhash.fingerprint(F.col("edited_sig")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        order_minhash.likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels of the other four folds."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, fold(F.col("doc_id"), 5) != 0))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the other three folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs, fold(F.col("doc_id"), 4) != 2))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the group it links to at 2 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, distance=2)
@@ -64,6 +89,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
+    "op5_order_minhash": op5_order_minhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_langid": op7_langid,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
