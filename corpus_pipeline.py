@@ -6,14 +6,44 @@ Every stage reads what its predecessor wrote and, but for the last, returns the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusforge.llm import mixing, sharding, simhash
+from corpusforge.llm import decontaminate, mixing, sharding, simhash, toxicity
 from corpusforge.llm.common import table
+from corpusforge.llm.queries import SHARDS, WEIGHTS
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones among them, doesn't call toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs, shingle=3, distance=2)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    _, clean = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return clean()
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix takes them (up to three times)."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
+    found = mixing.mix(docs, WEIGHTS, carry=carry)
+    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard, of 16 equal ones, and their slot in it."""
+    return sharding.assign(docs, [1.0] * SHARDS, "doc_id", [c for c in docs.columns if c != "doc_id"])
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxic), ("near_duplicates", near_copies), ("decontamination", benchmark_passages),
+          ("mixing", mixed), ("sharding", shards)]
 #: The toxicity model and the fingerprints have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
+from corpusforge.llm import decontaminate, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
 from corpusforge.llm.common import fold, table
 
 SHARDS = 16
@@ -32,6 +32,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the part of it that they cover."""
+    found, _ = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness; the likeness to the next document."""
     found = order_minhash.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,6 +95,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
+    "op4_decontaminate": op4_decontaminate,
     "op5_order_minhash": op5_order_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
