@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontaminate, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
+from corpusforge.llm import decontaminate, html_extract, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
 from corpusforge.llm.common import fold, table
 
 SHARDS = 16
@@ -26,6 +26,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, repeating, to the size of the whole."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -94,6 +100,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html": op2_html,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_order_minhash": op5_order_minhash,
