@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.session import checkpoint_dir
+
 #: Classes of characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,17 +40,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's shared checkpoint folder, so that later stages reread it
-    even if executors are lost. The folder comes from ``spark.checkpoint.dir``; only a local session without
-    one gets a scratch folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        sc.setCheckpointDir(folder)
+    even if executors are lost."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

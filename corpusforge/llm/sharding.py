@@ -44,7 +44,8 @@ def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", carry
     ``slot`` numbers the rows of a shard from 0 without gaps, in the order of a seeded hash of the key, then the
     key, then the columns ``tie``; equal rows are interchangeable. A shard is never sorted as one group: its rows
     are dealt into 16**RANGE_DIGITS ranges of the hash, each numbered by itself and shifted by the rows before it.
-    Range totals (at most shards * ranges rows, the bound of their broadcast) come from a scan of the key alone.
+    Range totals (at most shards * ranges rows) come from a scan of the key alone and meet the rows in the
+    partitioning that numbers them.
 
     Nulls in the key share one shard and are spread over the ranges by ``tie``; empty tables give no rows;
     a column named like a result column is replaced, other extra columns are carried only if named.
@@ -66,6 +67,6 @@ def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", carry
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_range").orderBy("_order", key, *tie)
-    numbered = placed.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "_range"])
+    numbered = placed.withColumn("_row", F.row_number().over(within)).join(starts, ["shard", "_range"])
     out = [*dict.fromkeys([key, *(c for c in carry if c in keep)]), "shard", (F.col("_start") + F.col("_row") - 1).alias("slot")]
     return numbered.select(*out, *(["grown_shard"] if grown_weight is not None else []))
