@@ -216,6 +216,7 @@ def search(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, tile: int =
         hit = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_found")).distinct()
         far = _shared_seeds(named, "text", filter_, lengths, keep=False)
         spared = near.join(hit, near["doc_id"].eqNullSafe(hit["_id"]) & (near["_hash"] == hit["_found"]), "left_anti")
-        return far.select(docs.columns).unionByName(spared.select(docs.columns))
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        return far.select(columns).unionByName(spared.select(columns))
 
     return found, clean

@@ -51,7 +51,11 @@ STOP_WORDS = frozenset(
     "al algo ante como con cuando del desde donde el ella ellos entre era es esta este esto fue ha hay la las lo los más me muy no nos o "
     "para pero por porque que se sin sobre su sus también te tiene todo un una y ya".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+# Possessive, and every branch may end with the page, so that broken markup is read once.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -185,7 +189,8 @@ def first_pass(block: Block, has_main: bool) -> str:
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is kept: undecided ones follow their nearest decided neighbours. If these differ, a block
-    of the main region or a heading before good text is kept, another takes the nearer label, bad if as near."""
+    of the main region or a heading before good text is kept, another takes the nearer label; if they are as near,
+    paragraphs are kept."""
     n = len(labels)
     before, after = [(0, "bad")] * n, [(0, "bad")] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -208,7 +213,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         elif found[i].tag in HEADINGS:
             out.append(b == "good")
         else:
-            out.append((a if da < db else b if db < da else "bad") == "good")
+            out.append(found[i].tag == "p" if da == db else (a if da < db else b) == "good")
     return out
 
 

@@ -3,7 +3,8 @@
 A text's features are the hashed character n-grams (over UTF-8 bytes of the lower-cased text) that occur in it.
 Each feature's value is its log-count ratio between toxic and other texts; a ridge logistic regression learns the
 weights on top. The sample that is learnt from is bounded (``PER_CLASS`` labelled texts of each class, in a seeded
-order); its n-grams are extracted in Spark tasks, and only hashed feature numbers reach the driver.
+order). Spark tasks extract and count its n-grams; the driver receives the counts of at most 2**BITS features, and
+then, for each sampled text, the few features that tell the classes apart.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import labelled_sample
+from corpusforge.llm.common import labelled_sample, written
 
-PER_CLASS = 2000
-ORDERS = (4, 5)
-BITS = 18
+PER_CLASS = 3000
+ORDERS = (5, 6)
+BITS = 20
 #: A feature is learnt from if it occurs in so many sampled texts and its rates differ by so many standard errors.
-LEAST_TEXTS, LEAST_Z = 4, 3.0
-RIDGE, STEPS, RATE = 1e-5, 60, 0.05
+LEAST_TEXTS, LEAST_Z = 4, 4.0
+RIDGE, STEPS, RATE = 1e-3, 100, 0.05
 PRIME, GOLDEN = np.uint32(16777619), np.uint32(0x9E3779B1)
 
 
@@ -51,57 +52,72 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
     return found
 
 
-def learn(found: list[np.ndarray], toxic: np.ndarray, prior: float) -> Model:
-    """Weights for every hashed feature from the texts' feature lists; ``prior`` is the log odds of the label among
-    all labelled texts, to which the sample's own odds are corrected."""
-    size, y = 1 << BITS, toxic.astype(float)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        return Model(np.zeros(size, np.float32), prior)
-    flat, rows = np.concatenate(found), np.repeat(np.arange(len(found)), list(map(len, found)))
-    with1, with0 = np.bincount(flat, y[rows], size), np.bincount(flat, 1 - y[rows], size)
+def telling(with1: np.ndarray, with0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the counted features whose rates differ beyond chance, and their log-count ratios."""
     ratio = np.log(((with1 + 1) / (n1 + 2)) / ((with0 + 1) / (n0 + 2)))
-    rate = (with1 + with0) / len(y)
+    rate = (with1 + with0) / (n1 + n0)
     error = np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0)) + 1e-9
     used = np.flatnonzero((np.abs(with1 / n1 - with0 / n0) > LEAST_Z * error) & (with1 + with0 >= LEAST_TEXTS))
-    place = np.full(size, -1)
-    place[used] = np.arange(len(used))
-    column = place[flat]
-    rows, column = rows[column >= 0], column[column >= 0]
-    value = ratio[used][column]
-    w = np.zeros(len(used) + 1)  # the last weight is the intercept
+    return used, ratio[used]
+
+
+def weigh(column: np.ndarray, rows: np.ndarray, toxic: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Logistic weights (the last is the intercept) of the features with these ratios; text ``rows[i]`` has feature
+    ``column[i]``."""
+    y, value = toxic.astype(float), ratio[column]
+    w = np.zeros(len(ratio) + 1)
     mean, spread = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(rows, value * w[column], len(y)) + w[-1], -30, 30)
         miss = (1 / (1 + np.exp(-z)) - y) / len(y)
-        slope = np.append(np.bincount(column, value * miss[rows], len(used)) + RIDGE * w[:-1], miss.sum())
+        slope = np.append(np.bincount(column, value * miss[rows], len(ratio)) + RIDGE * w[:-1], miss.sum())
         mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(size, np.float32)
-    weights[used] = ratio[used] * w[:-1]
-    return Model(weights, float(w[-1] + prior - math.log(n1 / n0)))
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS, seed: str = "toxicity") -> Model:
     """The model learnt from at most ``2 * per_class`` of the labels (column ``toxic``) that ``keep`` admits; how
-    common the label is comes from all of them. Without any label of one class the model answers the prior."""
+    common the label is comes from all of them. Without a text of one class the model answers the prior."""
     shares = labels.where(keep & F.col("toxic").isin(0, 1)).agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count("*").alias("all")).first()
     prior = math.log((shares["one"] + 1) / (shares["all"] - shares["one"] + 1))
-    sample = labelled_sample(docs, labels, "toxic", keep, per_class, seed).select("rank", "doc_id", "label", "text")
+    sample = written(labelled_sample(docs, labels, "toxic", keep, per_class, seed).select("rank", "doc_id", "label", "text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, size = np.zeros(1 << BITS, bool), 1 << BITS
+        counts = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(2).to_pylist(), batch.column(3)):
+                counts[label, features(text.as_py(), seen)] += 1
+        found = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1, found]), pa.array(counts[0, found])], ["feature", "with1", "with0"])
+
+    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), prior)
+    counted = (sample.mapInArrow(count, "feature long, with1 long, with0 long").groupBy("feature")
+               .agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
+               .where(F.col("with1") + F.col("with0") >= LEAST_TEXTS).toArrow().sort_by("feature"))
+    used, ratio = telling(counted["with1"].to_numpy(), counted["with0"].to_numpy(), size[1], size[0])
+    place = np.full(1 << BITS, -1, np.int32)
+    place[counted["feature"].to_numpy()[used]] = np.arange(len(used))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            lists = pa.array([features(t.as_py(), seen).astype(np.int32) for t in batch.column(3)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["rank", "doc_id", "label", "found"])
+            own = [shared.value[features(t.as_py(), seen)] for t in batch.column(3)]
+            lists = pa.array([x[x >= 0] for x in own], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["rank", "doc_id", "label", "found"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"rank string, doc_id {kind}, label int, found array<int>").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
-    if not rows.num_rows:
-        return Model(np.zeros(1 << BITS, np.float32), prior)
-    column = rows["found"].combine_chunks()
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    return learn([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], rows["label"].to_numpy(), prior)
+    rows = sample.mapInArrow(mark, f"rank string, doc_id {kind}, label int, found array<int>").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
+    found = rows["found"].combine_chunks()
+    sizes = np.diff(found.offsets.to_numpy())
+    w = weigh(found.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), rows["label"].to_numpy(), ratio)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[place >= 0] = (ratio * w[:-1])[place[place >= 0]]
+    return Model(weights, float(w[-1] + prior - math.log(size[1] / size[0])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
