@@ -21,11 +21,11 @@ from corpusforge.llm.common import labelled_sample
 
 #: Labelled texts of each class that are used: two in three build a dictionary, the others calibrate.
 PER_CLASS = 2000
-DICT_BYTES = 64 * 1024
+DICT_BYTES = 512 * 1024
 #: A text enters a dictionary by pieces of so many bytes from its start, middle and end, so that one long text
 #: doesn't fill it.
 PIECE = 2048
-LEVEL = 3
+LEVEL = 6
 
 
 @dataclass(frozen=True)
