@@ -7,54 +7,43 @@ operator doesn't read travel in one struct, so that their names never meet an op
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm import decontaminate, mixing, sharding, simhash, toxicity
-from corpusforge.llm.common import table
+from corpusforge.llm.common import packed, table, unpacked
 from corpusforge.llm.queries import SHARDS, WEIGHTS
 
 READ = ("doc_id", "text", "source")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, source, and the other columns as the struct ``row``."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in READ]
-    return docs.select(*READ, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("row"))
-
-
-def columns_of(docs: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
-    """The columns of ``docs`` out of the packed ones."""
-    return [F.col(c) if c in READ else F.col(f"row.`{c}`") for c in docs.columns if c not in but]
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones among them, doesn't call toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
-    return toxicity.score(packed(docs), model).where(F.col("score") < 0.5).select(columns_of(docs))
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
+    return toxicity.score(packed(docs, READ), model).where(F.col("score") < 0.5).select(unpacked(docs, READ))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.keep_one(packed(docs), shingle=3, distance=2).select(columns_of(docs))
+    return simhash.keep_one(docs, shingle=3, distance=2)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _, clean = decontaminate.search(packed(docs), table(spark, sf_dir, "benchmark"))
-    return clean().select(columns_of(docs))
+    _, clean = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return clean()
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them (up to three times)."""
-    found = mixing.mix(packed(docs), WEIGHTS, carry=["text", "row"])
-    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(columns_of(docs))
+    found = mixing.mix(packed(docs, READ), WEIGHTS, carry=["text", "row"])
+    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(unpacked(docs, READ))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard, of 16 equal ones, and their slot in it."""
-    found = sharding.assign(packed(docs), [1.0] * SHARDS, "doc_id", ["text", "source", "row"], ["text"])
-    return found.select(*columns_of(docs, but=("shard", "slot")), "shard", "slot")
+    found = sharding.assign(packed(docs, READ), [1.0] * SHARDS, "doc_id", ["text", "source", "row"], ["text"])
+    return found.select(*unpacked(docs, READ, but=("shard", "slot")), "shard", "slot")
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_copies), ("decontamination", benchmark_passages),

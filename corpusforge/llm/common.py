@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.session import checkpoint_dir
 
@@ -45,6 +46,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, read: Sequence[str]) -> DataFrame:
+    """The columns that an operator reads, and all others as the struct ``row``, whose names then meet no name of the
+    operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in read]
+    return df.select(*read, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("row"))
+
+
+def unpacked(df: DataFrame, read: Sequence[str], but: Sequence[str] = ()) -> list[Column]:
+    """The columns of ``df`` (but some), to be selected from its packed form."""
+    return [F.col(c) if c in read else F.col(f"row.`{c}`") for c in df.columns if c not in but]
+
+
+def map_rows(df: DataFrame, run: Callable, *extra: T.StructField) -> DataFrame:
+    """``df.mapInArrow(run)`` whose rows keep all columns, whatever their names, and gain ``extra`` ones; in ``run``
+    columns go by position, named ``_0``, ``_1`` and so on."""
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *extra])).toDF(*df.columns, *(f.name for f in extra))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int,
                     seed: str) -> DataFrame:
     """(doc_id, label, text, rank): for each of the labels 0 and 1 the ``per_class`` labelled documents that

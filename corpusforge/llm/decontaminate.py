@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusforge.llm.common import written
+from corpusforge.llm.common import map_rows, packed, unpacked, written
 
 SEED, TILE, COVERAGE = 5, 3, 0.8
 #: The Bloom filter has 2**BITS bits, two for each seed.
@@ -137,7 +137,7 @@ def _shared_seeds(docs: DataFrame, text: str, filter_: bytes, lengths: list[int]
             yield part
 
     extra = [T.StructField("_seeds", T.ArrayType(T.LongType()))] if keep else []
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return map_rows(docs, run, *extra)
 
 
 def _items(benchmark: DataFrame, seed: int) -> DataFrame:
@@ -175,7 +175,8 @@ def search(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, tile: int =
     bits = np.zeros(1 << BITS, bool)
     bits[places.astype(np.int64)] = True
     filter_ = np.packbits(bits).tobytes()
-    named = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).withColumn("text", F.col("text").cast("string"))
+    read = ("doc_id", "text")
+    named = packed(docs, read).withColumn("text", F.col("text").cast("string")).withColumn("_hash", F.xxhash64("text"))
     near = written(_shared_seeds(named, "text", filter_, lengths, keep=True))
     pairs = (near.select("doc_id", "_hash", F.explode("_seeds").alias("_seed"))
              .join(items.select("item_id", "item", F.explode("_seeds").alias("_seed")), "_seed")
@@ -216,7 +217,7 @@ def search(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, tile: int =
         hit = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_found")).distinct()
         far = _shared_seeds(named, "text", filter_, lengths, keep=False)
         spared = near.join(hit, near["doc_id"].eqNullSafe(hit["_id"]) & (near["_hash"] == hit["_found"]), "left_anti")
-        columns = [F.col(f"`{c}`") for c in docs.columns]
+        columns = unpacked(docs, read)
         return far.select(columns).unionByName(spared.select(columns))
 
     return found, clean

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import written
+from corpusforge.llm.common import packed, unpacked, written
 from corpusforge.llm.components import connected
 
 CHUNK = 1 << 16
@@ -132,11 +132,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int =
     Groups are found on keys and hashes; the documents meet the chosen (doc_id, hash) pairs in one join, and the
     row numbers that settle fully repeated keys reuse its partitioning.
     """
-    named = docs.withColumn("_hash", F.xxhash64("text"))
+    read = ("doc_id", "text")
+    named = packed(docs, read).withColumn("_hash", F.xxhash64("text"))
     found = near_duplicates(named.select("doc_id", "_hash", "text"), shingle, distance, blocks, full, carry=["_hash"])
     chosen = found.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash"))
                                            .alias("first")).select(F.col("first.doc_id").alias("_id"),
                                                                    F.col("first._hash").alias("_first"))
-    same = Window.partitionBy("_id", "_first").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    same = Window.partitionBy("_id", "_first").orderBy("text", "row")
     return (named.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first")))
-            .withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(docs.columns))
+            .withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(unpacked(docs, read)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import labelled_sample, written
+from corpusforge.llm.common import labelled_sample, map_rows, written
 
 PER_CLASS = 3000
 ORDERS = (5, 6)
@@ -139,4 +139,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
                                              [*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_rows(kept, run, T.StructField("score", T.DoubleType()))
