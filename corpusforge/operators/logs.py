@@ -17,41 +17,49 @@ NAMED_PATTERNS = [
     ("BLEU", rf"BLEU\S* = ({NUMBER})"),
     ("lr", rf"L\.r\. ({NUMBER})"),
 ]
+# neighbouring pairs share a colon, which a pair therefore leaves unread
 KEY_VALUE_PATTERNS = [
-    rf": ([^ \t:]+) : ({NUMBER}) :",
-    rf": ([^ \t:]+) ({NUMBER}) :",
+    rf": ([^ \t:]+) : ({NUMBER})(?= :)",
+    rf": ([^ \t:]+) ({NUMBER})(?= :)",
 ]
+STEP_KEY = "Up."
 
 
 def _extract(line, pattern: str, group: int = 1):
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 
 
-def log_scalars(logs: DataFrame, run_col: str = "run", line_no: str = "line_no", line_col: str = "line",
-                width: int = 1 << 14) -> DataFrame:
-    """``(run, line_no, step, key, value)`` for every line carrying a scalar.
+def _pair(key, value):
+    return F.struct(key.alias("key"), value.cast("double").alias("value"))
 
-    A line ``: Up. N :`` sets the step of the lines after it (per run, in
-    line order); lines before the first step line get a NULL step.
+
+def line_scalars(line) -> "F.Column":
+    """Array of (key, value): every scalar of the line, named ones first, in
+    the order of the patterns and of their places in the line."""
+    def named(name: str):
+        return lambda v: _pair(F.lit(name), v)
+
+    found = [F.transform(F.regexp_extract_all(line, F.lit(p), 1), named(name)) for name, p in NAMED_PATTERNS]
+    for p in KEY_VALUE_PATTERNS:
+        pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(p), 1).alias("k"),
+                             F.regexp_extract_all(line, F.lit(p), 2).alias("v"))
+        found.append(F.transform(F.filter(pairs, lambda x: x["k"] != STEP_KEY), lambda x: _pair(x["k"], x["v"])))
+    return F.concat(*found)
+
+
+def log_scalars(logs: DataFrame, run_col: str = "run", line_no: str = "line_no",
+                line_col: str = "line", width: int | None = None) -> DataFrame:
+    """``(run, line_no, step, key, value)`` for every scalar of every line.
+
+    A line that holds ``: Up. N :`` sets the step from itself on (per run, in
+    line order); scalars before the first such line get a NULL step.
     """
     line = F.col(line_col)
-    step_here = _extract(line, STEP_PATTERN).cast("long")
-    key = F.lit(None).cast("string")
-    value = F.lit(None).cast("string")
-    for name, pat in reversed(NAMED_PATTERNS + [(None, p) for p in KEY_VALUE_PATTERNS]):
-        if name is None:
-            k, v = _extract(line, pat, 1), _extract(line, pat, 2)
-        else:
-            k, v = F.lit(name), _extract(line, pat, 1)
-        hit = v.isNotNull()
-        key = F.when(hit, k).otherwise(key)
-        value = F.when(hit, v).otherwise(value)
-    tagged = logs.select(run_col, line_no, step_here.alias("_step_here"),
-                         F.when(step_here.isNull(), key).alias("key"),
-                         F.when(step_here.isNull(), value).cast("double").alias("value"))
+    tagged = logs.select(run_col, line_no, _extract(line, STEP_PATTERN).cast("long").alias("_step_here"),
+                         line_scalars(line).alias("_found"))
     filled = prefix_agg(tagged, line_no, "_step_here", "last", "step", [run_col], width)
-    return (filled.where(F.col("key").isNotNull())
-            .select(run_col, line_no, "step", "key", "value"))
+    return (filled.select(run_col, line_no, "step", F.explode("_found").alias("x"))
+            .select(run_col, line_no, "step", "x.key", "x.value"))
 
 
 def best_step(metrics: DataFrame, key: str, run_col: str = "run", maximize: bool = True) -> DataFrame:
@@ -64,7 +72,7 @@ def best_step(metrics: DataFrame, key: str, run_col: str = "run", maximize: bool
 
 
 def early_stop(metrics: DataFrame, key: str, patience: int = 10, run_col: str = "run",
-               order_col: str = "line_no", width: int = 1 << 14) -> DataFrame:
+               order_col: str = "line_no", width: int | None = None) -> DataFrame:
     """First step at which ``key`` has not improved on its best earlier value
     for ``patience`` consecutive validations (per run; NULL if never).
 

@@ -1,63 +1,119 @@
 """Global positions without a single-partition window.
 
 A global ``row_number()`` over a whole corpus puts every row into one task.
-Instead, rows are grouped into order-preserving buckets (a deterministic
-function of the row, e.g. the leading hex digits of an md5 key or
-``doc_id div width``); bucket totals are tiny and get an exclusive running
-sum; each bucket then ranks only its own rows. Every step is a function of the
-data, so a retried task recomputes the same positions.
+Instead, rows are grouped into order-preserving buckets (the leading hex digits
+of an md5 key, or equal widths between the smallest and the largest id); bucket
+totals are at most ``BUCKETS`` rows (per partition key) and get an exclusive
+running sum; each bucket then ranks only its own rows. Every step is a function
+of the data, so a retried task recomputes the same positions. Every row is
+kept: NULL ids and keys are values like others (first in order), and rows with
+equal ids get neighbouring positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 1 << 16
+
+
+def null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match; the right side's keys are dropped."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols])
+    return left.join(r, on, how).drop(*[f"_r_{c}" for c in cols])
+
+
+def with_range_bucket(df: DataFrame, order_col: str, out: str = "_bucket", width: int | None = None) -> DataFrame:
+    """Add a bucket number that follows ``order_col``: ``BUCKETS`` equal widths
+    between its measured ends (a one-row aggregate), so dense, sparse and
+    hashed ids all give a bounded number of buckets; or buckets of ``width``
+    ids where the caller knows the ids to be dense."""
+    if width is not None:
+        return df.withColumn(out, F.floor(F.col(order_col) / F.lit(width)).cast("long"))
+    v = F.col(order_col).cast("double")
+    ends = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(BUCKETS))
+    return (df.crossJoin(F.broadcast(ends))  # one row
+            .withColumn(out, F.floor((v - F.col("_lo")) / width).cast("long")).drop("_lo", "_hi"))
+
 
 def exclusive_prefix_sum(df: DataFrame, order_cols: list[str], bucket, weight=None,
                          out: str = "offset", partition_cols: list[str] | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all rows strictly before this one.
 
     Order is (``partition_cols``) then ``bucket`` then ``order_cols``; ``bucket``
-    must be monotone in ``order_cols`` and ``order_cols`` must be unique within
-    a partition. ``weight`` defaults to 1, which yields a 0-based row index.
+    (a column, or the name of one, dropped) must follow ``order_cols``.
+    ``weight`` defaults to 1, which yields a 0-based row index.
     """
     parts = list(partition_cols or [])
     w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("long")
-    tagged = df.withColumn("_bucket", bucket).withColumn("_w", w)
+    tagged = df.withColumn("_bucket", F.col(bucket) if isinstance(bucket, str) else bucket).withColumn("_w", w)
     totals = tagged.groupBy(*parts, "_bucket").agg(F.sum("_w").alias("_bt"))
     before = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
     inside = (Window.partitionBy(*parts, "_bucket").orderBy(*order_cols)
               .rowsBetween(Window.unboundedPreceding, -1))
     tagged = tagged.withColumn("_win", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return (tagged.join(totals.drop("_bt"), parts + ["_bucket"])
+    return (null_safe(tagged, totals.drop("_bt"), parts + ["_bucket"])
             .withColumn(out, (F.col("_boff") + F.col("_win")).cast("long"))
             .drop("_bucket", "_w", "_boff", "_win"))
 
 
-def index_by_int(df: DataFrame, order_col: str, out: str = "idx", width: int = 1 << 14,
+def index_by_int(df: DataFrame, order_col: str, out: str = "idx", width: int | None = None,
                  partition_cols: list[str] | None = None, weight=None) -> DataFrame:
-    """Positions in the order of a unique integer column (ids, line numbers)."""
-    bucket = F.floor(F.col(order_col) / F.lit(width)).cast("long")
-    return exclusive_prefix_sum(df, [order_col], bucket, weight, out, partition_cols)
+    """Positions in the order of an integer column (ids, line numbers)."""
+    return exclusive_prefix_sum(with_range_bucket(df, order_col, width=width), [order_col], "_bucket", weight, out, partition_cols)
+
+
+def cut_by_position(df: DataFrame, cuts: list[Column], order_cols: list[Column], bucket: str, out: str,
+                    partition_cols: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: how many of the ``cuts`` lie at or below the row's 0-based
+    position in the order of ``bucket`` and ``order_cols``.
+
+    Bucket totals tell which rows lie wholly between two cuts; these stream by
+    without a shuffle or a rank. Only the few buckets that a cut goes through
+    rank their rows. ``cuts`` may read the columns of the one-row ``sizes``.
+    """
+    parts = list(partition_cols or [])
+    totals = df.groupBy(*parts, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if sizes is not None:
+        totals = totals.crossJoin(F.broadcast(sizes))  # one row
+
+    def passed(pos: Column) -> Column:
+        return reduce(lambda a, b: a + b, [(pos >= c).cast("int") for c in cuts])
+
+    totals = totals.select(*parts, bucket, "_start", passed(F.col("_start")).alias("_first"),
+                           passed(F.col("_start") + F.col("_n") - 1).alias("_last"),
+                           *([] if sizes is None else sizes.columns))
+    # without partition keys at most BUCKETS + 1 rows
+    placed = null_safe(df, totals if parts else F.broadcast(totals), parts + [bucket])
+    extra = ["_start", "_first", "_last", *([] if sizes is None else sizes.columns)]
+    whole = placed.where("_first = _last").withColumn(out, F.col("_first"))
+    inside = Window.partitionBy(*parts, bucket).orderBy(*order_cols)
+    edge = (placed.where("_first <> _last").withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
+            .withColumn(out, passed(F.col("_pos"))).drop("_pos"))
+    return whole.drop(*extra).unionByName(edge.drop(*extra))
 
 
 def prefix_agg(df: DataFrame, order_col: str, value_col: str, how: str, out: str,
-               partition_cols: list[str] | None = None, width: int = 1 << 14,
+               partition_cols: list[str] | None = None, width: int | None = None,
                inclusive: bool = True) -> DataFrame:
     """Running ``max`` or ``last`` non-null value in ``order_col`` order per
     partition, without putting a whole partition into one window task.
 
-    Rows are cut into ``order_col div width`` buckets: a window runs inside
-    each bucket (at most ``width`` rows), bucket summaries are a small table
-    whose own running value is the carry-in, and the two are combined.
-    ``order_col`` must be an integer unique within a partition.
+    A window runs inside each bucket of ``order_col``; bucket summaries are a
+    small table whose own running value is the carry-in, and the two are
+    combined. ``order_col`` must be an integer unique within a partition.
     """
     parts = list(partition_cols or [])
     v = F.col(value_col)
-    b = F.floor(F.col(order_col) / F.lit(width)).cast("long")
-    tagged = df.withColumn("_bk", b)
+    tagged = with_range_bucket(df, order_col, "_bk", width)
     end = 0 if inclusive else -1
     inside = Window.partitionBy(*parts, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,5 +131,5 @@ def prefix_agg(df: DataFrame, order_col: str, value_col: str, how: str, out: str
     else:
         raise ValueError(how)
     tagged = tagged.withColumn("_local", local)
-    return (tagged.join(summary.select(*parts, "_bk", "_carry"), parts + ["_bk"], "left")
+    return (null_safe(tagged, summary.select(*parts, "_bk", "_carry"), parts + ["_bk"], "left")
             .withColumn(out, combine).drop("_bk", "_local", "_carry"))

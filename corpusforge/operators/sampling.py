@@ -1,24 +1,18 @@
 """Reproducible shuffles, exact-size splits, head/tail, subsamples.
 
 Order is always ``md5('<seed>:<id>')`` then ``id`` — a total order that is a
-pure function of each row. Small prefixes (val/dev sizes, top-k) use Spark's
-TakeOrderedAndProject (each task keeps its own top k, then one merge of
-``k × tasks`` rows); the rest of the corpus is recovered with a broadcast
-anti join of those ``k`` ids (bounded by the requested size). Large prefixes use
-bucketed global positions (see ``ordering``), never a single-partition window.
+pure function of each row (NULL ids first). Prefixes and splits of any size
+take the same path (``ordering.cut_by_position``): totals of hash buckets tell
+where each cut falls, and only the buckets that a cut goes through are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_bucket, hash_key, hash_unit
-from .ordering import exclusive_prefix_sum, index_by_int
-
-# Largest prefix taken through TakeOrderedAndProject / broadcast anti join
-# (every task ships its own top k to one merge, so k must stay small).
-SMALL_PREFIX = 10_000
+from .ordering import cut_by_position, exclusive_prefix_sum, with_range_bucket
 
 
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42, out: str = "pos",
@@ -40,68 +34,60 @@ def shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_key(id_col, seed), F.col(id_col))
 
 
+def _in_shuffle_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    return df.withColumn("_bucket", hash_bucket(id_col, seed, 4)).withColumn("_key", hash_key(id_col, seed))
+
+
 def head(df: DataFrame, n: int, id_col: str, seed: int | None = 42, last: bool = False) -> DataFrame:
     """First (or last) ``n`` rows in seeded order, or in ``id_col`` order when
     ``seed`` is None."""
     if seed is None:
-        order = [F.col(id_col).desc() if last else F.col(id_col).asc()]
+        keyed = with_range_bucket(df, id_col).withColumn("_key", F.lit(0))
     else:
-        k = hash_key(id_col, seed)
-        order = [k.desc(), F.col(id_col).desc()] if last else [k.asc(), F.col(id_col).asc()]
-    if n <= SMALL_PREFIX:
-        return df.orderBy(*order).limit(n)
-    pos = (shuffle_positions(df, id_col, seed, "_pos") if seed is not None
-           else index_by_int(df, id_col, "_pos"))
+        keyed = _in_shuffle_order(df, id_col, seed)
+    order = [F.col("_key"), F.col(id_col)]
     if last:
         total = df.agg(F.count(F.lit(1)).alias("_total"))
-        return pos.crossJoin(F.broadcast(total)).where(F.col("_pos") >= F.col("_total") - n).drop("_pos", "_total")
-    return pos.where(F.col("_pos") < n).drop("_pos")
+        cut = cut_by_position(keyed, [F.col("_total") - n], order, "_bucket", "_part", sizes=total)
+    else:
+        cut = cut_by_position(keyed, [F.lit(n)], order, "_bucket", "_part")
+    return cut.where(F.col("_part") == int(last)).drop("_part", "_bucket", "_key")
 
 
 def split_corpus(df: DataFrame, id_col: str, n_val: int = 4096, n_dev: int = 4096, seed: int = 42,
                  split_col: str = "split") -> DataFrame:
-    """Shuffle, then first ``n_val`` rows → val, next ``n_dev`` → dev, rest → train."""
-    k = n_val + n_dev
-    label = (F.when(F.col("_r") < n_val, F.lit("val")).otherwise(F.lit("dev")))
-    if k <= SMALL_PREFIX:
-        top = head(df.select(id_col), k, id_col, seed)
-        w = Window.orderBy(hash_key(id_col, seed), F.col(id_col))  # over at most k rows
-        top = top.withColumn("_r", F.row_number().over(w) - 1).select(id_col, label.alias("_split"))
-        # bounded by n_val + n_dev rows: safe to broadcast
-        j = df.join(F.broadcast(top), id_col, "left")
-        return j.withColumn(split_col, F.coalesce(F.col("_split"), F.lit("train"))).drop("_split")
-    pos = shuffle_positions(df, id_col, seed, "_r")
-    return (pos.withColumn(split_col, F.when(F.col("_r") < k, label).otherwise(F.lit("train")))
-            .drop("_r"))
+    """Shuffle, then first ``n_val`` rows → val, next ``n_dev`` → dev, rest →
+    train; as many rows as come in, whatever their ids."""
+    cut = cut_by_position(_in_shuffle_order(df, id_col, seed), [F.lit(n_val), F.lit(n_val + n_dev)],
+                          [F.col("_key"), F.col(id_col)], "_bucket", "_part")
+    names = F.element_at(F.array(F.lit("val"), F.lit("dev"), F.lit("train")), F.col("_part") + 1)
+    return cut.withColumn(split_col, names).drop("_part", "_bucket", "_key")
 
 
 def resplit(train: DataFrame, valid: DataFrame, id_col: str, seed: int = 42,
             split_col: str = "split") -> DataFrame:
     """Merge train and valid, shuffle, give the first |train| rows to train and
-    the last |valid| rows to valid. Sizes come from a one-row aggregate joined
-    lazily (no driver round trip)."""
-    both = train.withColumn("_was", F.lit(0)).unionByName(valid.withColumn("_was", F.lit(1)))
-    sizes = both.agg(F.count_if(F.col("_was") == 0).alias("_n_train"))
-    pos = shuffle_positions(both.drop("_was"), id_col, seed, "_pos")
-    out = pos.crossJoin(F.broadcast(sizes))
-    return (out.withColumn(split_col, F.when(F.col("_pos") < F.col("_n_train"), F.lit("train"))
-                           .otherwise(F.lit("valid"))).drop("_pos", "_n_train"))
+    the last |valid| rows to valid. The size comes from a one-row aggregate
+    joined lazily (no driver round trip)."""
+    size = train.agg(F.count(F.lit(1)).alias("_n_train"))
+    cut = cut_by_position(_in_shuffle_order(train.unionByName(valid), id_col, seed), [F.col("_n_train")],
+                          [F.col("_key"), F.col(id_col)], "_bucket", "_part", sizes=size)
+    return (cut.withColumn(split_col, F.when(F.col("_part") == 0, F.lit("train")).otherwise(F.lit("valid")))
+            .drop("_part", "_bucket", "_key"))
 
 
 def subsample_to(lines: DataFrame, ref_lines: DataFrame, order_col: str = "line_no",
                  split_col: str = "split", group_cols: list[str] | None = None,
-                 width: int = 1 << 14) -> DataFrame:
+                 width: int | None = None) -> DataFrame:
     """Keep the first N train lines (in ``order_col`` order), N = the train size
     of ``ref_lines``; other splits pass unchanged. With ``group_cols`` every
-    group is cut to N separately."""
-    g = list(group_cols or [])
+    group (NULL keys form one) is cut to N separately."""
     n_ref = ref_lines.where(F.col(split_col) == "train").agg(F.count(F.lit(1)).alias("_n_ref"))
     train = lines.where(F.col(split_col) == "train")
-    rest = lines.where(F.col(split_col) != "train")
-    pos = index_by_int(train, order_col, "_pos", width, g)
-    kept = (pos.crossJoin(F.broadcast(n_ref)).where(F.col("_pos") < F.col("_n_ref"))
-            .drop("_pos", "_n_ref"))
-    return kept.unionByName(rest)
+    rest = lines.where(~F.col(split_col).eqNullSafe("train"))
+    cut = cut_by_position(with_range_bucket(train, order_col, width=width), [F.col("_n_ref")], [F.col(order_col)], "_bucket", "_part",
+                          group_cols, n_ref)
+    return cut.where("_part = 0").drop("_part", "_bucket").unionByName(rest)
 
 
 def sample_ratio(df: DataFrame, ratio: float, id_col: str, seed: int = 42, line_col: str = "line",

@@ -201,7 +201,8 @@ def numericalise(lines: DataFrame, vocab: DataFrame, id_cols: list[str], pieces_
     """Pieces → vocabulary ids (unknown → ``UNK_ID``), end-of-sentence id
     appended, as an ordered id array per line."""
     toks = lines.select(*id_cols, F.posexplode_outer(space_tokens(pieces_col)).alias("pos", "piece"))
-    v = vocab.select(F.col(piece_col).alias("piece"), F.col(id_col).alias("_id"))
+    # one id per piece: a later duplicate wins, as in ``vocab_to_json``
+    v = vocab.groupBy(F.col(piece_col).alias("piece")).agg(F.max(id_col).alias("_id"))
     j = toks.join(v, "piece", "left")
     tid = F.when(F.col("piece").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID)))
     out = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), tid.alias("i")))).alias("_ps"))
@@ -214,8 +215,3 @@ def json_vocab_ids(vocab: DataFrame, piece_col: str = "piece") -> DataFrame:
     ``<unk>``=1), in vocabulary order."""
     return (vocab.where(~F.col(piece_col).isin(SPECIALS))
             .select(F.col(piece_col).alias("piece"), (F.col("id") - len(SPECIALS) + 2).cast("int").alias("id")))
-
-
-def decode(c):
-    from ..functions.text import decode_pieces
-    return decode_pieces(col_of(c))

@@ -245,7 +245,7 @@ def q_swap_direction(spark, sf):
 def q_build_parallel(spark, sf):
     from ..plans.composites import build_parallel
     return build_parallel(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"), "fr", "en",
-                          n_val=1000, n_dev=1000, seed=I.SEED)
+                          n_val=4096, n_dev=4096, seed=I.SEED)
 
 
 # ------------------------------------------------------------------ filtering
@@ -266,9 +266,9 @@ def q_lid_fit(spark, sf):
 @query("lid_predict")
 def q_lid_predict(spark, sf):
     from ..operators.lid import lid_predict
-    dev = I.doc_lines(spark, sf).where(F.col("split") == "dev").select("doc_id", "line_in_doc", "lang", "line")
-    pred = lid_predict(dev, _lid_model(spark, sf), ["doc_id", "line_in_doc"], "line")
-    return (dev.select("doc_id", "line_in_doc", "lang").join(pred, ["doc_id", "line_in_doc"])
+    lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "line")
+    pred = lid_predict(lines, _lid_model(spark, sf), ["doc_id", "line_in_doc"], "line")
+    return (lines.select("doc_id", "line_in_doc", "lang").join(pred, ["doc_id", "line_in_doc"])
             .select("doc_id", F.col("line_in_doc").cast("long"), "lang", "pred", "pred_score"))
 
 
@@ -361,8 +361,7 @@ def q_truecase_fit(spark, sf):
 @query("truecase_apply")
 def q_truecase_apply(spark, sf):
     from ..operators.truecase import truecase_apply
-    dev = _tok_lines(spark, sf).where(F.col("split") == "dev")
-    out = truecase_apply(dev, _truecase_model(spark, sf), ["doc_id", "line_in_doc", "lang"], "tok", "text",
+    out = truecase_apply(_tok_lines(spark, sf), _truecase_model(spark, sf), ["doc_id", "line_in_doc", "lang"], "tok", "text",
                          group_cols=["lang"])
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "text")
 
@@ -392,28 +391,34 @@ def q_bleu(spark, sf):
 
 
 def _decoder_log(spark, sf):
-    """A decoder log for the pairs: a source line and a hypothesis line (id,
-    score, pieces) per pair, as a decoder prints them."""
+    """A decoder log for the pairs: a source line and, for six conversations
+    in seven, a hypothesis line (id, score, pieces), as a decoder prints them."""
     from ..functions.rules import normalise_tokenise
     from ..functions.text import char_pieces
     p = I.pairs(spark, sf).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     pieces = char_pieces(F.lower(normalise_tokenise("src")))
     s_line = F.concat(F.lit("S-"), F.col("id"), F.lit("\t"), F.col("src"))
     h_line = F.concat(F.lit("H-"), F.col("id"), F.lit("\t-0.5\t"), pieces)
-    return p.select(F.explode(F.array(s_line, h_line)).alias("line"))
+    some = F.when(F.col("conv_id") % 7 == 3, F.array(s_line)).otherwise(F.array(s_line, h_line))
+    return p.select(F.explode(some).alias("line"))
 
 
 @query("score_dev")
 def q_score_dev(spark, sf):
     from ..plans.composites import score_dev
-    refs = I.pairs(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("tgt").alias("ref"))
+    refs = I.pairs(spark, sf).where(F.col("conv_id") % 7 != 5).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("tgt").alias("ref"))
     return score_dev(_decoder_log(spark, sf), refs, "en")
 
 
 def _logs(spark, sf):
     e = I.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    line = F.when(F.col("event_id") % 100 == 0, F.concat(F.lit(": Up. "), F.col("event_id").cast("string"), F.lit(" :"))) \
-        .otherwise(F.concat(F.lit(": "), F.col("event_type"), F.lit(" : "), F.col("value").cast("string"), F.lit(" :")))
+    step = F.concat(F.lit("[2020] Ep. 1 : Up. "), F.col("event_id").cast("string"), F.lit(" : Sen. 64,000 : Cost "),
+                    F.col("value").cast("string"), F.lit(" : Time 3.1s : L.r. 3.0e-04"))
+    one = F.concat(F.col("event_type"), F.lit(" : "), F.col("value").cast("string"), F.lit(" :"))
+    several = F.concat(F.lit("n_lines: "), F.col("event_id").cast("string"), F.lit(", "), F.col("value").cast("string"),
+                       F.lit(" % of oov tokens : acc : 0.5 : "), one)
+    line = (F.when(F.col("event_id") % 100 == 0, step).when(F.col("event_id") % 100 == 50, several)
+            .otherwise(F.concat(F.lit(": "), one)))
     return e.select((F.col("user_id") % 4).alias("run"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
@@ -478,9 +483,9 @@ def q_subword_encode(spark, sf):
 def q_subword_encode_bpe(spark, sf):
     from ..operators.subword import bpe_encode_words, encode_lines, word_table
     vocab, _ = _bpe(spark, sf)
-    dev = _tok_lines(spark, sf).where(F.col("split") == "dev")
-    wp = bpe_encode_words(word_table(dev, "tok"), vocab)
-    out = encode_lines(dev, wp, ["doc_id", "line_in_doc"], "tok", "pieces")
+    lines = _tok_lines(spark, sf)
+    wp = bpe_encode_words(word_table(lines, "tok"), vocab)
+    out = encode_lines(lines, wp, ["doc_id", "line_in_doc"], "tok", "pieces")
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "pieces")
 
 
@@ -488,10 +493,10 @@ def q_subword_encode_bpe(spark, sf):
 def q_numericalise(spark, sf):
     from ..functions.text import char_pieces
     from ..operators.subword import char_vocab, json_vocab_ids, numericalise
-    tok = _tok_lines(spark, sf).where(F.col("lang") == "en")
+    tok = _tok_lines(spark, sf)
     vocab = json_vocab_ids(char_vocab(tok.where(F.col("split") == "train"), "tok", 1.0))
-    dev = tok.where(F.col("split") == "dev").select("doc_id", "line_in_doc", char_pieces("tok").alias("pieces"))
-    out = numericalise(dev, vocab, ["doc_id", "line_in_doc"], "pieces")
+    lines = tok.select("doc_id", "line_in_doc", char_pieces("tok").alias("pieces"))
+    out = numericalise(lines, vocab, ["doc_id", "line_in_doc"], "pieces")
     return out.select("doc_id", F.col("line_in_doc").cast("long"), F.array_join("ids", " ").alias("ids"))
 
 
@@ -524,11 +529,11 @@ def q_preprocess_monolingual(spark, sf):
 # -------------------------------------------------------- vocabulary files
 
 def _vocab_file(spark, sf):
-    """The character vocabulary of the English training lines written as a
+    """The character vocabulary of the training lines written as a
     vocabulary file would be: three special rows, then ``piece \\t score`` in
     id order, numbered from 0."""
     from ..operators.subword import SPECIALS, char_vocab
-    tok = _tok_lines(spark, sf).where((F.col("lang") == "en") & (F.col("split") == "train"))
+    tok = _tok_lines(spark, sf).where(F.col("split") == "train")
     v = char_vocab(tok, "tok", 1.0).select("id", F.concat_ws("\t", "piece", F.col("score").cast("string")).alias("line"))
     specials = spark.createDataFrame([(i, f"{p}\t0") for i, p in enumerate(SPECIALS)], "id int, line string")
     return specials.unionByName(v).select(F.col("id").cast("long").alias("line_no"), "line")

@@ -34,24 +34,31 @@ def postprocess(df: DataFrame, pieces_col: str, lang_col: str, out_col: str = "t
 def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str = "line",
               id_col: str = "id", ref_col: str = "ref") -> DataFrame:
     """Decoder log → hypotheses (``H`` lines, third field; id from the first)
-    → post-processing → pairing with references by id → corpus BLEU."""
+    → post-processing → pairing with references by id → corpus BLEU.
+
+    A reference without a hypothesis is scored against an empty one; a
+    hypothesis without a reference cannot be scored. ``unmatched_refs`` and
+    ``unmatched_hyps`` count them, so a partial log shows in the result."""
     from ..operators.metrics import bleu
     parts = F.split(F.col(line_col), "\t", -1)
     hyps = (decoder_log.where(F.col(line_col).startswith("H"))
             .select(F.substring(F.element_at(parts, 1), 3, 1 << 30).alias(id_col),
                     F.element_at(parts, 3).alias("pieces"), F.lit(lang).alias("_lang")))
     text = postprocess(hyps, "pieces", "_lang", "hyp")
-    pairs = text.join(refs, id_col)
-    return bleu(pairs, [id_col], "hyp", ref_col)
+    both = (text.select(id_col, "hyp", F.lit(True).alias("_h"))
+            .join(refs.select(id_col, ref_col, F.lit(True).alias("_r")), id_col, "full_outer"))
+    counts = both.agg(F.count_if(F.col("_r").isNull()).cast("long").alias("unmatched_hyps"),
+                      F.count_if(F.col("_h").isNull()).cast("long").alias("unmatched_refs"))
+    scored = both.where("_r").select(id_col, F.coalesce("hyp", F.lit("")).alias("hyp"), ref_col)
+    return bleu(scored, [id_col], "hyp", ref_col).crossJoin(counts)  # one row each
 
 
 def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_size: int,
                    merges_per_round: int = 64, split_col: str = "split",
-                   learn_splits: tuple[str, ...] = ("train",), max_sentences: int | None = 1_000_000,
+                   learn_splits: tuple[str, ...] = ("train",), max_sentences: int | None = None,
                    seed: int = 42, id_col: str | None = None) -> DataFrame:
-    """Learn a BPE vocabulary on the training lines (at most ``max_sentences``
-    of them, a seeded random choice; one joint vocabulary for every column
-    given), encode every split, numericalise with reserved ids.
+    """Learn a BPE vocabulary on the training lines (all, or a seeded random
+    choice of ``max_sentences``; one joint vocabulary for every column given), encode every split, numericalise with reserved ids.
     Returns ``(id…, split, pieces, ids)``."""
     from ..operators.sampling import head
     from ..operators.subword import (bpe_encode_words, bpe_learn, encode_lines, json_vocab_ids,

@@ -33,23 +33,13 @@ TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "even
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a shared table. A scan with fewer partitions than the cluster's
-    default parallelism (a small file, one row group) is hash-partitioned on
-    the table key so CPU-heavy text work is not serialised in one task — into
-    several partitions per core, since document sizes vary by orders of
-    magnitude. A large input already has enough splits and nothing is added."""
+    """Read a shared table. A table of a single split (one small file, one row
+    group) is hash-partitioned on its key, so that CPU-heavy text work is not
+    serialised in one task; any larger table is read as its splits are."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # sessions without a SparkContext handle
-        return df
     key = TABLE_KEYS.get(name)
-    try:
-        n_splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: keep the scan as it is
-        n_splits = cores
-    if key and n_splits < cores:
-        df = df.repartition(PARTITIONS_PER_CORE * cores, key)
+    if key and df.rdd.getNumPartitions() == 1:
+        df = df.repartition(PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism, key)
     return df
 
 

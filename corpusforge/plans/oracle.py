@@ -274,7 +274,7 @@ SELECT line_no, 'de' AS src_lang, 'es' AS tgt_lang, tgt AS src, src AS tgt FROM
 register("build_parallel", f"""WITH {LINES}, {lang_file('fr', 'fr_f')}, {lang_file('en', 'en_f')},
 p AS ({_paste('fr_f', 'en_f')}),
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(line_no AS VARCHAR)), line_no) - 1 AS r FROM p)
-SELECT line_no, CASE WHEN r < 1000 THEN 'val' WHEN r < 2000 THEN 'dev' ELSE 'train' END AS split,
+SELECT line_no, CASE WHEN r < 4096 THEN 'val' WHEN r < 8192 THEN 'dev' ELSE 'train' END AS split,
        'fr' AS src_lang, 'en' AS tgt_lang, src, tgt FROM r""")
 
 
@@ -307,15 +307,15 @@ SELECT c.lang, c.gram, c.n::BIGINT AS n, round(ln(c.n + 1) - ln(lt.n_total + v.v
 FROM cnt c JOIN lt USING (lang) CROSS JOIN v""")
 
 register("lid_predict", f"""WITH {LID},
-dl AS (SELECT doc_id, line_in_doc, lang, line FROM lines WHERE split = 'dev'),
+dl AS (SELECT doc_id, line_in_doc, lang, line FROM lines),
 {lid_pred_sql('dl', 'doc_id, line_in_doc', 'line', 'pred')}
 SELECT dl.doc_id, dl.line_in_doc::BIGINT AS line_in_doc, dl.lang, p.pred, p.pred_score
 FROM dl JOIN pred p USING (doc_id, line_in_doc)""")
 
 _BP = ORACLE["build_parallel"]
-_BP_CTE = _BP[len("WITH "):_BP.index("\nSELECT line_no, CASE WHEN r < 1000")]
+_BP_CTE = _BP[len("WITH "):_BP.index("\nSELECT line_no, CASE WHEN r < 4096")]
 register("lid_filter", f"""WITH {LID}, {_BP_CTE.replace(LINES + ",", "", 1)},
-bp AS (SELECT line_no, CASE WHEN r < 1000 THEN 'val' WHEN r < 2000 THEN 'dev' ELSE 'train' END AS split, src, tgt
+bp AS (SELECT line_no, CASE WHEN r < 4096 THEN 'val' WHEN r < 8192 THEN 'dev' ELSE 'train' END AS split, src, tgt
        FROM r),
 {lid_pred_sql('bp', 'line_no', 'src', 'ps')},
 {lid_pred_sql('bp', 'line_no', 'tgt', 'pt')}
@@ -398,7 +398,7 @@ tcm AS (SELECT *, row_number() OVER (PARTITION BY lang, lc ORDER BY n DESC, form
 register("truecase_fit", f"WITH {TC_MODEL} SELECT lang, lc, form, n, is_best FROM tcm")
 
 register("truecase_apply", f"""WITH {TC_MODEL},
-dv AS (SELECT doc_id, line_in_doc, lang, tok FROM tokl WHERE split = 'dev'),
+dv AS (SELECT doc_id, line_in_doc, lang, tok FROM tokl),
 {flags_sql('dv', 'doc_id, line_in_doc, lang', 'tok', 'dvf')},
 nt AS (
   SELECT f.doc_id, f.line_in_doc, f.pos,
@@ -437,7 +437,6 @@ SELECT dec.doc_id, dec.line_in_doc::BIGINT AS line_in_doc,
 FROM dec LEFT JOIN dt USING (doc_id, line_in_doc)""")
 
 
-from ..operators.logs import KEY_VALUE_PATTERNS, NAMED_PATTERNS, STEP_PATTERN  # noqa: E402
 from ..operators.metrics import BLEU_13A, ENTITIES  # noqa: E402
 
 
@@ -496,43 +495,45 @@ dec AS (SELECT conv_id, turn, lang, ref,
                replace(ltrim(translate(replace(hyp, ' ', ''), '▁', ' ')), '@@ ', '') AS tok FROM hy),
 {detruecase_sql('dec', 'conv_id, turn', 'tok', 'dt')},
 sd AS (SELECT dec.conv_id, dec.turn, dec.ref,
-              {rules_sql("coalesce(dt.text, '')", DETOKENISE, 'dec.lang')} AS hyp
-       FROM dec LEFT JOIN dt USING (conv_id, turn)),
+              CASE WHEN dec.conv_id % 7 = 3 THEN '' ELSE {rules_sql("coalesce(dt.text, '')", DETOKENISE, 'dec.lang')} END AS hyp
+       FROM dec LEFT JOIN dt USING (conv_id, turn) WHERE dec.conv_id % 7 <> 5),
 {bleu_sql('sd', 'conv_id, turn', 'hyp', 'ref')}
-SELECT * FROM bleu_out""")
-
-
-def _re(p: str) -> str:
-    return "'" + p.replace("'", "''") + "'"
+SELECT *, (SELECT count(*) FROM pairs WHERE conv_id % 7 = 5)::BIGINT AS unmatched_hyps,
+       (SELECT count(*) FROM pairs WHERE conv_id % 7 = 3)::BIGINT AS unmatched_refs FROM bleu_out""")
 
 
-def _scalar_case() -> tuple[str, str]:
-    keys, vals = [], []
-    for name, pat in NAMED_PATTERNS:
-        keys.append(f"WHEN regexp_extract(line, {_re(pat)}, 1) <> '' THEN '{name}'")
-        vals.append(f"WHEN regexp_extract(line, {_re(pat)}, 1) <> '' THEN regexp_extract(line, {_re(pat)}, 1)")
-    for pat in KEY_VALUE_PATTERNS:
-        keys.append(f"WHEN regexp_extract(line, {_re(pat)}, 2) <> '' THEN regexp_extract(line, {_re(pat)}, 1)")
-        vals.append(f"WHEN regexp_extract(line, {_re(pat)}, 2) <> '' THEN regexp_extract(line, {_re(pat)}, 2)")
-    return "CASE " + " ".join(keys) + " END", "CASE " + " ".join(vals) + " END"
-
-
-_K, _V = _scalar_case()
-SCALARS = f"""logs AS (
+# Colons are doubled first, so that neighbouring pairs need not share one.
+SCALARS = """logs AS (
   SELECT user_id % 4 AS run, event_id AS line_no,
-         CASE WHEN event_id % 100 = 0 THEN ': Up. ' || CAST(event_id AS VARCHAR) || ' :'
-              ELSE ': ' || event_type || ' : ' || CAST(value AS VARCHAR) || ' :' END AS line
+         CASE WHEN event_id % 100 = 0
+              THEN '[2020] Ep. 1 : Up. ' || event_id || ' : Sen. 64,000 : Cost ' || value || ' : Time 3.1s : L.r. 3.0e-04'
+              WHEN event_id % 100 = 50 THEN 'n_lines: ' || event_id || ', ' || value || ' % of oov tokens : acc : 0.5 : ' || event_type || ' : ' || value || ' :'
+              ELSE ': ' || event_type || ' : ' || value || ' :' END AS line
   FROM events),
 tagged AS (
-  SELECT run, line_no, nullif(regexp_extract(line, {_re(STEP_PATTERN)}, 1), '')::BIGINT AS step_here, line FROM logs),
+  SELECT run, line_no, line, replace(line, ':', '::') AS d,
+         nullif(regexp_extract(line, ': Up\\. ([0-9]+) :', 1), '')::BIGINT AS step_here FROM logs),
 filled AS (
   SELECT *, last_value(step_here IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS step
   FROM tagged),
-scalars AS (
-  SELECT run, line_no, step, {_K} AS key, CAST({_V} AS DOUBLE) AS value FROM filled WHERE step_here IS NULL)"""
-
-register("log_scalars", f"WITH {SCALARS} SELECT * FROM scalars WHERE key IS NOT NULL")
+found AS (
+  SELECT run, line_no, step, 'nlines' AS key, unnest(regexp_extract_all(line, 'n_lines: ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)', 1)) AS v FROM filled
+  UNION ALL
+  SELECT run, line_no, step, 'oov', unnest(regexp_extract_all(line, '([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?) % of oov tokens', 1)) FROM filled
+  UNION ALL
+  SELECT run, line_no, step, 'BLEU', unnest(regexp_extract_all(line, 'BLEU[^ ]* = ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)', 1)) FROM filled
+  UNION ALL
+  SELECT run, line_no, step, 'lr', unnest(regexp_extract_all(line, 'L\\.r\\. ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)', 1)) FROM filled
+  UNION ALL
+  SELECT run, line_no, step, unnest(regexp_extract_all(d, ': ([^ :]+) :: ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?) :', 1)),
+         unnest(regexp_extract_all(d, ': ([^ :]+) :: ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?) :', 2)) FROM filled
+  UNION ALL
+  SELECT run, line_no, step, unnest(regexp_extract_all(d, ': ([^ :]+) ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?) :', 1)),
+         unnest(regexp_extract_all(d, ': ([^ :]+) ([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?) :', 2)) FROM filled),
+scalars AS (SELECT run, line_no, step, key, CAST(v AS DOUBLE) AS value FROM found WHERE key <> 'Up.')"""
+
+register("log_scalars", f"WITH {SCALARS} SELECT * FROM scalars")
 
 register("best_checkpoint", f"""WITH {SCALARS},
 m AS (SELECT * FROM scalars WHERE key = 'purchase' AND step IS NOT NULL),
@@ -579,10 +580,9 @@ register("subword_encode", f"""WITH {TOKL}
 SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, {char_pieces_sql('tok')} AS pieces FROM tokl""")
 
 register("numericalise", f"""WITH {TOKL},
-c AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train' AND lang = 'en'),
+c AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train'),
 v AS (SELECT piece, (row_number() OVER (ORDER BY count(*) DESC, piece) + 1)::INTEGER AS id FROM c GROUP BY piece),
-d AS (SELECT doc_id, line_in_doc, string_split({char_pieces_sql('tok')}, ' ') AS ps FROM tokl
-      WHERE split = 'dev' AND lang = 'en'),
+d AS (SELECT doc_id, line_in_doc, string_split({char_pieces_sql('tok')}, ' ') AS ps FROM tokl),
 e AS (SELECT doc_id, line_in_doc, unnest(generate_series(1, len(ps))) AS pos, unnest(ps) AS piece FROM d),
 j AS (SELECT e.doc_id, e.line_in_doc, e.pos, coalesce(v.id, 1) AS id FROM e LEFT JOIN v USING (piece)
       WHERE e.piece <> ''),
@@ -642,7 +642,7 @@ FROM ml JOIN tcm2 USING (doc_id, line_in_doc, lang)""")
 
 
 _VOCAB_FILE = f"""{TOKL},
-vc AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train' AND lang = 'en'),
+vc AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train'),
 vn AS (SELECT piece, count(*) AS n FROM vc GROUP BY piece),
 vr AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) + 2 AS id,
               round(ln(n / sum(n) OVER ()), 6) AS score FROM vn)"""

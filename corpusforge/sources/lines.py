@@ -30,7 +30,7 @@ def explode_lines(df: DataFrame, text_col: str = "text", pos_col: str = "line_in
 
 
 def number_lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
-                 partition_cols: list[str] | None = None, width: int = 1 << 14) -> DataFrame:
+                 partition_cols: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Explode documents into lines with a dense ``line_no`` per corpus.
 
     ``line_no`` = lines of all earlier documents of the same corpus (by
@@ -38,8 +38,7 @@ def number_lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     into one file and numbering its lines would give, without a global window.
     """
     counted = docs.withColumn("_n_lines", F.size(split_lines(text_col)))
-    offs = index_by_int(counted, doc_col, out="_doc_off", width=width,
-                        partition_cols=partition_cols, weight="_n_lines")
+    offs = index_by_int(counted, doc_col, out="_doc_off", width=width, partition_cols=partition_cols, weight="_n_lines")
     lines = explode_lines(offs.drop("_n_lines"), text_col)
     return lines.withColumn("line_no", F.col("_doc_off") + F.col("line_in_doc")).drop("_doc_off")
 

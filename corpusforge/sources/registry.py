@@ -34,14 +34,14 @@ def read_registered(spark: SparkSession, registry: DataFrame, reader: Callable[[
 
 def join_registered(lines: DataFrame, registry: DataFrame, key, role: str | None = None) -> DataFrame:
     """Corpora stored in one table: tag each row with its registered corpus by
-    a broadcast join of the registry (one row per corpus) on ``key`` (matched
-    against the registry's ``path``) — one scan instead of one read per
+    a join with the registry (one row per corpus; Spark broadcasts it if it
+    is small) on ``key`` (matched against the registry's ``path``) — one scan instead of one read per
     corpus; rows of unregistered corpora are dropped."""
     reg = registry.where(F.col("role") == role) if role else registry
     k = F.col(key) if isinstance(key, str) else key
     tagged = lines.withColumn("_reg_key", k)
     reg = reg.select(F.col("path").alias("_reg_key"), F.col("name").alias("corpus"), "role")
-    return tagged.join(F.broadcast(reg), "_reg_key").drop("_reg_key")
+    return tagged.join(reg, "_reg_key").drop("_reg_key")
 
 
 def check_joint(src_kind: str, tgt_kind: str, src_size: int | None, tgt_size: int | None) -> None:

@@ -7,7 +7,7 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,25 @@ def stats_rows(stats: DataFrame, name_col: str = "corpus") -> DataFrame:
     return stats.select(name_col, row.alias("tex"))
 
 
-TEX_HEAD = ["\\begin{tabular}{lrrrr}", "\\toprule \\\\",
-            "Dataset & Lines & Mean line length & Mean token length & Unique tokens \\\\", "\\midrule \\\\"]
-TEX_TAIL = ["\\bottomrule", "\\end{tabular}"]
+# ---- fixed output values: head and foot of the size table in LaTeX ----------
+TABLE_HEAD = ["\\begin{tabular}{lrrrr}", "\\toprule",
+              "Corpus & Lines & Tokens per line & Bytes per token & Distinct tokens (\\%) \\\\", "\\midrule"]
+TABLE_FOOT = ["\\bottomrule", "\\end{tabular}"]
+
+
+def stats_table(stats: DataFrame, name_col: str = "corpus") -> DataFrame:
+    """``(pos, line)``: the size table with head and foot, rows by name."""
+    rows = stats_rows(stats, name_col).select(F.lit(1).alias("part"), F.col(name_col).alias("name"),
+                                              F.lit(0).alias("nth"), F.col("tex").alias("line"))
+    fixed = [(0, "", i, x) for i, x in enumerate(TABLE_HEAD)] + [(2, "", i, x) for i, x in enumerate(TABLE_FOOT)]
+    both = rows.unionByName(stats.sparkSession.createDataFrame(fixed, "part int, name string, nth int, line string"))
+    # one row per corpus
+    return both.select((F.row_number().over(Window.orderBy("part", "name", "nth")) - 1).alias("pos"), "line")
+
+
+def write_stats(stats: DataFrame, path: str, name_col: str = "corpus") -> None:
+    """Write the size table as one LaTeX file."""
+    stats_table(stats, name_col).orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_grid(formatted: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -75,13 +91,16 @@ def write_pairs(pairs: DataFrame, path: str, key_cols: list[str], src_col: str =
     writer.parquet(path)
 
 
-def export_side(pairs: DataFrame, path: str, key_col: str, side_col: str, n_files: int) -> None:
-    """Export one side as text lines in key order. Range partitioning on the
-    key is the same for both sides, so file *i* of the source and file *i* of
-    the target hold the same pairs in the same order."""
-    (pairs.repartitionByRange(n_files, key_col).sortWithinPartitions(key_col)
-     .select(F.coalesce(F.col(side_col), F.lit("")).alias("value"))
-     .write.mode("overwrite").text(path))
+def export_side(pairs: DataFrame, path: str, key_col: str, side_col: str, rows_per_file: int) -> None:
+    """Export one side as text lines in key order, one file for every
+    ``rows_per_file`` values of the dense key, under ``file=<key div
+    rows_per_file>``. The file of a pair follows from its key alone, so both
+    sides' files hold the same pairs in the same order whenever they are
+    written."""
+    numbered = pairs.select(F.floor(F.col(key_col) / F.lit(rows_per_file)).cast("long").alias("file"), F.col(key_col).alias("_key"),
+                            F.coalesce(F.col(side_col), F.lit("")).alias("value"))
+    (numbered.repartition("file").sortWithinPartitions("file", "_key").drop("_key")
+     .write.mode("overwrite").partitionBy("file").text(path))
 
 
 def vocab_to_json(vocab: DataFrame, piece_col: str = "piece", id_col: str = "id") -> DataFrame:

@@ -35,7 +35,7 @@ def test_unicode_whitespace_tokens(spark):
 
 
 def test_read_lines_crlf_and_last_line(spark):
-    d = tempfile.mkdtemp(dir="/tmp/cf-fixtures")
+    d = tempfile.mkdtemp()
     p = os.path.join(d, "x.txt")
     with open(p, "wb") as f:
         f.write(b"one\r\ntwo\n\nfour")

@@ -50,7 +50,7 @@ def test_scan_prunes_columns(spark):
 def test_streaming_tokenise_matches_batch(spark):
     from corpusforge.functions.rules import normalise_tokenise
     from corpusforge.streaming.text_stream import run_tokenise
-    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp/cf-fixtures")
+    base = tempfile.mkdtemp(prefix="stream-")
     q = run_tokenise(spark, SF001, "documents.parquet", os.path.join(base, "out"), os.path.join(base, "ckpt"),
                      keep=["doc_id", "lang"])
     q.awaitTermination(300)

@@ -11,7 +11,7 @@ from corpusforge.sources import align, lines, registry, sinks
 
 
 def _tmp():
-    return tempfile.mkdtemp(prefix="src-", dir="/tmp/cf-fixtures")
+    return tempfile.mkdtemp(prefix="src-")
 
 
 def _write(path, text):
@@ -77,13 +77,26 @@ def test_write_pairs_round_trip_and_side_export(spark):
     back = spark.read.parquet(os.path.join(d, "pq"))
     assert sorted(tuple(r) for r in back.select("line_no", "src", "tgt", "split").collect()) == \
         sorted(tuple(r) for r in pairs.collect())
-    sinks.export_side(pairs, os.path.join(d, "src"), "line_no", "src", 3)
-    sinks.export_side(pairs, os.path.join(d, "tgt"), "line_no", "tgt", 3)
-    src_files = sorted(f for f in os.listdir(os.path.join(d, "src")) if f.startswith("part-"))
-    tgt_files = sorted(f for f in os.listdir(os.path.join(d, "tgt")) if f.startswith("part-"))
-    s_lines = [ln for f in src_files for ln in open(os.path.join(d, "src", f)).read().splitlines()]
-    t_lines = [ln for f in tgt_files for ln in open(os.path.join(d, "tgt", f)).read().splitlines()]
-    assert [x[1:] for x in s_lines] == [x[1:] for x in t_lines] == [str(i) for i in range(40)]
+    sinks.export_side(pairs.repartition(5), os.path.join(d, "src"), "line_no", "src", 16)
+    sinks.export_side(pairs, os.path.join(d, "tgt"), "line_no", "tgt", 16)
+
+    def read(side, i):
+        at = os.path.join(d, side, f"file={i}")
+        (name,) = [f for f in os.listdir(at) if f.startswith("part-")]
+        return open(os.path.join(at, name)).read().splitlines()
+
+    for i, want in enumerate((range(16), range(16, 32), range(32, 40))):
+        assert [x[1:] for x in read("src", i)] == [x[1:] for x in read("tgt", i)] == [str(k) for k in want]
+
+
+def test_size_table(spark):
+    d = _tmp()
+    stats = spark.createDataFrame([("b", 2, 1.5, 3.0, 50.0), ("a", 1, 2.0, 4.0, 100.0)],
+                                  "corpus string, n_lines int, mean_line_tokens double, mean_token_bytes double, pct_unique double")
+    sinks.write_stats(stats, os.path.join(d, "t"))
+    (name,) = [f for f in os.listdir(os.path.join(d, "t")) if f.startswith("part-")]
+    lines = open(os.path.join(d, "t", name)).read().splitlines()
+    assert lines == [*sinks.TABLE_HEAD, "a & 1 & 2.0 & 4.0 & 100.0 \\\\", "b & 2 & 1.5 & 3.0 & 50.0 \\\\", *sinks.TABLE_FOOT]
 
 
 def test_grid_csv_and_tex_export(spark):
