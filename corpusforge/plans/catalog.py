@@ -272,17 +272,17 @@ def q_lid_predict(spark, sf):
             .select("doc_id", F.col("line_in_doc").cast("long"), "lang", "pred", "pred_score"))
 
 
+def _training_pairs(spark, sf):
+    """The same recipe with val and dev small enough to leave training rows on small tables too."""
+    from ..plans.composites import build_parallel
+    return build_parallel(_lang_corpus(spark, sf, "fr"), _lang_corpus(spark, sf, "en"), "fr", "en",
+                          n_val=512, n_dev=512, seed=I.SEED)
+
+
 @query("lid_filter")
 def q_lid_filter(spark, sf):
-    from ..operators.filters import lid_filter
-    from ..operators.lid import label_of, lid_predict
-    pairs = q_build_parallel(spark, sf)
-    model = _lid_model(spark, sf)
-    ps = lid_predict(pairs.select("line_no", F.col("src").alias("line")), model, ["line_no"], "line", out="ps")
-    pt = lid_predict(pairs.select("line_no", F.col("tgt").alias("line")), model, ["line_no"], "line", out="pt")
-    labelled = (pairs.join(ps, "line_no").join(pt, "line_no")
-                .withColumn("src_label", label_of("ps")).withColumn("tgt_label", label_of("pt")))
-    return lid_filter(labelled, "fr", "en").select("line_no", "split", "src", "tgt")
+    from ..plans.composites import filter_languages
+    return filter_languages(_training_pairs(spark, sf), "fr", "en", _lid_model(spark, sf))
 
 
 @query("clean_pairs")
@@ -514,7 +514,7 @@ def q_segment_corpus(spark, sf):
 @query("preprocess_corpus")
 def q_preprocess_corpus(spark, sf):
     from ..plans.composites import preprocess_corpus
-    pairs = q_build_parallel(spark, sf)
+    pairs = _training_pairs(spark, sf)
     return preprocess_corpus(pairs, "fr", "en", _lid_model(spark, sf)).select("line_no", "split", "src", "tgt")
 
 

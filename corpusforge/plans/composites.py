@@ -76,6 +76,28 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
     return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
 
 
+def filter_languages(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model, id_col: str = "line_no",
+                     split_col: str = "split", filter_splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """``(id, split, src, tgt)`` without the rows of ``filter_splits`` whose
+    sides are not predicted to be in their languages.
+
+    Only those splits are predicted, both sides in one pass over the stacked
+    lines; all other rows pass as they are.
+    """
+    from ..operators.filters import lid_filter
+    from ..operators.lid import label_of, lid_predict
+    df = pairs.select(id_col, split_col, "src", "tgt")
+    chosen = F.coalesce(F.col(split_col).isin(list(filter_splits)), F.lit(False))
+    asked = df.where(chosen)
+    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("line")) for x in ("src", "tgt")])
+    stacked = asked.select(id_col, F.explode(sides).alias("x")).select(id_col, "x.side", "x.line")
+    pred = lid_predict(stacked, lid_model, [id_col, "side"], "line", out="_lang")
+    labels = pred.groupBy(id_col).agg(*[label_of(F.max(F.when(F.col("side") == x, F.col("_lang")))).alias(f"{x}_label")
+                                        for x in ("src", "tgt")])
+    kept = lid_filter(asked.join(labels, id_col, "left"), src_lang, tgt_lang, splits=filter_splits, split_col=split_col)
+    return df.where(~chosen).unionByName(kept.select(df.columns))
+
+
 def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=None, id_col: str = "line_no",
                       split_col: str = "split", filter_splits: tuple[str, ...] = ("train",),
                       min_len: int = 1, max_len: int = 100, ratio: float = 1.8,
@@ -92,15 +114,10 @@ def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=
     checkpoint folder) instead of being recomputed.
     """
     from ..functions.rules import normalise_tokenise
-    from ..operators.filters import clean_pairs, lid_filter
-    from ..operators.lid import label_of, lid_predict
+    from ..operators.filters import clean_pairs
     df = pairs.select(id_col, split_col, "src", "tgt")
     if lid_model is not None:
-        ps = lid_predict(df.select(id_col, F.col("src").alias("line")), lid_model, [id_col], "line", out="_ps")
-        pt = lid_predict(df.select(id_col, F.col("tgt").alias("line")), lid_model, [id_col], "line", out="_pt")
-        df = (df.join(ps.select(id_col, label_of("_ps").alias("src_label")), id_col, "left")
-              .join(pt.select(id_col, label_of("_pt").alias("tgt_label")), id_col, "left"))
-        df = lid_filter(df, src_lang, tgt_lang, splits=filter_splits, split_col=split_col)
+        df = filter_languages(df, src_lang, tgt_lang, lid_model, id_col, split_col, filter_splits)
     df = (df.withColumn("_sl", F.lit(src_lang)).withColumn("_tl", F.lit(tgt_lang))
           .select(id_col, split_col, normalise_tokenise("src", "_sl").alias("src"),
                   normalise_tokenise("tgt", "_tl").alias("tgt")))

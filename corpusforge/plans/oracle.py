@@ -315,7 +315,7 @@ FROM dl JOIN pred p USING (doc_id, line_in_doc)""")
 _BP = ORACLE["build_parallel"]
 _BP_CTE = _BP[len("WITH "):_BP.index("\nSELECT line_no, CASE WHEN r < 4096")]
 register("lid_filter", f"""WITH {LID}, {_BP_CTE.replace(LINES + ",", "", 1)},
-bp AS (SELECT line_no, CASE WHEN r < 4096 THEN 'val' WHEN r < 8192 THEN 'dev' ELSE 'train' END AS split, src, tgt
+bp AS (SELECT line_no, CASE WHEN r < 512 THEN 'val' WHEN r < 1024 THEN 'dev' ELSE 'train' END AS split, src, tgt
        FROM r),
 {lid_pred_sql('bp', 'line_no', 'src', 'ps')},
 {lid_pred_sql('bp', 'line_no', 'tgt', 'pt')}
