@@ -44,38 +44,48 @@ def ngram_strings(toks: str, n: int) -> Column:
     return F.regexp_extract_all(joined, F.lit(f"(?<![^ ])(?=([^ ]+{tail})(?![^ ]))"), 1)
 
 
-def bleu_counts(pairs: DataFrame, key_cols: list[str], hyp: str = "hyp", ref: str = "ref",
-                max_n: int = 4) -> DataFrame:
-    """One row per order n: ``n, matches, total``; plus the two lengths
-    (as order 0)."""
-    t = pairs.select(*key_cols, tokenise_13a(hyp).alias("_h"), tokenise_13a(ref).alias("_r"))
-    def tag(n: int, side: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("h"))
-
-    grams = []
+def _bind(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once per row (a lambda variable is
+    bound; an expression inside a lambda is evaluated for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbered(grams: Column) -> Column:
+    """The grams in order, the k-th of equal ones marked with k: sets of them
+    intersect as multisets do."""
+    def mark(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def by_run(r: Column) -> Column:
+            ends = F.concat(F.slice(r, 2, F.size(r)), F.array(n))
+            counts = F.flatten(F.zip_with(r, ends, lambda a, b: F.sequence(F.lit(1), b - a)))
+            return F.zip_with(s, counts, lambda g, k: F.concat_ws(" ", g, k.cast("string")))
+
+        return F.when(n > 0, _bind(starts, by_run)).otherwise(s)
+
+    return _bind(F.sort_array(grams), mark)
+
+
+def bleu_counts(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", max_n: int = 4) -> DataFrame:
+    """One row: ``sys_len, ref_len, matches_1..N, total_1..N``.
+
+    A pair's clipped matches are counted inside its row, so that the one
+    shuffle carries a row of sums per task and no n-gram."""
+    t = pairs.select(tokenise_13a(hyp).alias("_h"), tokenise_13a(ref).alias("_r"))
+    aggs = [F.sum(F.size("_h")).cast("long").alias("sys_len"), F.sum(F.size("_r")).cast("long").alias("ref_len")]
     for n in range(1, max_n + 1):
-        grams.append(F.transform(ngram_strings("_h", n), tag(n, 1)))
-        grams.append(F.transform(ngram_strings("_r", n), tag(n, 0)))
-    ex = t.select(*key_cols, F.explode(F.concat(*grams)).alias("x"))
-    per = (ex.groupBy(*key_cols, F.col("x.n").alias("n"), F.col("x.g").alias("g"))
-           .agg(F.sum("x.h").alias("ch"), F.sum(1 - F.col("x.h")).alias("cr")))
-    orders = per.groupBy("n").agg(F.sum(F.least("ch", "cr")).cast("long").alias("matches"),
-                                  F.sum("ch").cast("long").alias("total"))
-    lengths = t.agg(F.lit(0).alias("n"), F.sum(F.size("_h")).cast("long").alias("matches"),
-                    F.sum(F.size("_r")).cast("long").alias("total"))
-    return orders.unionByName(lengths)
+        own, other = ngram_strings("_h", n), ngram_strings("_r", n)
+        matched = F.size(F.array_intersect(numbered(own), numbered(other)))
+        aggs += [F.coalesce(F.sum(matched), F.lit(0)).cast("long").alias(f"matches_{n}"),
+                 F.coalesce(F.sum(F.size(own)), F.lit(0)).cast("long").alias(f"total_{n}")]
+    return t.agg(*aggs)
 
 
 def bleu(pairs: DataFrame, key_cols: list[str], hyp: str = "hyp", ref: str = "ref", max_n: int = 4) -> DataFrame:
     """Corpus BLEU (0–100) in one row with its parts: ``bleu, bp, sys_len,
-    ref_len, matches_1..N, total_1..N``."""
-    c = bleu_counts(pairs, key_cols, hyp, ref, max_n)
-    aggs = [F.max(F.when(F.col("n") == 0, F.col("matches"))).alias("sys_len"),
-            F.max(F.when(F.col("n") == 0, F.col("total"))).alias("ref_len")]
-    for n in range(1, max_n + 1):
-        aggs += [F.coalesce(F.max(F.when(F.col("n") == n, F.col("matches"))), F.lit(0)).alias(f"matches_{n}"),
-                 F.coalesce(F.max(F.when(F.col("n") == n, F.col("total"))), F.lit(0)).alias(f"total_{n}")]
-    row = c.agg(*aggs)
+    ref_len, matches_1..N, total_1..N``; ``key_cols`` name the pairs."""
+    row = bleu_counts(pairs, hyp, ref, max_n)
     # precisions with 'exp' smoothing: the k-th order without a match gets 1/2^k
     logs, zeros = [], F.lit(0)
     for n in range(1, max_n + 1):
