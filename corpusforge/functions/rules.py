@@ -65,9 +65,19 @@ DETOKENISE: list[Rule] = [
     (" $", "", None),
 ]
 
+# ---- fixed values: abbreviations whose point ends no sentence ----------------
+ABBREVIATIONS = ("Mr Mrs Ms Dr Prof Rev Gen Col Capt Lt Sgt St Jr Sr Fig No vs cf "
+                 "Hr Fr Nr Abb bzw ca Bd Mme Mlle Me M Ste Sra Srta Dra Ud Uds").split()
+
 # ---- fixed values: sentence boundaries --------------------------------------
+# the space after an abbreviation is held as U+0001 while sentences are cut;
+# neighbouring abbreviations share a space, hence the rule runs twice
+_HELD = ("(^|[^\\p{L}])(" + "|".join(ABBREVIATIONS) + ")\\. +", "$1$2.\u0001", None)
 SENTENCE_BREAK: list[Rule] = [
+    _HELD,
+    _HELD,
     ("([.!?]) +([\\p{Lu}\\p{N}\"(])", "$1\n$2", None),
+    ("\u0001", " ", None),
 ]
 
 # ---- fixed values: sentence-start logic for truecasing -----------------------

@@ -558,7 +558,22 @@ def q_vocab_json(spark, sf):
     from ..sources.align import read_vocab
     from ..sources.sinks import vocab_to_json
     v = read_vocab(_vocab_file(spark, sf))
-    return vocab_to_json(v.withColumn("id", F.col("id") + 2))
+    made = vocab_to_json(v.withColumn("id", F.col("id") + 2))
+    return made.select(F.explode(F.from_json("json", "map<string,int>")).alias("piece", "id"))
+
+
+@query("write_pairs")
+def q_write_pairs(spark, sf):
+    """Pairs written by split to the shared folder and read back."""
+    import uuid
+
+    from ..operators.sampling import split_corpus
+    from ..session import checkpoint_dir
+    from ..sources.sinks import write_pairs
+    p = I.pairs(spark, sf).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pairs-{uuid.uuid4()}"
+    write_pairs(split_corpus(p, "id", 100, 100, I.SEED), path, ["id"])
+    return spark.read.parquet(path).select("id", "split", "src", "tgt")
 
 
 # ------------------------------------------------------- registry, relabel

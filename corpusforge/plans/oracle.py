@@ -660,3 +660,12 @@ register("relabel_split", _RS.replace(
 
 register("corpus_registry", f"""WITH {LINES}
 SELECT source || ':' || split AS corpus, split AS role, count(*)::BIGINT AS n_lines FROM lines GROUP BY source, split""")
+
+register("vocab_json", f"""WITH {_VOCAB_FILE}
+SELECT piece, (id - 1)::INTEGER AS id FROM vr
+UNION ALL SELECT '</s>', 0 UNION ALL SELECT '<unk>', 1""")
+
+register("write_pairs", f"""WITH {PAIRS},
+k AS (SELECT conv_id || '-' || turn AS id, src, tgt FROM pairs),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS r FROM k)
+SELECT id, CASE WHEN r < 100 THEN 'val' WHEN r < 200 THEN 'dev' ELSE 'train' END AS split, src, tgt FROM r""")

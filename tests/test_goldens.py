@@ -216,3 +216,10 @@ def test_kl_matches_direct_formula(spark):
     ta = spark.createDataFrame(list(a.items()), "gram string, n long")
     tb = spark.createDataFrame(list(b.items()), "gram string, n long")
     assert abs(one(stats.kl_divergence(ta, tb)).kl_dev_train - round(want, 6)) < 1e-9
+
+
+def test_abbreviations_end_no_sentence(spark):
+    from corpusforge.functions.rules import sentence_breaks
+    df = spark.createDataFrame([("Mr. Smith met Prof. Dr. Jones. He left! Was No. 5 there? Yes.",)], "line string")
+    assert one(df.select(sentence_breaks("line")))[0].split("\n") == [
+        "Mr. Smith met Prof. Dr. Jones.", "He left!", "Was No. 5 there?", "Yes."]
