@@ -597,3 +597,43 @@ def q_corpus_registry(spark, sf):
     lines = I.doc_lines(spark, sf).select("source", "split", "line")
     read = join_registered(lines, reg, F.concat_ws(":", "source", "split"))
     return read.groupBy("corpus", "role").agg(F.count(F.lit(1)).cast("long").alias("n_lines"))
+
+
+# ------------------------------------------------------------------ recipes
+
+def _pasted(spark, sf, a, b):
+    from ..sources.align import paste
+    return paste(_lang_corpus(spark, sf, a), _lang_corpus(spark, sf, b))
+
+
+@query("recipe_concatenated")
+def q_recipe_concatenated(spark, sf):
+    from .recipes import concatenated
+    return concatenated({"fr-en": _pasted(spark, sf, "fr", "en"), "es-de": _pasted(spark, sf, "es", "de")},
+                        n_val=512, n_dev=512, seed=I.SEED).select("origin", "id", "split", "src", "tgt")
+
+
+@query("recipe_resampled")
+def q_recipe_resampled(spark, sf):
+    from ..functions.keys import hash_unit
+    from .recipes import resampled
+    pairs = _pasted(spark, sf, "fr", "en")
+    valid = hash_unit("line_no", I.SEED) < I.DEV_FRACTION
+    return resampled(pairs.where(~valid), pairs.where(valid), 0.3, seed=7).select("line_no", "split", "src", "tgt")
+
+
+@query("recipe_size_matched")
+def q_recipe_size_matched(spark, sf):
+    from ..operators.sampling import split_corpus
+    from .recipes import size_matched
+    big = split_corpus(_pasted(spark, sf, "fr", "en"), "line_no", 512, 512, I.SEED)
+    small = split_corpus(_pasted(spark, sf, "es", "de"), "line_no", 512, 512, I.SEED)
+    return size_matched(big, small).select("line_no", "split")
+
+
+@query("recipe_evaluation_only")
+def q_recipe_evaluation_only(spark, sf):
+    from .recipes import evaluation_only
+    model = _truecase_model(spark, sf)
+    one = [model.where(F.col("lang") == x) for x in ("fr", "en")]
+    return evaluation_only(q_build_parallel(spark, sf), "fr", "en", tuple(one)).select("line_no", "split", "src", "tgt")

@@ -669,3 +669,38 @@ register("write_pairs", f"""WITH {PAIRS},
 k AS (SELECT conv_id || '-' || turn AS id, src, tgt FROM pairs),
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS r FROM k)
 SELECT id, CASE WHEN r < 100 THEN 'val' WHEN r < 200 THEN 'dev' ELSE 'train' END AS split, src, tgt FROM r""")
+
+register("recipe_concatenated", f"""WITH {LINES}, {lang_file('fr', 'fr_f')}, {lang_file('en', 'en_f')},
+{lang_file('es', 'es_f')}, {lang_file('de', 'de_f')},
+c AS (SELECT 'fr-en' AS origin, 'fr-en:' || line_no AS id, src, tgt FROM ({_paste('fr_f', 'en_f')})
+      UNION ALL SELECT 'es-de', 'es-de:' || line_no, src, tgt FROM ({_paste('es_f', 'de_f')})),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS r FROM c)
+SELECT origin, id, CASE WHEN r < 512 THEN 'val' WHEN r < 1024 THEN 'dev' ELSE 'train' END AS split, src, tgt FROM r""")
+
+register("recipe_resampled", f"""WITH {LINES}, {lang_file('fr', 'fr_f')}, {lang_file('en', 'en_f')},
+p AS ({_paste('fr_f', 'en_f')}),
+n AS (SELECT count(*) AS n_train FROM p WHERE {hash_unit_sql('CAST(line_no AS VARCHAR)')} >= 0.2),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || line_no), line_no) - 1 AS pos,
+             CAST('0x' || substr(md5('7:' || line_no), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p),
+s AS (SELECT *, CASE WHEN pos < (SELECT n_train FROM n) THEN 'train' ELSE 'val' END AS split FROM r)
+SELECT line_no, split, src, tgt FROM s WHERE split = 'val' OR ((u <= 0.3 OR line_no = 0) AND src <> '')""")
+
+register("recipe_size_matched", f"""WITH {LINES}, {lang_file('fr', 'fr_f')}, {lang_file('en', 'en_f')},
+{lang_file('es', 'es_f')}, {lang_file('de', 'de_f')},
+a AS (SELECT line_no, row_number() OVER (ORDER BY md5('42:' || line_no), line_no) - 1 AS r FROM ({_paste('fr_f', 'en_f')})),
+n AS (SELECT greatest(0, count(*) - 1024) AS n FROM ({_paste('es_f', 'de_f')})),
+t AS (SELECT line_no, row_number() OVER (ORDER BY line_no) - 1 AS pos FROM a WHERE r >= 1024)
+SELECT line_no, 'train' AS split FROM t WHERE pos < (SELECT n FROM n)
+UNION ALL SELECT line_no, CASE WHEN r < 512 THEN 'val' ELSE 'dev' END FROM a WHERE r < 1024""")
+
+register("recipe_evaluation_only", f"""WITH {TOKL}, {_BP_CTE.replace(LINES + ",", "", 1)},
+bp AS (SELECT line_no, CASE WHEN r < 4096 THEN 'val' WHEN r < 8192 THEN 'dev' ELSE 'train' END AS split, src, tgt FROM r),
+tk AS (SELECT line_no, split, {normalise_tokenise_sql('src', "'fr'")} AS src,
+              {normalise_tokenise_sql('tgt', "'en'")} AS tgt FROM bp),
+f_fr AS (SELECT doc_id || ':' || line_in_doc AS line_no, tok AS src FROM tokl WHERE lang = 'fr' AND split = 'train'),
+f_en AS (SELECT doc_id || ':' || line_in_doc AS line_no, tok AS tgt FROM tokl WHERE lang = 'en' AND split = 'train'),
+s_all AS (SELECT line_no, src FROM tk), t_all AS (SELECT line_no, tgt FROM tk),
+{truecase_sql('f_fr', 's_all', 'line_no', 'src', 'tcs')},
+{truecase_sql('f_en', 't_all', 'line_no', 'tgt', 'tct')}
+SELECT tk.line_no, tk.split, tcs.text AS src, tct.text AS tgt
+FROM tk JOIN tcs USING (line_no) JOIN tct USING (line_no)""")
