@@ -32,24 +32,41 @@ PRIME, GOLDEN = np.uint32(16777619), np.uint32(0x9E3779B1)
 
 @dataclass(frozen=True)
 class Model:
+    place: np.ndarray  # for each hashed feature, its place among the weighted ones, or -1
     weights: np.ndarray
     intercept: float
 
+    def log_odds(self, text: str | None, seen: np.ndarray) -> float:
+        """Intercept and weights of the text's distinct features; ``seen`` is a scratch array as long as the weights,
+        False before and after."""
+        found = self.place[hashed(text)]
+        found = found[found >= 0]
+        seen[found] = True
+        total = float(self.weights[seen].sum())
+        seen[found] = False
+        return self.intercept + total
 
-def features(text: str | None, seen: np.ndarray) -> np.ndarray:
-    """Sorted numbers of the distinct hashed n-grams of the whole text; ``seen`` is a scratch array of False."""
+
+def prior_only(log_odds: float) -> Model:
+    return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), log_odds)
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """Hashed n-grams of the whole text, repeats included."""
     data = np.frombuffer(f" {(text or '').lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    shift = np.uint32(32 - (len(seen).bit_length() - 1))
-    rolled = data
+    rolled, out = data, [np.zeros(0, np.uint32)]
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
             break
         rolled = (rolled[:-1] * PRIME) ^ data[n - 1:]
         if n in ORDERS:
-            seen[((rolled + np.uint32(n)) * GOLDEN) >> shift] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found
+            out.append(((rolled + np.uint32(n)) * GOLDEN) >> np.uint32(32 - BITS))
+    return np.concatenate(out)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Sorted numbers of the distinct hashed n-grams of the whole text."""
+    return np.unique(hashed(text))
 
 
 def telling(with1: np.ndarray, with0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_C
     sample = written(labelled_sample(docs, labels, "toxic", keep, per_class, seed).select("rank", "doc_id", "label", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, size = np.zeros(1 << BITS, bool), 1 << BITS
-        counts = np.zeros((2, size), np.int64)
+        counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for label, text in zip(batch.column(2).to_pylist(), batch.column(3)):
-                counts[label, features(text.as_py(), seen)] += 1
+                counts[label, features(text.as_py())] += 1
         found = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1, found]), pa.array(counts[0, found])], ["feature", "with1", "with0"])
 
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), prior)
+        return prior_only(prior)
     counted = (sample.mapInArrow(count, "feature long, with1 long, with0 long").groupBy("feature")
                .agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
                .where(F.col("with1") + F.col("with0") >= LEAST_TEXTS).toArrow().sort_by("feature"))
@@ -104,9 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_C
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            own = [shared.value[features(t.as_py(), seen)] for t in batch.column(3)]
+            own = [shared.value[features(t.as_py())] for t in batch.column(3)]
             lists = pa.array([x[x >= 0] for x in own], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["rank", "doc_id", "label", "found"])
 
@@ -115,9 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_C
     found = rows["found"].combine_chunks()
     sizes = np.diff(found.offsets.to_numpy())
     w = weigh(found.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), rows["label"].to_numpy(), ratio)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[place >= 0] = (ratio * w[:-1])[place[place >= 0]]
-    return Model(weights, float(w[-1] + prior - math.log(size[1] / size[0])))
+    return Model(place, ratio * w[:-1], float(w[-1] + prior - math.log(size[1] / size[0])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -125,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     likelier.
 
     Whole texts are read in place and rows pass through whole; nothing is shuffled or joined, and memory is one
-    Arrow batch and a scratch array of 2**BITS flags. Null and empty texts have no n-gram and take the score of the
+    Arrow batch and the model. Null and empty texts have no n-gram and take the score of the
     intercept; repeated rows and null keys stay rows of their own; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -133,9 +146,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, np.zeros(1 << BITS, bool)
+        m = shared.value
+        seen = np.zeros(len(m.weights), bool)
         for batch in batches:
-            z = np.array([float(m.weights[features(t.as_py(), seen)].sum()) for t in batch.column(at)]) + m.intercept
+            z = np.array([m.log_odds(t.as_py(), seen) for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
                                              [*batch.schema.names, "score"])
 

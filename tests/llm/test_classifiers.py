@@ -98,11 +98,11 @@ def test_models_do_not_depend_on_partitioning(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     keep = fold(F.col("doc_id"), 5) != 0
     a, b = toxicity.fit(d, labels, keep), toxicity.fit(d.repartition(5), labels.repartition(3), keep)
-    assert a.intercept == b.intercept and (a.weights == b.weights).all()
+    assert a.intercept == b.intercept and (a.weights == b.weights).all() and (a.place == b.place).all()
     assert quality.fit(d, labels, keep) == quality.fit(d.repartition(5), labels.repartition(3), keep)
 
 
 @pytest.mark.parametrize("text", ["", None, "x", "é" * 5])
 def test_scores_of_tiny_texts(text):
-    assert len(toxicity.features(text, __import__("numpy").zeros(1 << toxicity.BITS, bool))) >= 0
+    assert len(toxicity.features(text)) <= 20
     assert len(quality.Compressors(b"abc", b"def").features(text)) == 3
