@@ -57,6 +57,7 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -82,6 +83,8 @@ def region_of(tag: str, attributes: str, outer: str) -> str:
     if outer == "boiler" or tag in BOILER or (tag == "header" and outer != "main"):
         return "boiler"
     names: set[str] = set()
+    if "none" in attributes and UNSEEN.search(attributes):
+        return "boiler"
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in NAMED.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -136,7 +139,9 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if tag == "br" and not skipped:
+            current.add(" ", False)
+        if not tag or tag == "br":
             continue
         if m[1]:
             if tag not in INLINE:
@@ -158,7 +163,7 @@ def blocks(page: str) -> list[Block]:
             close = low.find("</" + tag, at)
             at = len(page) if close < 0 else close
         region = region_of(tag, m[3], region)
-        skipped = skipped or tag in SKIPPED
+        skipped = (skipped or tag in SKIPPED) and tag not in MAIN  # a form may wrap the whole page
         links += tag == "a"
         stack.append((tag, region, skipped))
         if tag not in INLINE:

@@ -28,6 +28,11 @@ def test_character_references_white_space_and_inline_marks():
     assert ext.main_text(page) == f"a&b <i> éA c {P1} end"
 
 
+def test_breaks_hidden_parts_and_forms_around_the_page():
+    page = f"<form id=f><div style='display: none'>{P1}</div><article>{P1}<br>{P2}<form><p>{P1}</p></form></article><p>{P2}</p></form>"
+    assert ext.main_text(page) == f"{P1} {P2}"
+
+
 def test_broken_pages_end_somewhere():
     for page in ("<", "<p", "<!-- x", "<script>x", "</p></div>", "<article><p>" + P1, "<article><p>" + P1 + "<b>x<p>" + P2, "<a" * 20000, "&" * 9999, "<p>" * 5000):
         assert isinstance(ext.main_text(page), str)
