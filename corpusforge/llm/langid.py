@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import hex_key
 
 PER_LANGUAGE = 400
+#: Languages that are learnt: those with most rows, so that the sample stays bounded if the column holds junk.
+LANGUAGES = 256
 ORDERS = (2, 3, 4)
 BITS = 16
 SMOOTH, LIMIT = 0.5, 4.0
@@ -177,12 +179,15 @@ def label(text: str | None, model: Model) -> tuple[str, float, list[tuple[int, i
 
 
 def fit(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, seed: str = "langid") -> Model:
-    """n-gram models of the languages in ``docs.lang`` among ids that ``keep`` admits, from at most ``per_language``
-    texts each, chosen in a seeded order on the slim (doc_id, lang) columns; null languages and texts are left out.
+    """n-gram models of the languages in ``docs.lang`` (the ``LANGUAGES`` with most rows, ties by name) among ids that
+    ``keep`` admits, from at most ``per_language`` texts each, chosen in a seeded order on the slim (doc_id, lang)
+    columns; null languages and texts are left out. The chosen ids, at most ``LANGUAGES * per_language``, are broadcast.
 
     Counts are summed by Spark; the driver receives at most 2**BITS rows and one a script for each language.
     """
     known = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    main = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).select("lang")
+    known = known.join(F.broadcast(main), "lang")
     first = Window.partitionBy("lang").orderBy("rank", "doc_id")
     picked = (known.withColumn("rank", hex_key(seed, F.col("doc_id"))).withColumn("nth", F.row_number().over(first))
               .where(F.col("nth") <= per_language).select("doc_id", "lang").distinct())
