@@ -637,3 +637,21 @@ def q_recipe_evaluation_only(spark, sf):
     model = _truecase_model(spark, sf)
     one = [model.where(F.col("lang") == x) for x in ("fr", "en")]
     return evaluation_only(q_build_parallel(spark, sf), "fr", "en", tuple(one)).select("line_no", "split", "src", "tgt")
+
+
+def _segmented(spark, sf, joint):
+    from ..operators.sampling import split_corpus
+    from .composites import segment_parallel
+    p = I.pairs(spark, sf).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    out = segment_parallel(split_corpus(p, "id", 50, 50, I.SEED).select("id", "split", "src", "tgt"), ["id"], "char", "char", joint=joint)
+    return out.select("id", "side", "split", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+
+
+@query("segment_chars")
+def q_segment_chars(spark, sf):
+    return _segmented(spark, sf, joint=False)
+
+
+@query("segment_chars_joint")
+def q_segment_chars_joint(spark, sf):
+    return _segmented(spark, sf, joint=True)

@@ -56,12 +56,14 @@ def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str
 def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_size: int,
                    merges_per_round: int = 64, split_col: str = "split",
                    learn_splits: tuple[str, ...] = ("train",), max_sentences: int | None = None,
-                   seed: int = 42, id_col: str | None = None) -> DataFrame:
-    """Learn a BPE vocabulary on the training lines (all, or a seeded random
-    choice of ``max_sentences``; one joint vocabulary for every column given), encode every split, numericalise with reserved ids.
-    Returns ``(id…, split, pieces, ids)``."""
+                   seed: int = 42, id_col: str | None = None, kind: str = "bpe") -> DataFrame:
+    """Learn a vocabulary of characters or BPE pieces (``kind``) on the training
+    lines (all, or a seeded random choice of ``max_sentences``), encode every
+    split, numericalise with reserved ids. Returns ``(id…, split, pieces, ids)``.
+    A character vocabulary holds every character; ``vocab_size`` is for BPE."""
+    from ..functions.text import char_pieces
     from ..operators.sampling import head
-    from ..operators.subword import (bpe_encode_words, bpe_learn, encode_lines, json_vocab_ids,
+    from ..operators.subword import (bpe_encode_words, bpe_learn, char_vocab, encode_lines, json_vocab_ids,
                                      numericalise, word_table)
     train = lines.where(F.col(split_col).isin(list(learn_splits)))
     if max_sentences is not None:
@@ -69,13 +71,39 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
         keyed = train if id_col else train.withColumn("_sid", F.concat_ws(":", *[F.col(c).cast("string")
                                                                                  for c in id_cols]))
         train = head(keyed, max_sentences, key, seed)
-    vocab, _ = bpe_learn(word_table(train, text_col), vocab_size, merges_per_round)
-    wp = bpe_encode_words(word_table(lines, text_col), vocab)
-    enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
+    if kind == "char":
+        vocab = char_vocab(train, text_col, 1.0)
+        enc = lines.select(*id_cols, char_pieces(text_col).alias("pieces"))
+    elif kind == "bpe":
+        vocab, _ = bpe_learn(word_table(train, text_col), vocab_size, merges_per_round)
+        wp = bpe_encode_words(word_table(lines, text_col), vocab)
+        enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
     ids = numericalise(enc, json_vocab_ids(vocab), id_cols, "pieces")
     return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
 
 
+def segment_parallel(pairs: DataFrame, id_cols: list[str], src_kind: str, tgt_kind: str,
+                     src_size: int | None = None, tgt_size: int | None = None, joint: bool = False,
+                     split_col: str = "split", **how) -> DataFrame:
+    """Segment both sides of a parallel corpus: ``(id…, side, split, pieces, ids)``.
+
+    A joint vocabulary is learned on both sides together and needs one kind and
+    one size (``check_joint``); otherwise each side learns its own."""
+    from ..sources.registry import check_joint
+    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("text")) for x in ("src", "tgt")])
+    lines = (pairs.select(*id_cols, split_col, F.explode(sides).alias("x"))
+             .select(*id_cols, split_col, "x.side", "x.text"))
+    keys = [*id_cols, "side"]
+    if joint:
+        check_joint(src_kind, tgt_kind, src_size, tgt_size)
+        return segment_corpus(lines, keys, "text", src_size, split_col=split_col, kind=src_kind, **how)
+    out = [segment_corpus(lines.where(F.col("side") == side), keys, "text", size, split_col=split_col, kind=kind, **how)
+           for side, kind, size in (("src", src_kind, src_size), ("tgt", tgt_kind, tgt_size))]
+    return out[0].unionByName(out[1])
+
+
 def filter_languages(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model, id_col: str = "line_no",
                      split_col: str = "split", filter_splits: tuple[str, ...] = ("train",)) -> DataFrame:
     """``(id, split, src, tgt)`` without the rows of ``filter_splits`` whose

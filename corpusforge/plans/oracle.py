@@ -704,3 +704,25 @@ s_all AS (SELECT line_no, src FROM tk), t_all AS (SELECT line_no, tgt FROM tk),
 {truecase_sql('f_en', 't_all', 'line_no', 'tgt', 'tct')}
 SELECT tk.line_no, tk.split, tcs.text AS src, tct.text AS tgt
 FROM tk JOIN tcs USING (line_no) JOIN tct USING (line_no)""")
+
+
+def _segment_chars(joint: bool) -> str:
+    by, on = ("", "USING (piece)") if joint else ("PARTITION BY side ", "USING (side, piece)")
+    keys = "piece" if joint else "side, piece"
+    return f"""WITH {PAIRS},
+k AS (SELECT conv_id || '-' || turn AS id, src, tgt FROM pairs),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS r FROM k),
+p AS (SELECT *, CASE WHEN r < 50 THEN 'val' WHEN r < 100 THEN 'dev' ELSE 'train' END AS split FROM r),
+t AS (SELECT id, split, 'src' AS side, src AS text FROM p UNION ALL SELECT id, split, 'tgt', tgt FROM p),
+c AS (SELECT side, unnest({chars_sql(_marked('text'))}) AS piece FROM t WHERE split = 'train'),
+v AS (SELECT {keys}, (row_number() OVER ({by}ORDER BY count(*) DESC, piece) + 1)::INTEGER AS id FROM c GROUP BY {keys}),
+d AS (SELECT id, side, split, string_split({char_pieces_sql('text')}, ' ') AS ps FROM t),
+e AS (SELECT id AS line, side, unnest(generate_series(1, len(ps))) AS pos, unnest(ps) AS piece FROM d),
+j AS (SELECT e.line, e.side, e.pos, coalesce(v.id, 1) AS n FROM e LEFT JOIN v {on} WHERE e.piece <> ''),
+a AS (SELECT line AS id, side, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY pos) || ' 0' AS ids FROM j GROUP BY line, side)
+SELECT id, side, split, len(string_split(coalesce(ids, '0'), ' '))::BIGINT AS n_ids, coalesce(ids, '0') AS ids
+FROM d LEFT JOIN a USING (id, side)"""
+
+
+register("segment_chars", _segment_chars(joint=False))
+register("segment_chars_joint", _segment_chars(joint=True))
