@@ -589,11 +589,11 @@ def q_relabel_split(spark, sf):
 def q_corpus_registry(spark, sf):
     """Every source of ``documents`` registered as a corpus (role by the seeded
     split), read through the registry and counted."""
-    from ..sources.registry import corpora, join_registered
-    names = [r["source"] for r in I.table(spark, sf, "documents").select("source").distinct()
-             .orderBy("source").collect()]  # registry: one row per source, a handful
-    reg = corpora(spark, [(f"{s}:{role}", role, f"{s}:{role}", "xx", "xx") for s in names
-                          for role in ("train", "dev")])
+    from ..sources.registry import join_registered
+    role = F.explode(F.array(F.lit("train"), F.lit("dev"))).alias("role")
+    name = F.concat_ws(":", "source", "role")
+    reg = (I.table(spark, sf, "documents").select("source").distinct().select("source", role)
+           .select(name.alias("name"), "role", name.alias("path"), F.lit("xx").alias("src"), F.lit("xx").alias("tgt")))
     lines = I.doc_lines(spark, sf).select("source", "split", "line")
     read = join_registered(lines, reg, F.concat_ws(":", "source", "split"))
     return read.groupBy("corpus", "role").agg(F.count(F.lit(1)).cast("long").alias("n_lines"))
