@@ -1,9 +1,11 @@
 """Reproducible shuffles, exact-size splits, head/tail, subsamples.
 
 Order is always ``md5('<seed>:<id>')`` then ``id`` — a total order that is a
-pure function of each row (NULL ids first). Prefixes and splits of any size
-take the same path (``ordering.cut_by_position``): totals of hash buckets tell
-where each cut falls, and only the buckets that a cut goes through are ranked.
+pure function of each row (NULL ids first). Splits of any size take the same
+path (``ordering.cut_by_position``): totals of hash buckets tell where each cut
+falls, and only the buckets that a cut goes through are ranked. A head or tail
+is the same rows either way; a short one is left to Spark's top-k, which merges
+``n`` rows of each task in one task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ def shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_key(id_col, seed), F.col(id_col))
 
 
+# rows up to which one task may merge every task's first rows
+TOP_K = 10_000
+
+
 def _in_shuffle_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn("_bucket", hash_bucket(id_col, seed, 4)).withColumn("_key", hash_key(id_col, seed))
 
@@ -46,6 +52,8 @@ def head(df: DataFrame, n: int, id_col: str, seed: int | None = 42, last: bool =
     else:
         keyed = _in_shuffle_order(df, id_col, seed)
     order = [F.col("_key"), F.col(id_col)]
+    if n <= TOP_K:
+        return keyed.orderBy(*[c.desc() if last else c.asc() for c in order]).limit(n).select(*df.columns)
     if last:
         total = df.agg(F.count(F.lit(1)).alias("_total"))
         cut = cut_by_position(keyed, [F.col("_total") - n], order, "_bucket", "_part", sizes=total)

@@ -24,11 +24,16 @@ def test_split_keeps_rows_and_sizes(spark, n_val, n_dev):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 100, 303, 304, 1000])
-def test_head_and_tail_of_any_length(spark, n):
+def test_head_and_tail_of_any_length(spark, n, monkeypatch):
     df = odd_ids(spark)
     for seed in (42, None):
         first, last = (sampling.head(df, n, "id", seed, last=x).collect() for x in (False, True))
         assert len(first) == len(last) == min(n, 304)
+        with monkeypatch.context() as m:  # the way of long prefixes gives the same rows
+            m.setattr(sampling, "TOP_K", -1)
+            for short, flag in ((first, False), (last, True)):
+                long_ = sampling.head(df, n, "id", seed, last=flag).collect()
+                assert sorted(str(r["id"]) for r in long_) == sorted(str(r["id"]) for r in short)
         if n == 7 and seed is None:
             assert {r["v"] for r in first} > {-1, -2}  # NULL ids come first
 
