@@ -1,6 +1,7 @@
 """Quality by compression: which of two zstandard dictionaries, of good or of bad text, shortens a text more.
 
-The dictionaries are built from a bounded, seeded sample of the labelled texts. A text's feature is the difference
+The dictionaries are trained on a bounded, seeded sample of the labelled texts, which are read whole; ``DICT_BYTES``
+bounds each of them, whatever the number and lengths of its texts. A text's feature is the difference
 of its compressed sizes with the bad and the good dictionary, over its own size; a logistic curve fitted on labelled
 texts that built no dictionary turns it, with the plain compression ratio beside it, into a probability.
 """
@@ -22,10 +23,12 @@ from corpusforge.llm.common import labelled_sample
 #: Labelled texts of each class that are used: two in three build a dictionary, the others calibrate.
 PER_CLASS = 2000
 DICT_BYTES = 512 * 1024
-#: A text enters a dictionary by pieces of so many bytes from its start, middle and end, so that one long text
-#: doesn't fill it.
-PIECE = 2048
+#: Training sees a text as pieces of at most so many bytes, and picks segments of about ``SEGMENT`` bytes from all over
+#: the texts, those with the substrings of ``GRAM`` bytes that most pieces share.
+PIECE, SEGMENT, GRAM = 16 * 1024, 256, 8
 LEVEL = 6
+#: Texts are compressed in chunks of so many bytes, so that the whole dictionary stays inside the window for each.
+CHUNK = 256 * 1024
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Compressors:
     def __init__(self, good: bytes, bad: bytes):
         self.pair = []
         for content in (good, bad):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content)  # trained, or raw: no text begins with the magic number
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False))
 
@@ -52,25 +55,20 @@ class Compressors:
         data = (text or "").encode("utf-8", "replace")
         if not data:
             return 0.0, 0.0, 0.0
-        good, bad = (len(c.compress(data)) for c in self.pair)
+        good, bad = (sum(len(c.compress(data[i:i + CHUNK])) for i in range(0, len(data), CHUNK)) for c in self.pair)
         return (bad - good) / (good + bad), min(good, bad) / len(data), math.log1p(len(data))
 
 
-def pieces(data: bytes) -> bytes:
-    if len(data) <= 3 * PIECE:
-        return data
-    mid = (len(data) - PIECE) // 2
-    return data[:PIECE] + data[mid:mid + PIECE] + data[-PIECE:]
-
-
 def dictionary(texts: list[str]) -> bytes:
-    """Content of a dictionary of ``DICT_BYTES``: the texts in seeded order, cut to an equal share each."""
-    if not texts:
-        return b" "
-    data = [pieces(t.encode("utf-8", "replace")) for t in texts]
-    share = max(256, DICT_BYTES // len(data))
-    content = b"\n".join(d[:share] for d in data)[:DICT_BYTES]
-    return content or b" "
+    """A dictionary of at most ``DICT_BYTES``: the texts themselves if they fit, else trained on all of them, whole."""
+    data = [d for t in texts if (d := t.encode("utf-8", "replace"))]
+    if sum(len(d) + 1 for d in data) <= DICT_BYTES:
+        return b"\n".join(data) or b" "
+    samples = [d[i:i + PIECE] for d in data for i in range(0, len(d), PIECE)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples, k=SEGMENT, d=GRAM).as_bytes()
+    except zstandard.ZstdError:  # too alike to train on: each distinct piece once
+        return b"\n".join(dict.fromkeys(samples))[:DICT_BYTES]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -106,3 +106,32 @@ def test_models_do_not_depend_on_partitioning(spark):
 def test_scores_of_tiny_texts(text):
     assert len(toxicity.features(text)) <= 20
     assert len(quality.Compressors(b"abc", b"def").features(text)) == 3
+
+
+def test_quality_reads_labelled_texts_beyond_their_opening():
+    import random
+    rng = random.Random(1)
+    vocabulary = {label: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)] for label in (0, 1)}
+    header = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000))
+    rows = [(label, header + " ".join(rng.choices(vocabulary[label], k=300))) for _ in range(600) for label in (0, 1)]
+    model = quality.fit_rows(rows, {0: 600, 1: 600})
+    assert len(model.good) <= quality.DICT_BYTES and len(model.bad) <= quality.DICT_BYTES
+    both = quality.Compressors(model.good, model.bad)
+    for label in (0, 1):
+        lead = both.features(" ".join(rng.choices(vocabulary[label], k=300)))[0]
+        assert (lead > 0.02) if label else (lead < -0.02)
+
+
+def test_quality_dictionaries_reach_the_end_of_long_texts():
+    import random
+    rng = random.Random(2)
+    good, bad, text = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (400_000, 400_000, 6_000_000))
+    both = quality.Compressors(good.encode(), bad.encode())
+    plain, ended = both.features(text)[0], both.features(text + good)[0]
+    assert abs(plain) < 1e-3 and ended > 0.02
+
+
+def test_quality_dictionary_of_like_texts():
+    assert 0 < len(quality.dictionary(["the same line " * 100] * 2000)) <= quality.DICT_BYTES
+    assert 0 < len(quality.dictionary(["x" * 3_000_000])) <= quality.DICT_BYTES
+    assert quality.dictionary(["", ""]) == b" "
