@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. Seeds: every run of ``SEED`` tokens of a benchmark item is hashed (Karp-Rabin over token hashes). A Bloom filter of
-   a fixed size, the only thing broadcast, tells each document task which runs may be shared; documents without any
-   leave the plan there.
-2. Candidates: the surviving runs are joined with the items' runs, which gives (document, item) pairs.
+1. Seeds: every run of ``TILE`` tokens of a benchmark item is hashed (Karp-Rabin over token hashes). Tiles that reach the
+   coverage hold at least ``needed`` of an item's seeds. A counting filter of a fixed size, the only thing broadcast,
+   tells each document task which runs may be shared and how many their items need; documents without enough for any
+   item leave the plan there.
+2. Candidates: the surviving runs are joined with the items' runs; (document, item) pairs that share as many seeds as
+   the item needs are kept. No pair that tiling would accept is lost.
 3. Tiling: for each pair, the longest match of tokens that no earlier match has used is marked, again and again, down
    to ``TILE`` tokens. The part of the item's tokens under tiles is its coverage, whatever the order of the passages.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusforge.llm.common import map_rows, packed, unpacked, written
 
-SEED, TILE, COVERAGE = 5, 3, 0.8
-#: The Bloom filter has 2**BITS bits, two for each seed.
+TILE, COVERAGE = 3, 0.8
+#: The filter has 2**BITS bytes, two for each seed: the least number of seeds that an item with it needs, 0 for no item.
 BITS = 24
+MOST = 255
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +60,23 @@ def seeds(words: list[bytes], lengths: list[int]) -> np.ndarray:
     return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)
 
 
+def needed(words: list[bytes], tile: int, coverage: float) -> int:
+    """Least number of distinct seeds that a document shares with an item which it covers: tiles of c tokens in all begin
+    c / tile seeds of the item at least, and the most repeated seeds may be those."""
+    n = len(words)
+    length = min(tile, n)
+    if not n:
+        return 1
+    least = next((c for c in range(max(1, int(coverage * n) - 1), n) if c / n >= coverage), n)
+    _, times = np.unique(rolling(words, length), return_counts=True)
+    return int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), -(-least // length))) + 1
+
+
+def enough(needs: np.ndarray) -> bool:
+    """Whether, for some k, at least k seeds belong to items that need k or fewer."""
+    return bool((np.sort(needs) <= np.arange(1, len(needs) + 1)).any())
+
+
 def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two places in the filter for each seed."""
     h = hashes.view(np.uint64)
@@ -117,18 +137,20 @@ def tiling(item: list[bytes], doc: list[bytes], least: int = TILE) -> list[tuple
 
 
 def _shared_seeds(docs: DataFrame, text: str, filter_: bytes, lengths: list[int], keep: bool) -> DataFrame:
-    """Rows of ``docs`` with seeds that pass the filter, and those seeds as ``_seeds``; or, not ``keep``, the others."""
+    """Rows of ``docs`` with seeds that pass the filter, enough for some item, and those seeds as ``_seeds``; or, not
+    ``keep``, the others."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        least = np.frombuffer(decompress(shared.value), np.uint8)
         for batch in batches:
             found = []
             for value in batch.column(at):
                 own = seeds(tokens(value.as_py()), lengths)
                 a, b = probes(own)
-                found.append(own[bits[a] & bits[b]])
+                needs = np.where(least[a] == 0, 0, np.maximum(least[a], least[b]) * (least[b] > 0))
+                found.append(own[needs > 0] if enough(needs[needs > 0]) else own[:0])
             rows = pa.array(np.flatnonzero([(len(x) > 0) == keep for x in found]), pa.int64())
             part = batch.take(rows)
             if keep:
@@ -140,9 +162,9 @@ def _shared_seeds(docs: DataFrame, text: str, filter_: bytes, lengths: list[int]
     return map_rows(docs, run, *extra)
 
 
-def _items(benchmark: DataFrame, seed: int) -> DataFrame:
-    """(item_id, item, n, _seeds): distinct items with a token, their number of tokens and seeds; an item of fewer
-    tokens than a seed is a seed as a whole."""
+def _items(benchmark: DataFrame, tile: int, coverage: float) -> DataFrame:
+    """(item_id, item, n, _needed, _seeds): distinct items with a token, their number of tokens, the number of seeds that
+    a document needs, and the seeds; an item of fewer tokens than a seed is a seed as a whole."""
     slim = benchmark.select("item_id", F.col("text").cast("string").alias("item")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,37 +172,41 @@ def _items(benchmark: DataFrame, seed: int) -> DataFrame:
             words = [tokens(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([len(w) for w in words], pa.int64()),
-                pa.array([seeds(w, [min(seed, len(w))]) if w else [] for w in words], pa.list_(pa.int64()))], ["item_id", "item", "n", "_seeds"])
+                pa.array([needed(w, tile, coverage) for w in words], pa.int64()),
+                pa.array([seeds(w, [min(tile, len(w))]) if w else [] for w in words], pa.list_(pa.int64()))],
+                ["item_id", "item", "n", "_needed", "_seeds"])
 
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("n", T.LongType()),
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("n", T.LongType()), T.StructField("_needed", T.LongType()),
                                               T.StructField("_seeds", T.ArrayType(T.LongType()))])).where("n > 0")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, tile: int = TILE,
-           coverage: float = COVERAGE) -> tuple[DataFrame, Callable[[], DataFrame]]:
+def search(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """(doc_id, _hash, item_id, coverage, n_tiles, longest) of the contaminated pairs, and a function that gives the
     documents without them.
 
     ``_hash`` is the xxhash64 of the text; rows of equal id and text are one document here. Null and empty texts, of
     documents or items, hold nothing and match nothing; null ids are ids like others; repeated items count once for
-    each item_id; empty tables give no pairs, and all documents. Documents with a shared seed are kept in the
+    each item_id; empty tables give no pairs, and all documents. Documents with enough shared seeds are kept in the
     checkpoint folder with their seeds; others are never shuffled.
     """
-    items = written(_items(benchmark, seed))
-    lengths = sorted(r["length"] for r in items.select(F.least(F.lit(seed), F.col("n")).alias("length")).distinct().collect())
+    items = written(_items(benchmark, tile, coverage))
+    lengths = sorted(r["length"] for r in items.select(F.least(F.lit(tile), F.col("n")).alias("length")).distinct().collect())
     mask = np.uint64((1 << BITS) - 1).item()
-    places = (items.select(F.explode("_seeds").alias("s"))
-              .select(F.explode(F.array(F.shiftrightunsigned("s", 64 - BITS), F.col("s").bitwiseAND(F.lit(mask)))).alias("place"))
-              .distinct().toArrow()["place"].to_numpy())  # at most 2**BITS numbers
-    bits = np.zeros(1 << BITS, bool)
-    bits[places.astype(np.int64)] = True
-    filter_ = np.packbits(bits).tobytes()
+    places = (items.select(F.least("_needed", F.lit(MOST)).alias("least"), F.explode("_seeds").alias("s"))
+              .select("least", F.explode(F.array(F.shiftrightunsigned("s", 64 - BITS), F.col("s").bitwiseAND(F.lit(mask)))).alias("place"))
+              .groupBy("place").agg(F.min("least").alias("least")).toArrow())  # at most 2**BITS rows
+    least = np.zeros(1 << BITS, np.uint8)
+    least[places["place"].to_numpy().astype(np.int64)] = places["least"].to_numpy()
+    filter_ = compress(least.tobytes(), 1)
     read = ("doc_id", "text")
     named = packed(docs, read).withColumn("text", F.col("text").cast("string")).withColumn("_hash", F.xxhash64("text"))
     near = written(_shared_seeds(named, "text", filter_, lengths, keep=True))
-    pairs = (near.select("doc_id", "_hash", F.explode("_seeds").alias("_seed"))
-             .join(items.select("item_id", "item", F.explode("_seeds").alias("_seed")), "_seed")
-             .select("doc_id", "_hash", "item_id", "item").distinct())
+    named_items = items.withColumn("_item", F.xxhash64("item_id", "item"))
+    pairs = (near.groupBy("doc_id", "_hash").agg(F.first("_seeds").alias("_seeds"))
+             .select("doc_id", "_hash", F.explode("_seeds").alias("_seed"))
+             .join(named_items.select("_item", "_needed", F.explode("_seeds").alias("_seed")), "_seed")
+             .groupBy("doc_id", "_hash", "_item", "_needed").agg(F.count("*").alias("_shared")).where("_shared >= _needed")
+             .join(named_items.select("_item", "item_id", "item"), "_item").select("doc_id", "_hash", "item_id", "item"))
     asked = pairs.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("item_id", "item")).alias("_items"))
     texts = near.select("doc_id", "_hash", "text").dropDuplicates(["doc_id", "_hash"])
     tested = texts.alias("t").join(asked.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t._hash") == F.col("a._hash")))
@@ -212,7 +238,7 @@ def search(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, tile: int =
         T.StructField("n_tiles", T.LongType()), T.StructField("longest", T.LongType())]))
 
     def clean() -> DataFrame:
-        """Rows of ``docs`` that no item contaminates: those without a shared seed, as they stream by, and those of
+        """Rows of ``docs`` that no item contaminates: those without enough shared seeds, as they stream by, and those of
         the kept candidates that aren't among the pairs."""
         hit = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_found")).distinct()
         far = _shared_seeds(named, "text", filter_, lengths, keep=False)

@@ -81,3 +81,25 @@ def test_hard_rows_short_items_and_empty_tables(spark):
     assert found.count() == 0 and clean().count() == 0
     found, clean = dec.search(docs(spark, False), bench(spark, []))
     assert found.count() == 0 and clean().count() == docs(spark).count()
+
+
+def test_finds_items_with_every_fifth_word_changed_and_reordered_pieces(spark):
+    items = [(i, text_of(2000 + i, 40)) for i in range(3)] + [(3, "again and " * 20)]
+    words = [t.split() for _, t in items]
+    pieces = [words[1][i:i + 4] for i in range(0, 40, 4)]
+    rows = [(0, " ".join(w if i % 5 else "changed" for i, w in enumerate(words[0]))),
+            (1, " ".join(w for k, p in enumerate(pieces[::-1]) for w in [*p, f"gap{k}"])),
+            (2, " ".join(words[2][:30])), (3, items[3][1])]
+    found, clean = dec.search(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items))
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in found.collect()}
+    assert got == {(0, 0): 0.8, (1, 1): 1.0, (3, 3): 1.0} and [r["doc_id"] for r in clean().collect()] == [2]
+
+
+def test_no_covered_item_shares_fewer_seeds_than_it_needs():
+    rng = random.Random(3)
+    for _ in range(2000):
+        words = [bytes([97 + k]) for k in range(rng.choice([1, 2, 3, 9]))]
+        item, doc = [rng.choice(words) for _ in range(rng.randint(1, 14))], [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        if sum(t[0] for t in dec.tiling(item, doc)) / len(item) >= 0.8:
+            length = [min(3, len(item))]
+            assert len(set(dec.seeds(item, length)) & set(dec.seeds(doc, length))) >= dec.needed(item, 3, 0.8)
