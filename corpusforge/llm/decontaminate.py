@@ -9,14 +9,16 @@
 3. Tiling: for each pair, the longest match of tokens that no earlier match has used is marked, again and again, down
    to ``TILE`` tokens. The part of the item's tokens under tiles is its coverage, whatever the order of the passages.
 
-A document is contaminated by an item if coverage reaches ``COVERAGE``. Tokens are runs of ASCII letters, digits and
-non-ASCII bytes of the lower-cased text, so marks and spacing around words don't hide a passage.
+A document is contaminated by an item if coverage reaches ``COVERAGE``. Tokens are runs of Unicode letters and digits,
+with their combining marks, of the lower-cased text in form NFKC; in scripts without spaces each letter is a token. So
+punctuation and spacing of any kind, soft hyphens and full-width forms don't hide a passage.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from zlib import compress, crc32, decompress
 
@@ -33,12 +35,27 @@ TILE, COVERAGE = 3, 0.8
 #: The filter has 2**BITS bytes, two for each seed: the least number of seeds that an item with it needs, 0 for no item.
 BITS = 24
 MOST = 255
-TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Letters of Thai, Lao, Myanmar, Khmer, Tai, Javanese, Japanese and Chinese.
+UNSPACED = ("\u0E00-\u0E4F\u0E80-\u0ECF\u0EDC-\u0EDF\u1000-\u103F\u1050-\u108F\u1780-\u17D3\u1950-\u19CF\u1A20-\u1A7F\uA980-\uA9C0\uA9E0-\uA9EF"
+            "\uA9FA-\uA9FE\uAA60-\uAADF\u3005-\u3007\u3021-\u3029\u3031-\u303C\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+            "\U0001B000-\U0001B16F\U00020000-\U0003FFFF")
+#: Combining marks but variation selectors.
+MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M" and not "\uFE00" <= c <= "\uFE0F")
+ASCII_TOKEN, PLAIN_TOKEN = re.compile(rb"[0-9a-z]+"), re.compile(r"[^\W_]+")
+SPECIAL = re.compile(f"[{UNSPACED}{MARKS}]")
+TOKEN = re.compile(f"(?![_{UNSPACED}])\\w(?:(?![_{UNSPACED}])[\\w{MARKS}])*|(?!_)[{UNSPACED}](?<=\\w)[{MARKS}]*")
+#: Characters that are not seen: soft hyphen, joiners, byte order mark.
+UNSEEN = re.compile("[\u00AD\u200C\u200D\u2060\uFEFF]")
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return TOKEN.findall((text or "").lower().encode("utf-8", "replace"))
+    text = (text or "").lower()
+    if text.isascii():
+        return ASCII_TOKEN.findall(text.encode())
+    plain = unicodedata.normalize("NFKC", UNSEEN.sub("", text)).lower()
+    words = TOKEN.findall(plain) if SPECIAL.search("".join(set(plain))) else PLAIN_TOKEN.findall(plain)
+    return [w.encode("utf-8", "replace") for w in words]
 
 
 def rolling(words: list[bytes], length: int) -> np.ndarray:

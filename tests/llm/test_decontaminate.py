@@ -103,3 +103,23 @@ def test_no_covered_item_shares_fewer_seeds_than_it_needs():
         if sum(t[0] for t in dec.tiling(item, doc)) / len(item) >= 0.8:
             length = [min(3, len(item))]
             assert len(set(dec.seeds(item, length)) & set(dec.seeds(doc, length))) >= dec.needed(item, 3, 0.8)
+
+
+def test_tokens_of_any_script_and_spacing():
+    assert dec.tokens("Don't stop_now 42") == [b"don", b"t", b"stop", b"now", b"42"]
+    plain = dec.tokens("the \"quick\" fox - it's 3 o'clock, isn't it caf\u00e9")
+    assert plain == dec.tokens("the\u00a0\u201cquick\u201d\u2003fox\u2014it\u2019s \uff13 o\u2019clock\uff0cisn\u2019t\u3000it cafe\u0301")
+    assert dec.tokens("bench\u00admark") == [b"benchmark"]
+    assert dec.tokens("\u6f22\u5b57\u3068\u30ab\u30ca\u3002ab") == [c.encode() for c in "\u6f22\u5b57\u3068\u30ab\u30ca"] + [b"ab"]
+    assert dec.tokens("\u0939\u093f\u0928\u094d\u0926\u0940 \u0436\u0438\u0437\u043d\u044c") == ["\u0939\u093f\u0928\u094d\u0926\u0940".encode(), "\u0436\u0438\u0437\u043d\u044c".encode()]
+    assert len(dec.tokens("\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22")) == 7
+    assert dec.tokens("\u201c\u2014\u2026\u3002\uff01") == []
+
+
+def test_finds_items_behind_wide_spaces_and_inside_unspaced_text(spark):
+    latin = text_of(3000, 30).split()
+    chinese = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(40))
+    rows = [(0, "\u00a0".join(f"\u201c{w}\u201d" for w in latin)), (1, "\u524d\u6587" + chinese + "\u540e\u6587"), (2, chinese[:20])]
+    found, clean = dec.search(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, [(0, " ".join(latin)), (1, chinese)]))
+    assert {(r["doc_id"], r["item_id"]): r["coverage"] for r in found.collect()} == {(0, 0): 1.0, (1, 1): 1.0}
+    assert [r["doc_id"] for r in clean().collect()] == [2]
