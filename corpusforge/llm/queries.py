@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontaminate, html_extract, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity
+from corpusforge.llm import (bpe, conversation, decontaminate, html_extract, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity,
+                             whitening)
 from corpusforge.llm.common import fold, table
 
+#: Where the vocabulary files of public tokenizers are; the driver reads them.
+TOKENIZERS = "/opt/tokenizers"
 SHARDS = 16
 WEIGHTS = (5, 2, 1)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's vocabulary file."""
+    return f"{TOKENIZERS}/{name}"
+
+
 def held_out(n: int, rest: int) -> Column:
     """Whether doc_id is in the fold that is never learnt from (a null doc_id is not, nor is it learnt from)."""
     return F.coalesce(fold(F.col("doc_id"), n) == rest, F.lit(False))
@@ -98,6 +106,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least repair and digest of every conversation, whose rows are damaged by the crc32 of ``conv_id:turn``."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    harm = F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20
+    rows = rows.withColumn("harm", harm).select(
+        "conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.coalesce("text", F.lit(" "))).alias("text"),
+        F.explode(F.array_repeat(F.col("harm") == 0, F.when(F.col("harm") == 3, 2).otherwise(1))).alias("dropped"))
+    return conversation.digests(rows, lost=F.col("dropped"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with a byte-level BPE vocabulary of 50,257 ids and decoded again."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json")
+    ids = bpe.encode(docs, path).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding, in units of 1/1024."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding"), 1024, 100000).alias("x"))
+    return whitening.whiten(rows, components=8)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -109,6 +146,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_bpe": op12_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
