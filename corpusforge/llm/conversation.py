@@ -148,7 +148,7 @@ def audits(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     slim = rows.select("conv", "turn", "role", "mark", "lost", initial.alias("initial"), fault.alias("fault")).repartition("conv")
     nth = F.row_number().over(Window.partitionBy("conv", "role", "mark", "lost").orderBy("turn"))
     slim = slim.withColumn("nth", nth).withColumn("fault", F.when(F.col("fault").isin(SOUND, CUT) & (F.col("nth") > 1), REPEATED).otherwise(F.col("fault")))
-    ordered = slim.sortWithinPartitions("conv", "turn", "role", "mark").select("conv", "turn", (F.col("initial") + F.col("fault") * 4).cast("int").alias("code"))
+    ordered = slim.sortWithinPartitions("conv", "turn", "role", "mark", "nth").select("conv", "turn", (F.col("initial") + F.col("fault") * 4).cast("int").alias("code"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = peeked(batches)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm import (bpe, conversation, decontaminate, html_extract, langid, mixing, order_minhash, pii, quality, sharding, simhash, toxicity,
                              whitening)
 from corpusforge.llm.common import fold, table
+from corpusforge.llm.conversation_sql import ORACLE_SQL as CONVERSATION_SQL
 
 #: Where the vocabulary files of public tokenizers are; the driver reads them.
 TOKENIZERS = "/opt/tokenizers"
@@ -152,6 +153,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_conversation_repair": CONVERSATION_SQL,
     # A draw is the md5 of seed, shard and key; only its order counts where weights are equal.
     "op1_sharding": f"""
 WITH d AS (

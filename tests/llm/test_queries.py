@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_simhash": {"doc_id", "fingerprint", "component_id"},
     "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op10_quality": {"doc_id", "held_out", "score", "predicted"},
+    "op11_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
+    "op12_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
 }
 
 
@@ -28,8 +31,9 @@ def test_query(spark, name):
     assert COLUMNS[name] <= set(got.columns)
     rows = got.toPandas()
     if name != "op4_decontaminate":
-        table = "pages" if name == "op2_html" else "documents"
-        assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+        table, times = {"op2_html": ("pages", 1), "op11_conversation_repair": ("conversations", 1), "op13_whitening": ("embeddings", 8)}.get(name, ("documents", 1))
+        of = spark.read.parquet(f"{SMALL}/{table}.parquet")
+        assert len(rows) == times * (of.select("conv_id").distinct() if table == "conversations" else of).count()
     if name in ORACLE:
         con = duckdb.connect()
         for f in os.listdir(SMALL):
