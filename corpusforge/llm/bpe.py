@@ -22,7 +22,9 @@ from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,13 @@ from corpusforge.llm.common import map_rows
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a task remembers; the memory is emptied when it is full.
 REMEMBERED = 1 << 19
-#: Ids in an output batch, beyond which the next row starts a new one.
-BATCH_IDS = 1 << 20
+#: Bytes of text, or ids, after which the next row starts a new batch.
+BATCH = 1 << 22
+#: Words that are held and merged together.
+WORDS = 1 << 18
 #: Bytes that a transducer reads beyond its lookahead before it merges.
 STEP = 2048
-#: Bytes from which a heap finds the least pair; below it, looking through all pairs is faster.
+#: Bytes from which a run is merged on its own, with a heap; below it, with others of its length.
 LONG = 64
 NEVER = 1 << 62
 
@@ -192,45 +196,111 @@ class Transducer:
         self.open.clear()
 
 
-class Words(dict):
-    """Ids of each word met, worked out once; emptied when it holds ``REMEMBERED`` words."""
+class Table:
+    """The pairs of a model as sorted numbers, to look up many at once."""
 
     def __init__(self, model: Model):
-        self.transducer = Transducer(model)
-
-    def __missing__(self, word: str) -> Iterable[int]:
-        data = word.encode()
-        if len(data) >= self.transducer.model.reach + STEP:  # not remembered: such a run is long and hardly met again
-            return chain(self.transducer.feed(data), self.transducer.finish())
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = tuple(self.transducer.merge(data))
-        return ids
+        keys = np.array([a << 32 | b for a, b in model.pairs], dtype=np.int64)
+        order = keys.argsort()
+        self.keys, self.ranks = keys[order], np.array(list(model.pairs.values()), dtype=np.int64)[order]
+        self.merged, self.single = np.array(model.merged, dtype=np.int64), np.array(model.single, dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NEVER)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as the bytes of ints, of words of one length: in each round every word that has a pair left merges its least, leftmost one, so
+        that all of them stay of one length."""
+        out: list = [None] * len(words)
+        ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)]
+        row, ranks = np.arange(len(words)), self.rank(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            least = ranks.min(axis=1, initial=NEVER)
+            live = least < NEVER
+            data, size = ids[~live].astype(np.int32).tobytes(), 4 * ids.shape[1]
+            for k, i in enumerate(row[~live].tolist()):
+                out[i] = data[k * size:(k + 1) * size]
+            row, ids, ranks, least = row[live], ids[live], ranks[live], least[live]
+            if not len(row):
+                break
+            at, every = ranks.argmin(axis=1), np.arange(len(row))
+            width = ids.shape[1] - 1
+            ids[every, at] = self.merged[least]
+            ids = np.take_along_axis(ids, np.arange(width) + (np.arange(width) > at[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, np.arange(width - 1) + (np.arange(width - 1) >= at[:, None]), axis=1)
+            for place, some in ((at, at < width - 1), (at - 1, at > 0)):
+                i, j = every[some], place[some]
+                ranks[i, j] = self.rank(ids[i, j], ids[i, j + 1])
+        return out
 
 
 class Encoder:
+    """Texts in, ids out. The ids of each word met are remembered as the bytes of ints; the memory is emptied when it
+    holds ``REMEMBERED`` words. Words not met before are merged many at a time, runs of ``LONG`` bytes or more each by
+    the transducer."""
+
     def __init__(self, model: Model):
-        self.words, self.split = Words(model), regex.compile(SPLIT)
-        self.special = dict(model.special)
+        self.words: dict[str, bytes] = {}
+        self.table, self.transducer = Table(model), Transducer(model)
+        self.split, self.special = regex.compile(SPLIT), dict(model.special)
         ordered = sorted(self.special, key=lambda s: (-len(s), s))
         self.parts = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
 
-    def ids(self, text: str) -> array:
-        """Ids of a text, in order."""
-        out = array("i")
-        for part in self.parts.split(text) if self.parts else [text]:
-            if part in self.special:
-                out.append(self.special[part])
+    def learn(self, words: set[str]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            data = word.encode()
+            if len(data) < LONG:
+                by_length.setdefault(len(data), []).append(word)
             else:
-                out.extend(chain.from_iterable(map(self.words.__getitem__, map(itemgetter(0), self.split.finditer(part)))))
+                self.words[word] = array("i", chain(self.transducer.feed(data), self.transducer.finish())).tobytes()
+        for some in by_length.values():
+            self.words.update(zip(some, self.table.merge([w.encode() for w in some]), strict=True))
+
+    def pieces(self, texts: list[str]) -> Iterator[tuple[int, list[str] | int]]:
+        """(number of the text, some of its words or the id of a special token), in order."""
+        for n, text in enumerate(texts):
+            for part in self.parts.split(text) if self.parts else [text]:
+                if part in self.special:
+                    yield n, self.special[part]
+                else:
+                    words = map(itemgetter(0), self.split.finditer(part))
+                    while some := list(islice(words, WORDS)):
+                        yield n, some
+
+    def encode(self, texts: list[str]) -> list[array]:
+        """The ids of each text."""
+        out, held, size = [array("i") for _ in texts], [], 0
+
+        def passed() -> None:
+            words = set().union(*(p for _, p in held if isinstance(p, list)))
+            if len(self.words) + len(words) > REMEMBERED:
+                self.words.clear()
+            self.learn(words - self.words.keys())
+            for n, p in held:
+                out[n].frombytes(b"".join(map(self.words.__getitem__, p)) if isinstance(p, list) else array("i", [p]).tobytes())
+            held.clear()
+
+        for piece in self.pieces(texts):
+            held.append(piece)
+            size += len(piece[1]) if isinstance(piece[1], list) else 1
+            if size >= WORDS:
+                passed()
+                size = 0
+        passed()
         return out
 
+    def ids(self, text: str) -> array:
+        return self.encode([text])[0]
+
 
 class Decoder:
     """Ids in, text out; holds at most the open bytes of one character."""
 
     def __init__(self, model: Model):
-        self.spelled = dict(enumerate(model.spelled))
+        self.spelled = {i: b for i, b in enumerate(model.spelled) if b is not None}
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
@@ -250,19 +320,16 @@ class Decoder:
         return "".join(out) + self.finish()
 
 
-def by_rows(batches: Iterator[pa.RecordBatch], column: int, made) -> Iterator[pa.RecordBatch]:
-    """Each batch with one more column, ``made`` of the values of one; cut so that no batch holds far more than
-    ``BATCH_IDS`` ids or letters of it. ``made`` gives (value, size)."""
+def cut(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``sizes`` add up to about ``BATCH``; a row is never cut."""
     for batch in batches:
-        start, size, out = 0, 0, []
-        for i, value in enumerate(batch.column(column)):
-            one, n = made(value)
-            out.append(one)
-            size += n
-            if size >= BATCH_IDS or i + 1 == batch.num_rows:
-                cut = batch.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.concat_arrays(out)], [*cut.schema.names, "made"])
-                start, size, out = i + 1, 0, []
+        ends = np.cumsum(sizes(batch).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, before + BATCH, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -275,16 +342,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     spare = "_" * (1 + max(map(len, df.columns)))  # a name that no column has
     slim = df.withColumn(spare, F.col(text).cast("string")).drop(ids)
-    at = len(slim.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value.encoder
-
-        def made(value):
-            got = encoder.ids(value.as_py() or "")
-            return pa.ListArray.from_arrays(pa.array([0, len(got)], pa.int32()), pa.array(memoryview(got), pa.int32())), len(got)
-
-        return by_rows(batches, at, made)
+        for batch in cut(batches, lambda b: pc.binary_length(b.columns[-1])):
+            made = encoder.encode([t or "" for t in batch.columns[-1].to_pylist()])
+            ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(m.tobytes() for m in made), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(flat))], [*batch.schema.names, "made"])
 
     return map_rows(slim, run, T.StructField(ids, T.ArrayType(T.IntegerType(), True))).drop(spare)
 
@@ -298,15 +363,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     spare = "_" * (1 + max(map(len, df.columns)))
     slim = df.withColumn(spare, F.col(ids).cast("array<int>")).drop(text)
-    at = len(slim.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-
-        def made(value):
-            got = decoder.text(() if value.values is None else value.values.to_pylist())
-            return pa.array([got], pa.string()), len(got)
-
-        return by_rows(batches, at, made)
+        for batch in cut(batches, lambda b: pc.list_value_length(b.columns[-1])):
+            made = pa.array([decoder.text(v or ()) for v in batch.columns[-1].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "made"])
 
     return map_rows(slim, run, T.StructField(text, T.StringType())).drop(spare)
