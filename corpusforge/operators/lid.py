@@ -10,10 +10,17 @@ newline). Only grams seen with L need a row in the model, because
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import char_windows
+from .lookup import split_model
+from .ordering import keyed
+from .rows import map_values
 
 ROUND = 6
 
@@ -42,50 +49,95 @@ def lid_fit(lines: DataFrame, lang_col: str = "lang", line_col: str = "line", n:
     return grams, langs
 
 
-def _languages(langs: DataFrame) -> list[tuple[str, float]]:
-    # one row per language: the language inventory, bounded and tiny
-    return [(r["lang"], float(r["ln_denominator"])) for r in langs.orderBy("lang").collect()]
-
-
-def _line_sums(lines: DataFrame, grams: DataFrame, names: list[str], id_cols: list[str], line_col: str,
-               n: int) -> DataFrame:
-    """Per line: number of n-grams and, per language, Σ ln(c+1) over its grams.
-
-    The model is pivoted to one row per gram (a column per language), so every
-    line gram meets at most one model row: the join keeps row counts, and one
-    hash aggregate per line (collapsed map-side) yields all sums at once.
-    """
-    wide = grams.groupBy("gram").pivot("lang", names).agg(F.first("ln_c1"))
-    lg = lines.select(*id_cols, F.explode(char_windows(line_col, n)).alias("gram"))
-    j = lg.join(wide, "gram", "left")
-    aggs = [F.count(F.lit(1)).alias("_ng")] + [F.coalesce(F.sum(F.col(f"`{x}`")), F.lit(0.0)).alias(f"_s{i}")
-                                               for i, x in enumerate(names)]
-    return j.groupBy(*id_cols).agg(*aggs)
+@dataclass(frozen=True)
+class Inventory:
+    """Languages in order, and for each ln of its denominator."""
+
+    names: tuple[str, ...]
+    denominators: tuple[float, ...]
+
+
+def _languages(langs: DataFrame) -> Inventory:
+    # one row per language: as many numbers as there are languages
+    rows = langs.where("lang IS NOT NULL").orderBy("lang").collect()
+    return Inventory(tuple(r["lang"] for r in rows), tuple(float(r["ln_denominator"]) for r in rows))
+
+
+def gram_rows(grams: DataFrame, inventory: Inventory) -> DataFrame:
+    """``(gram, at, ln_c1)``: one row a gram, with the places of the languages that have it and their values. The plan
+    doesn't widen with the languages, and a gram of one language takes room for one."""
+    place = grams.sparkSession.createDataFrame([(n, i) for i, n in enumerate(inventory.names)], "lang string, i int")
+    pairs = grams.join(F.broadcast(place), "lang").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("i", "ln_c1"))).alias("p"))
+    return pairs.select("gram", F.col("p.i").alias("at"), F.col("p.ln_c1").alias("ln_c1"))
+
+
+def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols: list[str], line_col: str, n: int) -> DataFrame:
+    """``(id…, ng, sums)``: the number of n-grams of each line and, for each language, Σ ln(c+1) over them.
+
+    Grams are looked up and summed inside the line; with a model of more than ``lookup.BROADCAST_ROWS`` grams, those that
+    are not heavy leave it, meet the model by a join, and their sums come back by line."""
+    model = gram_rows(grams, inventory)
+    line = lines.select(*id_cols, F.col(line_col).cast("string").alias("_line"))
+    split = split_model(model, "gram", F.struct("at", "ln_c1"), lambda: line.select(F.explode(char_windows("_line", n)).alias("gram")))
+    width, shared = len(inventory.names), lines.sparkSession.sparkContext.broadcast(split)
+
+    def make():
+        known, whole = shared.value.known, shared.value.whole
+        table = np.zeros((len(known) + 1, width))
+        row = {}
+        for i, (gram, v) in enumerate(known.items()):
+            row[gram] = i
+            if v is not None:
+                table[i, v["at"]] = v["ln_c1"]
+
+        def run(text):
+            text = (text or "") + "\n"
+            found = [text[i:i + n] for i in range(len(text) - n + 1)] or [text]
+            sums = table[[row.get(g, -1) for g in found]].sum(axis=0)
+            return {"ng": len(found), "sums": sums.tolist(), "rest": [] if whole else [g for g in found if g not in row]}
+        return run
+
+    kind = T.StructType([T.StructField("ng", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())),
+                         T.StructField("rest", T.ArrayType(T.StringType()))])
+    done = map_values(line.where("_line IS NOT NULL"), F.col("_line"), "_done", kind, make).select(*id_cols, "_done.*")
+    if split.whole:
+        return done.drop("rest")
+    done = keyed(done, id_cols)
+    asked = done.select("_key_", F.explode("rest").alias("gram"))
+    found = (asked.join(model, "gram").select("_key_", F.explode(F.arrays_zip("at", "ln_c1")).alias("v"))
+             .groupBy("_key_", F.col("v.at").alias("i")).agg(F.sum("v.ln_c1").alias("s"))
+             .groupBy("_key_").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_more")))
+    sums = F.transform("sums", lambda s, i: s + F.coalesce(F.try_element_at("_more", i), F.lit(0.0)))
+    return (done.join(found, "_key_", "left").withColumn("sums", F.when(F.col("_more").isNull(), F.col("sums")).otherwise(sums))
+            .select(*id_cols, "ng", "sums"))
+
+
+def _scores(sums: DataFrame, inventory: Inventory, id_cols: list[str]) -> DataFrame:
+    """``(id…, scores)``: by language in order, each with the language's name as ``l`` and the score as ``s``."""
+    names, dens = (F.array(*map(F.lit, x)) for x in (inventory.names, inventory.denominators))
+    return sums.select(*id_cols, F.transform(F.arrays_zip("sums", names.alias("l"), dens.alias("d")),
+                                             lambda x: F.struct((x["sums"] - F.col("ng") * x["d"]).alias("s"), x["l"].alias("l"))).alias("scores"))
 
 
 def lid_scores(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: list[str],
                line_col: str = "line", n: int = 3) -> DataFrame:
     """``(id…, lang, score)`` for every line and every language."""
-    grams, langs = model
-    inv = _languages(langs)
-    sums = _line_sums(lines, grams, [x for x, _ in inv], id_cols, line_col, n)
-    per = [F.struct(F.lit(x).alias("lang"), (F.col(f"_s{i}") - F.col("_ng") * F.lit(den)).alias("score"))
-           for i, (x, den) in enumerate(inv)]
-    return sums.select(*id_cols, F.explode(F.array(*per)).alias("_x")).select(*id_cols, "_x.lang", "_x.score")
+    inventory = _languages(model[1])
+    scores = _scores(line_sums(lines, model[0], inventory, id_cols, line_col, n), inventory, id_cols)
+    return scores.select(*id_cols, F.explode("scores").alias("_x")).select(*id_cols, F.col("_x.l").alias("lang"), F.col("_x.s").alias("score"))
 
 
 def lid_predict(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: list[str],
                 line_col: str = "line", n: int = 3, out: str = "pred") -> DataFrame:
-    """Most likely language per line (score rounded to 6 decimals; ties → the
-    larger language code), chosen in-row over the language columns."""
-    grams, langs = model
-    inv = _languages(langs)
-    sums = _line_sums(lines, grams, [x for x, _ in inv], id_cols, line_col, n)
-    cands = [F.struct(F.round(F.col(f"_s{i}") - F.col("_ng") * F.lit(den), ROUND).alias("s"), F.lit(x).alias("l"))
-             for i, (x, den) in enumerate(inv)]
-    best = F.greatest(*cands) if len(cands) > 1 else cands[0]
-    return sums.select(*id_cols, best.alias("_b")).select(*id_cols, F.col("_b.l").alias(out),
-                                                           F.col("_b.s").alias(f"{out}_score"))
+    """Most likely language per line (score rounded to 6 decimals; ties → the larger language code), chosen in the row.
+    A NULL line has no row; with no language at all every prediction is NULL."""
+    inventory = _languages(model[1])
+    sums = line_sums(lines, model[0], inventory, id_cols, line_col, n)
+    if not inventory.names:
+        return sums.select(*id_cols, F.lit(None).cast("string").alias(out), F.lit(None).cast("double").alias(f"{out}_score"))
+    best = F.array_max(F.transform("scores", lambda x: F.struct(F.round(x["s"], ROUND).alias("s"), x["l"].alias("l"))))
+    return (_scores(sums, inventory, id_cols).select(*id_cols, best.alias("_b"))
+            .select(*id_cols, F.col("_b.l").alias(out), F.col("_b.s").alias(f"{out}_score")))
 
 
 def label_of(lang_col) -> "F.Column":

@@ -2,43 +2,58 @@
 
 A global ``row_number()`` over a whole corpus puts every row into one task.
 Instead, rows are grouped into order-preserving buckets (the leading hex digits
-of an md5 key, or equal widths between the smallest and the largest id); bucket
-totals are at most ``BUCKETS`` rows (per partition key) and get an exclusive
-running sum; each bucket then ranks only its own rows. Every step is a function
-of the data, so a retried task recomputes the same positions. Every row is
-kept: NULL ids and keys are values like others (first in order), and rows with
-equal ids get neighbouring positions.
+of an md5 key, or ranges between quantiles of the ids); bucket totals are a
+small table (per partition key) and get an exclusive running sum; each bucket
+then ranks only its own rows. Every step is a function of the data, so a retried
+task recomputes the same positions. Every row is kept: NULL ids and keys are
+values like others (first in order), and rows with equal ids get neighbouring
+positions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of seeded hash keys.
 BUCKETS = 1 << 16
+#: Ids in the sample whose values bound the ranges, and how many of them a lookup reads at a time.
+BOUNDS, STRIDE = 1 << 12, 1 << 6
+#: The bucket of NULL ids and keys, before all others.
+NULL_BUCKET = -(1 << 62)
 
 
-def null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys match; the right side's keys are dropped."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols])
-    return left.join(r, on, how).drop(*[f"_r_{c}" for c in cols])
+def keyed(df: DataFrame, cols: Sequence[str], out: str = "_key_") -> DataFrame:
+    """Add the columns as one struct, which is never NULL and in which NULLs are equal: grouping, windows and joins on it
+    share one partitioning, where a NULL-safe comparison would deal all rows anew."""
+    return df.withColumn(out, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]))
+
+
+def quantiles(df: DataFrame, order_col: str) -> DataFrame:
+    """One row ``_bounds``: a sorted uniform sample of at most ``BOUNDS`` different ids, those with the smallest hashes.
+    It is the same however often and wherever it is worked out."""
+    ids = df.select(F.col(order_col).alias("_v")).where("_v IS NOT NULL").distinct()
+    return ids.orderBy(F.xxhash64("_v"), "_v").limit(BOUNDS).agg(F.array_sort(F.collect_list("_v")).alias("_bounds"))
 
 
 def with_range_bucket(df: DataFrame, order_col: str, out: str = "_bucket", width: int | None = None) -> DataFrame:
-    """Add a bucket number that follows ``order_col``: ``BUCKETS`` equal widths
-    between its measured ends (a one-row aggregate), so dense, sparse and
-    hashed ids all give a bounded number of buckets; or buckets of ``width``
-    ids where the caller knows the ids to be dense."""
+    """Add a bucket number that follows ``order_col``: how many quantile bounds lie at or below the id, so that dense,
+    sparse, hashed and far-off ids all spread; or buckets of ``width`` ids where the caller knows the ids to be dense.
+    NULL ids have a bucket of their own, the first."""
     if width is not None:
-        return df.withColumn(out, F.floor(F.col(order_col) / F.lit(width)).cast("long"))
-    v = F.col(order_col).cast("double")
-    ends = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(BUCKETS))
-    return (df.crossJoin(F.broadcast(ends))  # one row
-            .withColumn(out, F.floor((v - F.col("_lo")) / width).cast("long")).drop("_lo", "_hi"))
+        return df.withColumn(out, F.coalesce(F.floor(F.col(order_col) / F.lit(width)).cast("long"), F.lit(NULL_BUCKET)))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BOUNDS // STRIDE - 1)), lambda i: F.slice("_bounds", i * STRIDE + 1, STRIDE))
+    ladder = quantiles(df, order_col).select(parts.alias("_parts")).select(
+        "_parts", F.filter(F.transform("_parts", lambda p: F.get(p, F.lit(0))), lambda x: x.isNotNull()).alias("_firsts"))
+    v = F.col(order_col)
+    rung = F.greatest(F.size(F.filter("_firsts", lambda x: x <= v)) - 1, F.lit(0))
+    inside = F.size(F.filter(F.get("_parts", F.col("_rung")), lambda x: x <= v))
+    bucket = F.when(v.isNull(), F.lit(NULL_BUCKET)).otherwise((F.col("_rung") * STRIDE + inside).cast("long"))
+    return (df.crossJoin(F.broadcast(ladder))  # one row of at most BOUNDS ids
+            .withColumn("_rung", rung).withColumn(out, bucket).drop("_parts", "_firsts", "_rung"))
 
 
 def exclusive_prefix_sum(df: DataFrame, order_cols: list[str], bucket, weight=None,
@@ -47,20 +62,25 @@ def exclusive_prefix_sum(df: DataFrame, order_cols: list[str], bucket, weight=No
 
     Order is (``partition_cols``) then ``bucket`` then ``order_cols``; ``bucket``
     (a column, or the name of one, dropped) must follow ``order_cols``.
-    ``weight`` defaults to 1, which yields a 0-based row index.
+    ``weight`` defaults to 1, which yields a 0-based row index. Rows are dealt
+    once, by partition and bucket.
     """
     parts = list(partition_cols or [])
     w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("long")
-    tagged = df.withColumn("_bucket", F.col(bucket) if isinstance(bucket, str) else bucket).withColumn("_w", w)
-    totals = tagged.groupBy(*parts, "_bucket").agg(F.sum("_w").alias("_bt"))
-    before = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
-    inside = (Window.partitionBy(*parts, "_bucket").orderBy(*order_cols)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    b = F.coalesce(F.col(bucket) if isinstance(bucket, str) else bucket, F.lit(NULL_BUCKET))
+    tagged = keyed(df.withColumn("_bucket", b).withColumn("_w", w), [*parts, "_bucket"])
+    totals = tagged.groupBy("_key_").agg(F.sum("_w").alias("_bt"))
+    before = _by_bucket(len(parts)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_key_", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_boff"))
+    inside = Window.partitionBy("_key_").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     tagged = tagged.withColumn("_win", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return (null_safe(tagged, totals.drop("_bt"), parts + ["_bucket"])
-            .withColumn(out, (F.col("_boff") + F.col("_win")).cast("long"))
-            .drop("_bucket", "_w", "_boff", "_win"))
+    return (tagged.join(totals, "_key_").withColumn(out, (F.col("_boff") + F.col("_win")).cast("long"))
+            .drop("_key_", "_bucket", "_w", "_boff", "_win"))
+
+
+def _by_bucket(n_parts: int):
+    """The totals of a partition in the order of their buckets, the last field of their key."""
+    return Window.partitionBy(*[f"_key_.k{i}" for i in range(n_parts)]).orderBy(f"_key_.k{n_parts}")
 
 
 def index_by_int(df: DataFrame, order_col: str, out: str = "idx", width: int | None = None,
@@ -79,8 +99,9 @@ def cut_by_position(df: DataFrame, cuts: list[Column], order_cols: list[Column],
     rank their rows. ``cuts`` may read the columns of the one-row ``sizes``.
     """
     parts = list(partition_cols or [])
-    totals = df.groupBy(*parts, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    df = keyed(df.withColumn(bucket, F.coalesce(F.col(bucket), F.lit(NULL_BUCKET))), [*parts, bucket])
+    totals = df.groupBy("_key_").agg(F.count(F.lit(1)).alias("_n"))
+    before = _by_bucket(len(parts)).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if sizes is not None:
         totals = totals.crossJoin(F.broadcast(sizes))  # one row
@@ -88,14 +109,14 @@ def cut_by_position(df: DataFrame, cuts: list[Column], order_cols: list[Column],
     def passed(pos: Column) -> Column:
         return reduce(lambda a, b: a + b, [(pos >= c).cast("int") for c in cuts])
 
-    totals = totals.select(*parts, bucket, "_start", passed(F.col("_start")).alias("_first"),
+    totals = totals.select("_key_", "_start", passed(F.col("_start")).alias("_first"),
                            passed(F.col("_start") + F.col("_n") - 1).alias("_last"),
                            *([] if sizes is None else sizes.columns))
     # without partition keys at most BUCKETS + 1 rows
-    placed = null_safe(df, totals if parts else F.broadcast(totals), parts + [bucket])
-    extra = ["_start", "_first", "_last", *([] if sizes is None else sizes.columns)]
+    placed = df.join(totals if parts else F.broadcast(totals), "_key_")
+    extra = ["_key_", "_start", "_first", "_last", *([] if sizes is None else sizes.columns)]
     whole = placed.where("_first = _last").withColumn(out, F.col("_first"))
-    inside = Window.partitionBy(*parts, bucket).orderBy(*order_cols)
+    inside = Window.partitionBy("_key_").orderBy(*order_cols)
     edge = (placed.where("_first <> _last").withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
             .withColumn(out, passed(F.col("_pos"))).drop("_pos"))
     return whole.drop(*extra).unionByName(edge.drop(*extra))
@@ -113,17 +134,17 @@ def prefix_agg(df: DataFrame, order_col: str, value_col: str, how: str, out: str
     """
     parts = list(partition_cols or [])
     v = F.col(value_col)
-    tagged = with_range_bucket(df, order_col, "_bk", width)
+    tagged = keyed(with_range_bucket(df, order_col, "_bk", width), [*parts, "_bk"])
     end = 0 if inclusive else -1
-    inside = Window.partitionBy(*parts, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    before = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key_").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    before = _by_bucket(len(parts)).rowsBetween(Window.unboundedPreceding, -1)
     if how == "max":
-        summary = tagged.groupBy(*parts, "_bk").agg(F.max(v).alias("_bv"))
+        summary = tagged.groupBy("_key_").agg(F.max(v).alias("_bv"))
         summary = summary.withColumn("_carry", F.max("_bv").over(before))
         local = F.max(v).over(inside)
         combine = F.greatest(F.col("_local"), F.col("_carry"))
     elif how == "last":
-        summary = tagged.groupBy(*parts, "_bk").agg(
+        summary = tagged.groupBy("_key_").agg(
             F.max_by(v, F.when(v.isNotNull(), F.col(order_col))).alias("_bv"))
         summary = summary.withColumn("_carry", F.last("_bv", ignorenulls=True).over(before))
         local = F.last(v, ignorenulls=True).over(inside)
@@ -131,5 +152,5 @@ def prefix_agg(df: DataFrame, order_col: str, value_col: str, how: str, out: str
     else:
         raise ValueError(how)
     tagged = tagged.withColumn("_local", local)
-    return (null_safe(tagged, summary.select(*parts, "_bk", "_carry"), parts + ["_bk"], "left")
-            .withColumn(out, combine).drop("_bk", "_local", "_carry"))
+    return (tagged.join(summary.select("_key_", "_carry"), "_key_", "left")
+            .withColumn(out, combine).drop("_key_", "_bk", "_local", "_carry"))

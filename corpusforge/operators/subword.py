@@ -1,25 +1,22 @@
-"""Subword vocabularies: character vocabularies, BPE learning on the word
-table, encoding and numericalising.
+"""Subword vocabularies: word tables, character vocabularies, weighted pair
+counts and numericalising (BPE itself is in ``bpe``).
 
 BPE works on *types*: the word-frequency table (one row per distinct word,
-with its current symbols), never on the token stream. One round counts
-weighted adjacent pairs (a hash aggregate with map-side combine), brings the
-best ``k`` pairs with pairwise-disjoint symbols to the driver (``k`` rows),
-and rewrites the symbol strings natively. Lineage is cut with reliable
-checkpoints in the session's checkpoint folder.
+with its symbols), never on the token stream.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import PIECE_SPACE, chars, col_of, space_tokens, tokens
-from ..session import checkpoint_dir
+from ..functions.text import PIECE_SPACE, chars, tokens
+from .bpe import SPECIALS
+from .rows import map_values
 
-SPECIALS = ["<unk>", "<s>", "</s>"]
+#: Rows that a vocabulary sent to every task may have.
+VOCAB_LIMIT = 1 << 21
 # ids of the exported JSON vocabulary: end of sentence and unknown come first
 EOS_ID, UNK_ID = 0, 1
 
@@ -69,145 +66,25 @@ def pair_counts(words: DataFrame, group_cols: list[str] | None = None) -> DataFr
             .agg(F.sum("freq").cast("long").alias("n")))
 
 
-def _merge_expr(syms, left: str, right: str):
-    """Apply one merge left to right, non-overlapping, on a space-separated
-    symbol string (padded so every symbol has a space on both sides)."""
-    pat = " " + re.escape(left) + " " + re.escape(right) + "(?= )"
-    rep = (" " + left + right).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(syms, pat, rep)
-
-
-def _disjoint_top(cands: list, k: int) -> list:
-    chosen, used = [], set()
-    for row in cands:
-        if row["left"] in used or row["right"] in used:
-            continue
-        chosen.append((row["left"], row["right"], int(row["n"])))
-        used.update((row["left"], row["right"]))
-        if len(chosen) == k:
-            break
-    return chosen
-
-
-def bpe_learn(words: DataFrame, vocab_size: int, merges_per_round: int = 64, min_count: int = 2,
-              checkpoint_every: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Learn merges until the vocabulary (specials + characters + merges)
-    reaches ``vocab_size``.
-
-    Returns ``(vocab, words)``: vocab ``(id, piece, kind, rank, n)`` and the
-    word table with final symbols. The word table is checkpointed every
-    ``checkpoint_every`` rounds: the optimizer inlines the merge chain into
-    every use of the symbol column, so an unmaterialised chain would be
-    evaluated several times per row. ``merges_per_round=1`` is exact greedy BPE
-    (ties: smallest pair); larger values take the top pairs with disjoint
-    symbols per round, which can differ from the sequential order when a merge
-    creates a pair that would have outranked later ones.
-    """
-    spark = words.sparkSession
-    checkpoint_dir(spark)
-    chars = (words.select(F.explode(F.split("syms", " ", -1)).alias("piece"), "freq")
-             .groupBy("piece").agg(F.sum("freq").cast("long").alias("n")))
-    char_rows = chars.orderBy(F.col("n").desc(), "piece").collect()  # character inventory: bounded
-    budget = vocab_size - len(SPECIALS) - len(char_rows)
-    merges: list[tuple[str, str, int]] = []
-    cur = words.select("word", "freq", F.concat(F.lit(" "), F.col("syms"), F.lit(" ")).alias("padded"))
-    cur = cur.checkpoint()
-    rounds = 0
-    while len(merges) < budget:
-        want = min(merges_per_round, budget - len(merges))
-        pc = pair_counts(cur.select("freq", F.trim("padded").alias("syms")))
-        # a candidate pool to find `want` disjoint pairs in; bounded by the round size
-        cands = (pc.where(F.col("n") >= min_count)
-                 .orderBy(F.col("n").desc(), "left", "right").limit(max(16 * want, 64)).collect())
-        chosen = _disjoint_top(cands, want)
-        if not chosen:
-            break
-        padded = F.col("padded")
-        for left, right, _ in chosen:
-            padded = _merge_expr(padded, left, right)
-        cur = cur.select("word", "freq", padded.alias("padded"))
-        merges.extend(chosen)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            cur = cur.checkpoint()
-    vocab_rows = [(i, p, "special", None, None, None, None) for i, p in enumerate(SPECIALS)]
-    for r in char_rows:
-        vocab_rows.append((len(vocab_rows), r["piece"], "char", None, int(r["n"]), None, None))
-    for rank, (left, right, n) in enumerate(merges):
-        vocab_rows.append((len(vocab_rows), left + right, "merge", rank, n, left, right))
-    # the vocabulary is bounded by vocab_size rows
-    vocab = spark.createDataFrame(
-        vocab_rows, "id int, piece string, kind string, rank int, n long, left string, right string")
-    final = cur.select("word", "freq", F.trim("padded").alias("syms"))
-    return vocab, final
-
-
-def _bpe_encode_words(merges: list[tuple[str, str]]):
-    ranks = {pair: i for i, pair in enumerate(merges)}
-
-    def encode(word: str) -> str:
-        syms = list(PIECE_SPACE + word)
-        while len(syms) > 1:
-            best, at = None, -1
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            pair = (syms[at], syms[at + 1])
-            out, i = [], 0
-            while i < len(syms):
-                if i < len(syms) - 1 and (syms[i], syms[i + 1]) == pair:
-                    out.append(syms[i] + syms[i + 1])
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            syms = out
-        return " ".join(syms)
-
-    return encode
-
-
-def bpe_encode_words(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
-    """``(word, pieces)`` for distinct words: merges replayed in rank order by
-    an Arrow-batched Python helper. The merge list is bounded by the
-    vocabulary size and shipped once per task."""
-    rows = vocab.where(F.col("kind") == "merge").orderBy("rank").select("left", "right").collect()
-    encode = _bpe_encode_words([(r["left"], r["right"]) for r in rows])
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(pieces=[encode(w) for w in pdf[word_col]])[[word_col, "pieces"]]
-
-    return words.select(word_col).distinct().mapInPandas(run, f"{word_col} string, pieces string")
-
-
-def encode_lines(lines: DataFrame, word_pieces: DataFrame, id_cols: list[str], text_col: str = "line",
-                 out_col: str = "pieces") -> DataFrame:
-    """Re-assemble lines from encoded words: posexplode → join on the word
-    (AQE broadcasts the word table when it is small, otherwise splits skewed
-    words) → ordered concatenation per line (group = one line)."""
-    toks = lines.select(*id_cols, F.posexplode_outer(tokens(text_col)).alias("pos", "word"))
-    j = toks.join(word_pieces, "word", "left")
-    parts = F.struct(F.col("pos"), F.col("pieces"))
-    out = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(parts)).alias("_ps"))
-    return out.select(*id_cols, F.array_join(F.transform("_ps", lambda p: p["pieces"]), " ").alias(out_col))
-
-
 def numericalise(lines: DataFrame, vocab: DataFrame, id_cols: list[str], pieces_col: str = "pieces",
                  piece_col: str = "piece", id_col: str = "id", out_col: str = "ids") -> DataFrame:
-    """Pieces → vocabulary ids (unknown → ``UNK_ID``), end-of-sentence id
-    appended, as an ordered id array per line."""
-    toks = lines.select(*id_cols, F.posexplode_outer(space_tokens(pieces_col)).alias("pos", "piece"))
+    """Pieces → vocabulary ids (unknown → ``UNK_ID``), end-of-sentence id appended, as an id array per line.
+
+    The vocabulary goes to every task as one map and is looked up inside the line: no piece is shuffled. It is bounded
+    by its making (characters, or a vocabulary size); one of more than ``VOCAB_LIMIT`` rows raises ValueError.
+    """
     # one id per piece: a later duplicate wins, as in ``vocab_to_json``
-    v = vocab.groupBy(F.col(piece_col).alias("piece")).agg(F.max(id_col).alias("_id"))
-    j = toks.join(v, "piece", "left")
-    tid = F.when(F.col("piece").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID)))
-    out = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), tid.alias("i")))).alias("_ps"))
-    ids = F.filter(F.transform("_ps", lambda p: p["i"]), lambda x: x.isNotNull())
-    return out.select(*id_cols, F.concat(ids, F.array(F.lit(EOS_ID))).alias(out_col))
+    found = vocab.groupBy(F.col(piece_col).alias("piece")).agg(F.max(id_col).cast("int").alias("id")).limit(VOCAB_LIMIT + 1).collect()
+    if len(found) > VOCAB_LIMIT:
+        raise ValueError(f"a vocabulary of more than {VOCAB_LIMIT} pieces")
+    shared = lines.sparkSession.sparkContext.broadcast({r["piece"]: r["id"] for r in found})
+
+    def make():
+        ids = shared.value
+        return lambda pieces: [*(ids.get(p, UNK_ID) for p in (pieces or "").split(" ") if p), EOS_ID]
+
+    slim = lines.select(*dict.fromkeys([*id_cols, pieces_col]))
+    return map_values(slim, F.col(pieces_col).cast("string"), out_col, T.ArrayType(T.IntegerType()), make).select(*id_cols, out_col)
 
 
 def json_vocab_ids(vocab: DataFrame, piece_col: str = "piece") -> DataFrame:

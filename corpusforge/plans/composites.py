@@ -54,7 +54,7 @@ def score_dev(decoder_log: DataFrame, refs: DataFrame, lang: str, line_col: str
 
 
 def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_size: int,
-                   merges_per_round: int = 64, split_col: str = "split",
+                   split_col: str = "split",
                    learn_splits: tuple[str, ...] = ("train",), max_sentences: int | None = None,
                    seed: int = 42, id_col: str | None = None, kind: str = "bpe") -> DataFrame:
     """Learn a vocabulary of characters or BPE pieces (``kind``) on the training
@@ -63,8 +63,8 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
     A character vocabulary holds every character; ``vocab_size`` is for BPE."""
     from ..functions.text import char_pieces
     from ..operators.sampling import head
-    from ..operators.subword import (bpe_encode_words, bpe_learn, char_vocab, encode_lines, json_vocab_ids,
-                                     numericalise, word_table)
+    from ..operators.bpe import bpe_encode, bpe_learn
+    from ..operators.subword import char_vocab, json_vocab_ids, numericalise, word_table
     train = lines.where(F.col(split_col).isin(list(learn_splits)))
     if max_sentences is not None:
         key = id_col or "_sid"
@@ -73,15 +73,13 @@ def segment_corpus(lines: DataFrame, id_cols: list[str], text_col: str, vocab_si
         train = head(keyed, max_sentences, key, seed)
     if kind == "char":
         vocab = char_vocab(train, text_col, 1.0)
-        enc = lines.select(*id_cols, char_pieces(text_col).alias("pieces"))
+        enc = lines.select(*id_cols, split_col, char_pieces(text_col).alias("pieces"))
     elif kind == "bpe":
-        vocab, _ = bpe_learn(word_table(train, text_col), vocab_size, merges_per_round)
-        wp = bpe_encode_words(word_table(lines, text_col), vocab)
-        enc = encode_lines(lines, wp, id_cols, text_col, "pieces")
+        vocab, _ = bpe_learn(word_table(train, text_col), vocab_size)
+        enc = bpe_encode(lines.select(*id_cols, split_col, text_col), vocab, text_col, "pieces").drop(text_col)
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    ids = numericalise(enc, json_vocab_ids(vocab), id_cols, "pieces")
-    return (lines.select(*id_cols, split_col).join(enc, id_cols).join(ids, id_cols))
+    return numericalise(enc, json_vocab_ids(vocab), [*id_cols, split_col, "pieces"], "pieces")
 
 
 def segment_parallel(pairs: DataFrame, id_cols: list[str], src_kind: str, tgt_kind: str,

@@ -25,22 +25,19 @@ TRAIN_KEYS = [f"train:{lang}" for lang in LANGS]
 DEV_KEYS = [f"dev:{lang}" for lang in LANGS]
 
 
-PARTITIONS_PER_CORE = 4
-
-# key used to spread a table whose scan yields too few partitions
+#: Setting of a session: into how many parts each table is dealt by its key after reading. Local sessions set it, since
+#: a test table is one row group and would be worked on by one task; on a cluster it stays unset, and tables are read as
+#: their files are split.
+SCAN_PARTS = "spark.corpusforge.scanParts"
 TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id", "labels": "doc_id",
               "pages": "page_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a shared table. A table of a single split (one small file, one row
-    group) is hash-partitioned on its key, so that CPU-heavy text work is not
-    serialised in one task; any larger table is read as its splits are."""
+    """Read a shared table, dealt into the parts that the session asks for."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TABLE_KEYS.get(name)
-    if key and df.rdd.getNumPartitions() == 1:
-        df = df.repartition(PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism, key)
-    return df
+    parts = spark.conf.get(SCAN_PARTS, None)
+    return df.repartition(int(parts), TABLE_KEYS[name]) if parts and name in TABLE_KEYS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

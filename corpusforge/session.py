@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
+    n = os.cpu_count() or 1 if cores == "*" else int(cores)
+    builder = builder.config("spark.corpusforge.scanParts", str(2 * n))
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -2,7 +2,7 @@
 
 A line corpus is ``(…keys, line_no, line)``. Text stored in a table is cut
 into lines with ``posexplode(split(text, '\\n'))``; a line file is read with
-``spark.read.text`` and numbered by per-partition offsets.
+``spark.read.text`` and numbered by offsets of its blocks.
 """
 
 from __future__ import annotations
@@ -44,21 +44,20 @@ def number_lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
 
 
 def read_lines(spark: SparkSession, path: str, line_col: str = "line") -> DataFrame:
-    """Read a UTF-8 line file as ``(line_no, line)``.
+    """Read UTF-8 line files as ``(line_no, line)``, several files one after the other in the order of their paths.
 
-    Numbers follow file order: each scan partition (a byte range of the file,
-    the same on every run) counts its rows, partition offsets are summed over
-    that tiny table, and every row adds its index inside its partition. LF,
-    CR-LF and CR end a line and one final newline opens no empty line, as in
-    Python's text mode.
+    The scan says of every row which file and which block of it (a byte range) it comes from; blocks count their rows,
+    block offsets are summed in the order of path and block start over that small table, and a row adds its index inside
+    its block. So neither the sizes of the files nor how blocks are dealt to tasks matters. LF, CR-LF and CR end a line
+    and one final newline opens no empty line, as in Python's text mode.
     """
     raw = spark.read.text(path)
-    tagged = raw.select(F.spark_partition_id().alias("_pid"),
+    tagged = raw.select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_mid"),
                         F.col("value").alias(line_col))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per scan partition: bounded by the number of file splits
-    return (tagged.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
+    # one row per block: bounded by the number of file splits
+    return (tagged.join(F.broadcast(offsets.select("_block", "_off", "_first")), "_block")
             .select((F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), line_col))

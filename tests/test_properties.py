@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from corpusforge.operators import sampling, stats, subword
+from corpusforge.operators import bpe, sampling, stats, subword
 from corpusforge.plans import inputs as I
 
 
@@ -84,27 +86,54 @@ def _sequential_bpe(freqs: dict, n_merges: int):
     return merges, {w: " ".join(s) for w, s in words.items()}
 
 
-def test_bpe_one_merge_per_round_is_exact(spark):
+def _small_words(spark):
     rnd = random.Random(7)
     alphabet = "abcde"
     text = [" ".join("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 6))) for _ in range(8))
             for _ in range(60)]
-    lines = spark.createDataFrame([(t,) for t in text], "line string")
-    words = subword.word_table(lines, "line")
+    return subword.word_table(spark.createDataFrame([(t,) for t in text], "line string"), "line")
+
+
+@pytest.mark.parametrize("proposal_words", [1, 5, 1000])
+def test_bpe_is_the_sequential_one(spark, monkeypatch, proposal_words):
+    """Whatever the proposer sees, the merges are those of counting anew after every merge."""
+    monkeypatch.setattr(bpe, "PROPOSAL_WORDS", proposal_words)
+    monkeypatch.setattr(bpe, "STANDINGS", 20)
+    words = _small_words(spark)
     freqs = {r.word: r.freq for r in words.collect()}
     n_chars = len({c for w in freqs for c in "▁" + w})
-    vocab, final = subword.bpe_learn(words, 3 + n_chars + 25, merges_per_round=1)
+    vocab, final = bpe.bpe_learn(words, 3 + n_chars + 25)
     got = [(r.left, r.right) for r in vocab.where("kind = 'merge'").orderBy("rank").collect()]
     want, want_words = _sequential_bpe(freqs, 25)
     assert got == want
     assert {r.word: r.syms for r in final.collect()} == want_words
-    enc = {r.word: r.pieces for r in subword.bpe_encode_words(words, vocab).collect()}
-    assert enc == want_words
-
-
-def test_bpe_batched_rounds_reach_vocab_size(spark):
-    lines = I.doc_lines(spark, SF001).where(F.col("lang") == "en")
-    words = subword.word_table(lines, "line")
-    vocab, _ = subword.bpe_learn(words, 150, merges_per_round=16)
-    assert vocab.count() <= 150
-    assert vocab.select("piece").distinct().count() == vocab.count()
+    enc = bpe.bpe_encode(words.select("word"), vocab, "word")
+    assert {r.word: r.pieces for r in enc.collect()} == want_words
+
+
+def test_bpe_of_16000_merges(spark, monkeypatch):
+    """All documents of the small table: merges proposed from 2,000 words and proved on all are those that one greedy run
+    over all words picks; the first 120 are those of recounting everything."""
+    words = subword.word_table(I.doc_lines(spark, SF001), "line").checkpoint()
+    rows = [(r.syms.split(" "), r.freq) for r in words.collect()]
+    want = bpe.Proposer(list(rows), {}).propose(16_000, 2)
+    assert want[:120] == _sequential_bpe({"".join(s)[1:]: f for s, f in rows}, 120)[0]
+    monkeypatch.setattr(bpe, "PROPOSAL_WORDS", 2_000)
+    got = bpe.merges_of(words, 16_000)
+    assert [p for p, _ in got] == want
+    counts = [n for _, n in got]
+    assert counts[-1] >= 2 and len(counts) > 5_000
+
+
+def test_bpe_refuses_a_vocabulary_without_merges(spark):
+    with pytest.raises(ValueError):
+        bpe.bpe_learn(_small_words(spark), 9)
+    assert bpe.bpe_learn(_small_words(spark).where("false"), 9)[0].count() == 3
+
+
+def test_bpe_pair_merged_twice():
+    """A symbol that is spelled in two ways: the later merge brings an earlier pair back, which only a new step merges."""
+    steps = bpe.steps_of([("b", "c"), ("a", "bc"), ("abc", "d"), ("a", "b"), ("ab", "c"), ("abc", "d")])
+    assert bpe.segmented(list("abcd"), steps) == ["abcd"]
+    assert bpe.segmented(["ab", "c", "d"], steps) == ["abcd"]
+    assert bpe.segmented(["ab", "c", "d"], bpe.steps_of([("abc", "d"), ("ab", "c")])) == ["abc", "d"]
