@@ -43,14 +43,21 @@ TOKENISE: list[Rule] = [
     (",$", " ,", None),
     ("([\\p{L}])'([\\p{L}])", "$1 '$2", ("en",)),
     ("([\\p{L}])'([\\p{L}])", "$1' $2", ("fr",)),
-    ("([^. ])\\.( *)$", "$1 .$2", None),
-    ("([\\p{L}\\p{N}]{3})\\. (\\p{Lu})", "$1 . $2", None),
-    ("([\\p{L}\\p{N}]{3})\\. (\\p{Lu})", "$1 . $2", None),
     ("[ \\t]+", " ", None),
     ("^ ", "", None),
     (" $", "", None),
 ]
 
+# ---- fixed values: words that keep their full stop, by language ---------------
+PREFIXES = {
+    "en": "Mr Mrs Ms Dr Prof Rev Gen Col Capt Lt Sgt Maj Gov Sen Rep Pres St Jr Sr Mt Inc Ltd Co Corp vs cf etc approx Jan Feb Aug Sept Oct Nov Dec".split(),
+    "de": "Hr Fr Frl Dr Prof Dipl Ing Abb bzw ca evtl ggf inkl max min Mio Mrd Nr sog Str u usw vgl z zzgl d h B i a s o Bd Jh Chr".split(),
+    "fr": "M MM Mme Mlle Me Mgr Dr Pr St Ste av boul chap env ex fig p pp vol art".split(),
+    "es": "Sr Sra Srta Sres Dr Dra Prof D Ud Uds Excmo Lic Ing Av Avda C pág págs cap ej etc".split(),
+}
+# words that keep it before a number only
+NUMBER_PREFIXES = {"en": "No Nos Art pp p Fig Vol".split(), "de": "Nr Art Abs S Kap Bd".split(), "fr": "n nos no art".split(), "es": "núm núms n art".split()}
+
 # ---- fixed values: detokenisation ------------------------------------------
 DETOKENISE: list[Rule] = [
     (" @-@ ", "-", None),
@@ -127,8 +134,34 @@ def normalise(c, lang_col: str | None = None) -> Column:
     return apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE, lang_col)
 
 
+def _listed(word: Column, lists: dict[str, list[str]], lang_col: str | None) -> Column:
+    """Is the word in its language's list (in none without a language)?"""
+    out = F.lit(False)
+    for lang, words in lists.items() if lang_col else ():
+        out = out | ((F.col(lang_col) == lang) & word.isin(words))
+    return F.coalesce(out, F.lit(False))
+
+
+def split_stops(tokens: Column, lang_col: str | None = None) -> Column:
+    """Tokens in which a word's full stop is a token of its own, unless it belongs to the word.
+
+    It does within a line if the word has an inner stop and a letter, is in its language's ``PREFIXES``, comes before a
+    lower-case word, or is in ``NUMBER_PREFIXES`` and comes before a digit. The last word of a line always loses it, an
+    ellipsis is left alone."""
+    def of(all_: Column) -> Column:
+        def one(token: Column, i: Column) -> Column:
+            after, word = F.get(all_, i + 1), F.regexp_replace(token, r"\.$", "")
+            kept = after.isNotNull() & (
+                (word.contains(".") & word.rlike(r"\p{L}")) | _listed(word, PREFIXES, lang_col) | after.rlike(r"^\p{Ll}")
+                | (_listed(word, NUMBER_PREFIXES, lang_col) & after.rlike("^[0-9]")))
+            return F.when(token.rlike(r"[^.]\.$") & ~F.coalesce(kept, F.lit(False)), F.concat(word, F.lit(" ."))).otherwise(token)
+        return F.array_join(F.transform(all_, one), " ")
+    return F.get(F.transform(F.array(tokens), of), F.lit(0))  # the array is bound once, not worked out for every element
+
+
 def normalise_tokenise(c, lang_col: str | None = None) -> Column:
-    return apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE + TOKENISE, lang_col)
+    text = apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE + TOKENISE, lang_col)
+    return split_stops(F.split(text, " ", -1), lang_col)
 
 
 def detokenise(c, lang_col: str | None = None) -> Column:
@@ -184,4 +217,14 @@ def translate_sql(expr: str) -> str:
 
 
 def normalise_tokenise_sql(expr: str, lang_expr: str | None = None) -> str:
-    return rules_sql(translate_sql(expr), NORMALISE + TOKENISE, lang_expr)
+    """The rule chain from the same tables; the full stops by SQL of their own."""
+    def listed(lists: dict[str, list[str]]) -> str:
+        if not lang_expr:
+            return "false"
+        return f"list_contains(CASE {lang_expr} " + " ".join(
+            f"WHEN '{lang}' THEN [{', '.join(map(_sql_literal, words))}]" for lang, words in lists.items()) + " ELSE [] END, x[1:-2])"
+
+    kept = (f"(contains(x[1:-2], '.') AND regexp_matches(x, '\\p{{L}}')) OR {listed(PREFIXES)} OR regexp_matches(t[i + 1], '^\\p{{Ll}}') "
+            f"OR ({listed(NUMBER_PREFIXES)} AND regexp_matches(t[i + 1], '^[0-9]'))")
+    return (f"list_transform([string_split({rules_sql(translate_sql(expr), NORMALISE + TOKENISE, lang_expr)}, ' ')], lambda t: array_to_string("
+            f"list_transform(t, lambda x, i: CASE WHEN regexp_matches(x, '[^.]\\.$') AND NOT (i < len(t) AND ({kept})) THEN x[1:-2] || ' .' ELSE x END), ' '))[1]")

@@ -10,6 +10,7 @@ newline). Only grams seen with L need a row in the model, because
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,13 +72,15 @@ def gram_rows(grams: DataFrame, inventory: Inventory) -> DataFrame:
     return pairs.select("gram", F.col("p.i").alias("at"), F.col("p.ln_c1").alias("ln_c1"))
 
 
-def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols: list[str], line_col: str, n: int) -> DataFrame:
-    """``(id…, ng, sums)``: the number of n-grams of each line and, for each language, Σ ln(c+1) over them.
+def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols: list[str], line_col: str, n: int,
+              carry: Sequence[str] = ()) -> DataFrame:
+    """``(id…, carry…, ng, sums)``: the number of n-grams of each line and, for each language, Σ ln(c+1) over them.
 
     Grams are looked up and summed inside the line; with a model of more than ``lookup.BROADCAST_ROWS`` grams, those that
     are not heavy leave it, meet the model by a join, and their sums come back by line."""
     model = gram_rows(grams, inventory)
-    line = lines.select(*id_cols, F.col(line_col).cast("string").alias("_line"))
+    kept = [*id_cols, *carry]
+    line = lines.select(*kept, F.col(line_col).cast("string").alias("_line"))
     split = split_model(model, "gram", F.struct("at", "ln_c1"), lambda: line.select(F.explode(char_windows("_line", n)).alias("gram")))
     width, shared = len(inventory.names), lines.sparkSession.sparkContext.broadcast(split)
 
@@ -99,7 +102,7 @@ def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols:
 
     kind = T.StructType([T.StructField("ng", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())),
                          T.StructField("rest", T.ArrayType(T.StringType()))])
-    done = map_values(line.where("_line IS NOT NULL"), F.col("_line"), "_done", kind, make).select(*id_cols, "_done.*")
+    done = map_values(line.where("_line IS NOT NULL"), F.col("_line"), "_done", kind, make).select(*kept, "_done.*")
     if split.whole:
         return done.drop("rest")
     done = keyed(done, id_cols)
@@ -109,7 +112,7 @@ def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols:
              .groupBy("_key_").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_more")))
     sums = F.transform("sums", lambda s, i: s + F.coalesce(F.try_element_at("_more", i), F.lit(0.0)))
     return (done.join(found, "_key_", "left").withColumn("sums", F.when(F.col("_more").isNull(), F.col("sums")).otherwise(sums))
-            .select(*id_cols, "ng", "sums"))
+            .select(*kept, "ng", "sums"))
 
 
 def _scores(sums: DataFrame, inventory: Inventory, id_cols: list[str]) -> DataFrame:
@@ -128,11 +131,13 @@ def lid_scores(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: li
 
 
 def lid_predict(lines: DataFrame, model: tuple[DataFrame, DataFrame], id_cols: list[str],
-                line_col: str = "line", n: int = 3, out: str = "pred") -> DataFrame:
+                line_col: str = "line", n: int = 3, out: str = "pred", carry: Sequence[str] = ()) -> DataFrame:
     """Most likely language per line (score rounded to 6 decimals; ties → the larger language code), chosen in the row.
-    A NULL line has no row; with no language at all every prediction is NULL."""
+    Ids are unique; the columns of ``carry`` come along. A NULL line has no row; with no language at all every
+    prediction is NULL."""
     inventory = _languages(model[1])
-    sums = line_sums(lines, model[0], inventory, id_cols, line_col, n)
+    sums = line_sums(lines, model[0], inventory, id_cols, line_col, n, carry)
+    id_cols = [*id_cols, *carry]
     if not inventory.names:
         return sums.select(*id_cols, F.lit(None).cast("string").alias(out), F.lit(None).cast("double").alias(f"{out}_score"))
     best = F.array_max(F.transform("scores", lambda x: F.struct(F.round(x["s"], ROUND).alias("s"), x["l"].alias("l"))))

@@ -1,16 +1,20 @@
 """Corpus comparison: lexicons, character n-gram profiles, OOV and KL grids,
 size statistics.
 
-Grid plans are single-pass: one shuffle keyed on the token (or gram) builds a
-wide row of per-corpus counts with map-side partial aggregation, then one
-global aggregate computes every (train, dev) cell at once. No per-pair
-re-scan, no collect of a lexicon, and a hot token costs one partial-aggregate
-row per map task.
+Grid plans are single-pass: counts per token (or gram) and corpus with map-side
+partial aggregation, totals per corpus, and for the pairs only the items that two
+corpora share. No per-pair re-scan, no collect of a lexicon, and a hot token
+costs one partial-aggregate row per map task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_key
@@ -34,24 +38,60 @@ def char_ngrams(lines: DataFrame, line_col: str = "line", n: int = 3,
             .groupBy(*g, "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _wide_counts(items: DataFrame, item_col: str, key_col: str, keys: list[str],
-                 weight: str | None) -> DataFrame:
-    """One row per item with one count column per corpus key (0 if absent)."""
+def _shared(counts: DataFrame, train: list[str], dev: list[str], smoothing: int) -> DataFrame:
+    """``(train, dev, shared, shared_n, shared_log)`` from item counts ``(_item, _corpus, _n)``: for each pair the items
+    that both have, their dev count, and Σ dev count · ln(train count + smoothing).
+
+    An item brings the list of the corpora that have it (at most one entry a corpus); a batch of such lists is two
+    matrices, items by train and by dev corpora, and their products are the sums of all pairs."""
+    place = {k: i for i, k in enumerate(dict.fromkeys([*train, *dev]))}
+    at = F.create_map(*[x for k, i in place.items() for x in (F.lit(k), F.lit(i))])[F.col("_corpus")]
+    lists = counts.groupBy("_item").agg(F.collect_list(F.struct(at.alias("i"), F.col("_n").cast("double").alias("n"))).alias("c"))
+    lists = lists.where(F.size("c") > 1 if not set(train) & set(dev) else F.lit(True)).select("c.i", "c.n")
+    t_at, d_at = [place[k] for k in train], [place[k] for k in dev]
+
+    def run(batches):
+        both = np.zeros((3, len(d_at), len(t_at)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):  # bounds the dense matrices
+                some = batch.slice(start, 2048)
+                rows = np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column(0)).to_numpy())
+                table = np.zeros((some.num_rows, len(place)))
+                table[rows, some.column(0).flatten().to_numpy()] = some.column(1).flatten().to_numpy()
+                t, d = table[:, t_at], table[:, d_at]
+                has = (t > 0).astype(float)
+                both += (d > 0).astype(float).T @ has, d.T @ has, d.T @ np.where(t > 0, np.log(t + smoothing), 0.0)
+        j, i = (x.ravel() for x in np.indices(both.shape[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(b.ravel()) for b in both)], ["t", "d", "a", "b", "c"])
+
+    parts = lists.mapInArrow(run, "t int, d int, a double, b double, c double")
+    names = [F.array(*map(F.lit, x)) for x in (train, dev)]
+    return parts.groupBy("t", "d").agg(*[F.sum(c).alias(c) for c in "abc"]).select(
+        F.get(names[0], F.col("t")).alias("train"), F.get(names[1], F.col("d")).alias("dev"),
+        F.col("a").cast("long").alias("shared"), F.col("b").cast("long").alias("shared_n"), F.col("c").alias("shared_log"))
+
+
+def _grid(stream: DataFrame, item_col: str, key_col: str, weight: str | None, train: list[str], dev: list[str], smoothing: int = 1) -> DataFrame:
+    """One row a pair of names: the totals of both corpora (``t_`` and ``d_``: distinct items, their number, and sums of
+    logarithms) and what they share. The plan is of one size, whatever the number of corpora."""
+    keys = list(dict.fromkeys([*train, *dev]))
+    spark = stream.sparkSession
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    aggs = [F.coalesce(F.sum(F.when(F.col(key_col) == F.lit(k), w)), F.lit(0)).alias(f"c{i}")
-            for i, k in enumerate(keys)]
-    return items.where(F.col(key_col).isin(keys)).groupBy(item_col).agg(*aggs)
+    known = F.broadcast(spark.createDataFrame([(k,) for k in keys], "_corpus string"))  # the names asked for
+    counts = (stream.select(F.col(item_col).alias("_item"), F.col(key_col).alias("_corpus"), w.alias("_w")).join(known, "_corpus")
+              .groupBy("_item", "_corpus").agg(F.sum("_w").alias("_n")).where("_n > 0"))
+    n, s = F.col("_n"), F.lit(float(smoothing))
+    totals = counts.groupBy("_corpus").agg(F.count(F.lit(1)).alias("items"), F.sum(n).alias("n"), F.sum(F.log(n + s)).alias("log"),
+                                           F.sum((n + s) * F.log(n + s)).alias("nlog"))
 
+    def side(name: str, names: list[str]) -> DataFrame:
+        listed = spark.createDataFrame([(k,) for k in dict.fromkeys(names)], f"{name} string")
+        filled = [F.coalesce(F.col(c), F.lit(0)).alias(f"{name[0]}_{c}") for c in ("items", "n", "log", "nlog")]
+        return listed.join(totals, F.col(name) == F.col("_corpus"), "left").select(name, *filled)
 
-def _pairs_to_rows(row: DataFrame, train: list[str], dev: list[str], fields: dict) -> DataFrame:
-    """Turn the one-row result with ``<field>_<t>_<d>`` columns into long rows."""
-    structs = []
-    for ti, t in enumerate(train):
-        for di, d in enumerate(dev):
-            cols = [F.lit(t).alias("train"), F.lit(d).alias("dev")]
-            cols += [F.col(f"{name}_{ti}_{di}").alias(name) for name in fields]
-            structs.append(F.struct(*cols))
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    pairs = side("train", train).crossJoin(side("dev", dev))  # the cells of the grid
+    out = pairs.join(_shared(counts, list(dict.fromkeys(train)), list(dict.fromkeys(dev)), smoothing), ["train", "dev"], "left")
+    return out.fillna(0, ["shared", "shared_n", "shared_log"])
 
 
 def oov_grid(token_stream: DataFrame, train: list[str], dev: list[str],
@@ -60,31 +100,14 @@ def oov_grid(token_stream: DataFrame, train: list[str], dev: list[str],
 
     ``token_stream`` holds ``(key_col, token_col[, weight])``: raw tokens, or a
     lexicon with its count as ``weight``. Keys are corpus names; ``train`` and
-    ``dev`` name the two roles and may overlap only if the names mean the same
-    data. Returns ``train, dev, n_oov, n_tokens, n_unique_oov, n_unique,
+    ``dev`` name the two roles. What a pair lacks is the dev corpus without what
+    both share. Returns ``train, dev, n_oov, n_tokens, n_unique_oov, n_unique,
     oov, unique_oov`` (percent, NULL for an empty dev lexicon).
     """
-    keys = list(dict.fromkeys(list(train) + list(dev)))
-    idx = {k: i for i, k in enumerate(keys)}
-    wide = _wide_counts(token_stream, token_col, key_col, keys, weight)
-    aggs: list[Column] = []
-    for di, d in enumerate(dev):
-        cd = F.col(f"c{idx[d]}")
-        aggs += [F.sum(cd).alias(f"tot_{di}"), F.count(F.when(cd > 0, True)).alias(f"uni_{di}")]
-        for ti, t in enumerate(train):
-            ct = F.col(f"c{idx[t]}")
-            miss = (ct == 0) & (cd > 0)
-            aggs += [F.coalesce(F.sum(F.when(miss, cd)), F.lit(0)).alias(f"n_oov_{ti}_{di}"),
-                     F.count(F.when(miss, True)).alias(f"n_unique_oov_{ti}_{di}")]
-    row = wide.agg(*aggs)
-    for ti in range(len(train)):
-        for di in range(len(dev)):
-            row = (row.withColumn(f"n_tokens_{ti}_{di}", F.coalesce(F.col(f"tot_{di}"), F.lit(0)))
-                   .withColumn(f"n_unique_{ti}_{di}", F.col(f"uni_{di}")))
-    out = _pairs_to_rows(row, train, dev, {"n_oov": 1, "n_tokens": 1, "n_unique_oov": 1, "n_unique": 1})
-    return (out.select("train", "dev",
-                       *[F.col(c).cast("long").alias(c) for c in ("n_oov", "n_tokens", "n_unique_oov", "n_unique")])
-            .withColumn("oov", F.round(100.0 * F.try_divide(F.col("n_oov").cast("double"), F.col("n_tokens")), ROUND))
+    out = _grid(token_stream, token_col, key_col, weight, train, dev).select(
+        "train", "dev", (F.col("d_n") - F.col("shared_n")).cast("long").alias("n_oov"), F.col("d_n").cast("long").alias("n_tokens"),
+        (F.col("d_items") - F.col("shared")).cast("long").alias("n_unique_oov"), F.col("d_items").cast("long").alias("n_unique"))
+    return (out.withColumn("oov", F.round(100.0 * F.try_divide(F.col("n_oov").cast("double"), F.col("n_tokens")), ROUND))
             .withColumn("unique_oov", F.round(100.0 * F.try_divide(F.col("n_unique_oov").cast("double"),
                                                                    F.col("n_unique")), ROUND)))
 
@@ -95,27 +118,18 @@ def kl_grid(gram_stream: DataFrame, train: list[str], dev: list[str], key_col: s
 
     Per pair the support is the union of the two corpora's grams, every count
     gets ``+smoothing``. With A = train+s, B = dev+s over that union,
-    KL = Σ B·ln(B/A) / ΣB + ln(ΣA / ΣB): three sums per pair, no second pass.
+    KL = Σ B·ln(B/A) / ΣB + ln(ΣA / ΣB). By inclusion and exclusion these sums
+    need each corpus's own totals and, of the pair, only the grams both have.
     """
-    keys = list(dict.fromkeys(list(train) + list(dev)))
-    idx = {k: i for i, k in enumerate(keys)}
-    wide = _wide_counts(gram_stream, gram_col, key_col, keys, weight)
-    s = F.lit(float(smoothing))
-    aggs: list[Column] = []
-    for ti, t in enumerate(train):
-        for di, d in enumerate(dev):
-            a, b = F.col(f"c{idx[t]}"), F.col(f"c{idx[d]}")
-            inside = (a > 0) | (b > 0)
-            A, B = a + s, b + s
-            aggs += [F.sum(F.when(inside, A)).alias(f"sa_{ti}_{di}"),
-                     F.sum(F.when(inside, B)).alias(f"sb_{ti}_{di}"),
-                     F.sum(F.when(inside, B * F.log(B / A))).alias(f"sbl_{ti}_{di}"),
-                     F.count(F.when(inside, True)).alias(f"n_grams_{ti}_{di}")]
-    row = wide.agg(*aggs)
-    out = _pairs_to_rows(row, train, dev, {"sa": 1, "sb": 1, "sbl": 1, "n_grams": 1})
-    kl = F.col("sbl") / F.col("sb") + F.log(F.col("sa") / F.col("sb"))
-    return out.select("train", "dev", F.col("n_grams").cast("long").alias("n_grams"),
-                      F.round(kl, ROUND).alias("kl_dev_train"))
+    s = float(smoothing)
+    g = _grid(gram_stream, gram_col, key_col, weight, train, dev, smoothing)
+    union = F.col("t_items") + F.col("d_items") - F.col("shared")
+    only_dev = F.col("d_items") - F.col("shared")
+    b_ln_b = F.col("d_nlog") + (union - F.col("d_items")) * F.lit(s * math.log(s))
+    b_ln_a = F.lit(s) * F.col("t_log") + F.col("shared_log") + (F.col("d_n") - F.col("shared_n") + s * only_dev) * F.lit(math.log(s))
+    sa, sb = F.col("t_n") + s * union, F.col("d_n") + s * union
+    kl = F.try_divide(b_ln_b - b_ln_a, sb) + F.log(F.try_divide(sa, sb))
+    return g.select("train", "dev", union.cast("long").alias("n_grams"), F.round(kl, ROUND).alias("kl_dev_train"))
 
 
 def kl_divergence(train_counts: DataFrame, dev_counts: DataFrame, gram_col: str = "gram",

@@ -338,14 +338,22 @@ def q_detokenise(spark, sf):
     return t.select("doc_id", F.col("line_in_doc").cast("long"), detokenise("tok", "lang").alias("text"))
 
 
+def _abbreviations(spark, sf):
+    from ..operators.sentences import abbreviation_fit
+    return abbreviation_fit(I.doc_lines(spark, sf).where(F.col("split") == "train"), "line", "lang")
+
+
+@query("sentence_fit")
+def q_sentence_fit(spark, sf):
+    return _abbreviations(spark, sf)
+
+
 @query("sentence_split")
 def q_sentence_split(spark, sf):
-    from ..functions.rules import sentence_breaks
-    lines = I.doc_lines(spark, sf)
-    s = lines.select("doc_id", "line_in_doc", F.posexplode(F.split(sentence_breaks("line"), "\n", -1))
-                     .alias("sent_no", "sentence"))
-    s = s.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "")
-    return s.select("doc_id", F.col("line_in_doc").cast("long"), F.col("sent_no").cast("long"), "sentence")
+    from ..operators.sentences import split_sentences
+    lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "line")
+    return (split_sentences(lines, _abbreviations(spark, sf))
+            .select("doc_id", F.col("line_in_doc").cast("long"), F.col("sent_no").cast("long"), "sentence"))
 
 
 def _truecase_model(spark, sf):
@@ -516,6 +524,15 @@ def q_preprocess_corpus(spark, sf):
     return preprocess_corpus(pairs, "fr", "en", _lid_model(spark, sf)).select("line_no", "split", "src", "tgt")
 
 
+@query("recipe_monolingual")
+def q_recipe_monolingual(spark, sf):
+    """Sentences of the training lines, shuffled, through the monolingual preparation."""
+    from ..plans.composites import monolingual_recipe
+    lines = I.doc_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "split", "line")
+    return monolingual_recipe(lines, ["doc_id", "line_in_doc"]).select(
+        "doc_id", F.col("line_in_doc").cast("long"), F.col("sent_no").cast("long"), "lang", "split", F.col("pos").cast("long"), "text")
+
+
 @query("preprocess_monolingual")
 def q_preprocess_monolingual(spark, sf):
     from ..plans.composites import preprocess_monolingual
@@ -637,11 +654,11 @@ def q_recipe_evaluation_only(spark, sf):
     return evaluation_only(q_build_parallel(spark, sf), "fr", "en", tuple(one)).select("line_no", "split", "src", "tgt")
 
 
-def _segmented(spark, sf, joint):
+def _segmented(spark, sf, joint, **how):
     from ..operators.sampling import split_corpus
     from .composites import segment_parallel
     p = I.pairs(spark, sf).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    out = segment_parallel(split_corpus(p, "id", 50, 50, I.SEED).select("id", "split", "src", "tgt"), ["id"], "char", "char", joint=joint)
+    out = segment_parallel(split_corpus(p, "id", 50, 50, I.SEED).select("id", "split", "src", "tgt"), ["id"], "char", "char", joint=joint, **how)
     return out.select("id", "side", "split", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
@@ -653,3 +670,9 @@ def q_segment_chars(spark, sf):
 @query("segment_chars_joint")
 def q_segment_chars_joint(spark, sf):
     return _segmented(spark, sf, joint=True)
+
+
+@query("segment_capped")
+def q_segment_capped(spark, sf):
+    """Each side's characters learnt on 100 training lines of it, picked at random; every line is segmented."""
+    return _segmented(spark, sf, joint=False, max_sentences=100)

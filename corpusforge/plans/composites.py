@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import split_corpus
 from ..sources.align import canonical, paste
+from ..sources.stages import Stages
 
 
 def build_parallel(src_lines: DataFrame, tgt_lines: DataFrame, src_lang: str, tgt_lang: str,
@@ -105,39 +106,65 @@ def segment_parallel(pairs: DataFrame, id_cols: list[str], src_kind: str, tgt_ki
 def filter_languages(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model, id_col: str = "line_no",
                      split_col: str = "split", filter_splits: tuple[str, ...] = ("train",)) -> DataFrame:
     """``(id, split, src, tgt)`` without the rows of ``filter_splits`` whose
-    sides are not predicted to be in their languages.
+    sides are not predicted to be in their languages (a NULL side is in none).
 
-    Only those splits are predicted, both sides in one pass over the stacked
-    lines; all other rows pass as they are.
+    Both sides are predicted inside the pair's row, in one pass; of the other
+    splits only an empty line is.
     """
     from ..operators.filters import lid_filter
     from ..operators.lid import label_of, lid_predict
-    df = pairs.select(id_col, split_col, "src", "tgt")
+    kept = [id_col, split_col, "src", "tgt"]
     chosen = F.coalesce(F.col(split_col).isin(list(filter_splits)), F.lit(False))
-    asked = df.where(chosen)
-    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("line")) for x in ("src", "tgt")])
-    stacked = asked.select(id_col, F.explode(sides).alias("x")).select(id_col, "x.side", "x.line")
-    pred = lid_predict(stacked, lid_model, [id_col, "side"], "line", out="_lang")
-    labels = pred.groupBy(id_col).agg(*[label_of(F.max(F.when(F.col("side") == x, F.col("_lang")))).alias(f"{x}_label")
-                                        for x in ("src", "tgt")])
-    kept = lid_filter(asked.join(labels, id_col, "left"), src_lang, tgt_lang, splits=filter_splits, split_col=split_col)
-    return df.where(~chosen).unionByName(kept.select(df.columns))
+    df = pairs.select(*kept, *[F.when(chosen, F.col(c)).otherwise(F.lit("")).alias(f"_{c}") for c in ("src", "tgt")])
+    df = lid_predict(df, lid_model, [id_col], "_src", out="_src_lang", carry=[split_col, "src", "tgt", "_tgt"])
+    df = lid_predict(df, lid_model, [id_col], "_tgt", out="_tgt_lang", carry=[split_col, "src", "tgt", "_src_lang"])
+    df = df.withColumn("src_label", label_of("_src_lang")).withColumn("tgt_label", label_of("_tgt_lang"))
+    return lid_filter(df, src_lang, tgt_lang, splits=filter_splits, split_col=split_col).select(*kept)
+
+
+def _kept(df: DataFrame, stages: Stages | None, name: str, params: dict) -> DataFrame:
+    """A table that later steps read more than once."""
+    if stages is not None:
+        return stages.table(name, params, lambda: df)
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def monolingual_recipe(lines: DataFrame, id_cols: list[str], text_col: str = "line", lang_col: str = "lang", split_col: str = "split",
+                       fit_splits: tuple[str, ...] = ("train",), seed: int = 42, stages: Stages | None = None) -> DataFrame:
+    """The whole monolingual recipe: lines of the fitted splits → sentences, at boundaries learnt on them per language →
+    shuffled, each split with positions of its own → ``preprocess_monolingual``. Lines of other splits stay lines.
+    Returns ``(id…, sent_no, lang, split, pos, text)``."""
+    from ..operators.ordering import exclusive_prefix_sum
+    from ..functions.keys import hash_bucket, hash_key
+    from ..operators.sentences import abbreviation_fit, split_sentences
+    chosen = F.coalesce(F.col(split_col).isin(list(fit_splits)), F.lit(False))
+    slim = lines.select(*id_cols, lang_col, split_col, text_col)
+    fitted = slim.where(chosen)
+    sents = split_sentences(fitted, abbreviation_fit(fitted, text_col, lang_col), text_col, lang_col, "sent_no", text_col)
+    rows = sents.unionByName(slim.where(~chosen).withColumn("sent_no", F.lit(0)))
+    ids = [*id_cols, "sent_no"]
+    rows = rows.withColumn("_id", F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids]))
+    done = preprocess_monolingual(rows.select("_id", *ids, lang_col, split_col, text_col), ["_id", *ids], text_col, lang_col, split_col, fit_splits, stages=stages)
+    keyed = done.withColumn("_order", hash_key("_id", seed))
+    placed = exclusive_prefix_sum(keyed, ["_order", "_id"], hash_bucket("_id", seed, 4), out="pos", partition_cols=[split_col])
+    return placed.select(*ids, lang_col, split_col, "pos", "text")
 
 
 def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=None, id_col: str = "line_no",
                       split_col: str = "split", filter_splits: tuple[str, ...] = ("train",),
                       min_len: int = 1, max_len: int = 100, ratio: float = 1.8,
                       truecase_models: tuple[DataFrame, DataFrame] | None = None,
-                      materialise: bool = True) -> DataFrame:
+                      stages: Stages | None = None) -> DataFrame:
     """Parallel corpus preparation as one plan: language filter (filtered
     splits only, labels from ``lid_model``; skipped when None) → normalise and
     tokenise both sides → length/ratio cleaning (filtered splits) → truecaser
     fitted on the filtered splits per side (or the given models, e.g. one
     fitted on another corpus) → truecasing of every split.
 
-    The tokenised table feeds both the fit and the apply; with
-    ``materialise`` it is checkpointed once (reliable, in the session's
-    checkpoint folder) instead of being recomputed.
+    The tokenised table feeds both the fit and the apply, so it is kept: as a
+    stage table, which later runs read, or without ``stages`` as a checkpoint.
     """
     from ..functions.rules import normalise_tokenise
     from ..operators.filters import clean_pairs
@@ -148,10 +175,8 @@ def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=
           .select(id_col, split_col, normalise_tokenise("src", "_sl").alias("src"),
                   normalise_tokenise("tgt", "_tl").alias("tgt")))
     df = clean_pairs(df, "src", "tgt", min_len, max_len, ratio, splits=filter_splits, split_col=split_col)
-    if materialise:
-        from ..session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
+    df = _kept(df, stages, "tokenised_pairs", {"langs": [src_lang, tgt_lang], "lid": lid_model is not None, "splits": list(filter_splits),
+                                               "limits": [min_len, max_len, ratio]})
     # both sides in one table: one fit (per side), one apply, one pivot back
     from ..operators.truecase import truecase_apply, truecase_fit
     stacked = (df.select(id_col, split_col, F.lit("src").alias("side"), F.col("src").alias("text"))
@@ -169,7 +194,7 @@ def preprocess_corpus(pairs: DataFrame, src_lang: str, tgt_lang: str, lid_model=
 
 def preprocess_monolingual(lines: DataFrame, id_cols: list[str], text_col: str = "line", lang_col: str = "lang",
                            split_col: str = "split", fit_splits: tuple[str, ...] = ("train",),
-                           max_fields: int = 100, materialise: bool = True) -> DataFrame:
+                           max_fields: int = 100, stages: Stages | None = None) -> DataFrame:
     """Monolingual preparation: normalise and tokenise → fewer than
     ``max_fields`` tokens on the fitted splits (empty lines stay) →
     truecaser per language fitted on those splits → truecasing of every
@@ -179,9 +204,6 @@ def preprocess_monolingual(lines: DataFrame, id_cols: list[str], text_col: str =
     from ..operators.truecase import truecase_apply, truecase_fit
     df = lines.select(*id_cols, lang_col, split_col, normalise_tokenise(text_col, lang_col).alias("tok"))
     df = max_tokens(df, "tok", max_fields, True, splits=fit_splits, split_col=split_col)
-    if materialise:
-        from ..session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
+    df = _kept(df, stages, "tokenised_lines", {"splits": list(fit_splits), "max_fields": max_fields, "ids": id_cols})
     model = truecase_fit(df.where(F.col(split_col).isin(list(fit_splits))), "tok", [lang_col])
     return truecase_apply(df, model, id_cols + [lang_col, split_col], "tok", "text", group_cols=[lang_col])

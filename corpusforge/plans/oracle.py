@@ -354,7 +354,7 @@ SELECT conv_id, turn, src_len::BIGINT AS src_len, tgt_len::BIGINT AS tgt_len FRO
 WHERE src_len <= 1024 AND tgt_len <= 1024""")
 
 
-from ..functions.rules import (DELAY_TOKENS, DETOKENISE, SENTENCE_BREAK, SENTENCE_END_TOKENS,  # noqa: E402
+from ..functions.rules import (ABBREVIATIONS, DELAY_TOKENS, DETOKENISE, SENTENCE_END_TOKENS,  # noqa: E402
                                normalise_tokenise_sql, rules_sql)
 
 
@@ -383,11 +383,46 @@ register("normalise_tokenise", f"WITH {TOKL} SELECT doc_id, line_in_doc::BIGINT
 register("detokenise", f"""WITH {TOKL}
 SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, {rules_sql('tok', DETOKENISE, 'lang')} AS text FROM tokl""")
 
-register("sentence_split", f"""WITH {LINES},
-s AS (SELECT doc_id, line_in_doc, string_split({rules_sql('line', SENTENCE_BREAK)}, chr(10)) AS parts FROM lines),
-e AS (SELECT doc_id, line_in_doc, unnest(range(len(parts))) AS sent_no, unnest(parts) AS sentence FROM s)
-SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, sent_no::BIGINT AS sent_no, trim(sentence) AS sentence
-FROM e WHERE trim(sentence) <> ''""")
+ABBR = LINES + r""",
+cores AS (
+  SELECT lang, regexp_extract(tok, '^[^\p{L}]*([\p{L}][\p{L}.]*)[^\p{L}.]*$', 1) AS core
+  FROM (SELECT lang, unnest(list_filter(string_split_regex(line, '""" + WS + r"""'), lambda t: t <> '')) AS tok FROM lines WHERE split = 'train')),
+words AS (
+  SELECT lang, lower(CASE WHEN ends_with(core, '.') THEN left(core, length(core) - 1) ELSE core END) AS word,
+         count(*) FILTER (ends_with(core, '.')) AS n_dot, count(*) FILTER (NOT ends_with(core, '.')) AS n_plain
+  FROM cores WHERE core <> '' GROUP BY ALL),
+shares AS (SELECT lang, least(greatest(sum(n_dot) / sum(n_dot + n_plain), 1e-9), 1 - 1e-9) AS share FROM words GROUP BY lang),
+weighed AS (
+  SELECT lang, word, n_dot::BIGINT AS n_dot, n_plain::BIGINT AS n_plain, round(
+         -2 * ((n_dot * ln(share) + n_plain * ln(1 - share)) - (n_dot * ln(0.99) + n_plain * ln(1 - 0.99::DOUBLE)))
+         * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+         * pow(length(replace(word, '.', ''))::DOUBLE, -n_plain), 6) + 0.0 AS score
+  FROM words JOIN shares USING (lang) WHERE n_dot > 0),
+abbr AS (SELECT *, score >= 0.3 AS is_abbreviation FROM weighed)"""
+
+register("sentence_fit", f"WITH {ABBR} SELECT lang, word, n_dot, n_plain, score, is_abbreviation FROM abbr")
+
+def sentences_sql(src: str) -> str:
+    """CTEs up to ``sents`` (doc_id, line_in_doc, lang, split, sent_no, sentence) of the lines in ``src``."""
+    return f"""learnt AS (SELECT lang, list(word) AS words FROM abbr WHERE is_abbreviation GROUP BY lang),
+cut AS (SELECT doc_id, line_in_doc, lang, split, coalesce(words, []) AS words,
+               string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM {src} LEFT JOIN learnt USING (lang)),
+piece AS (SELECT doc_id, line_in_doc, lang, split, words, unnest(range(len(parts))) AS i, unnest(parts) AS p,
+                 unnest(list_concat([''], parts[1:len(parts) - 1])) AS before FROM cut),
+tested AS (SELECT *, regexp_extract(before, '([\\p{{L}}][\\p{{L}}.]*)\\.$', 1) AS word FROM piece),
+marked AS (
+  SELECT *, CAST(i > 0 AND regexp_matches(p, '^[\\p{{Lu}}\\p{{N}}"(]')
+                 AND NOT list_contains([{", ".join(f"'{x}'" for x in ABBREVIATIONS)}], word)
+                 AND NOT list_contains(words, lower(word)) AS BIGINT) AS opens
+  FROM tested),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, line_in_doc ORDER BY i) AS sent_no FROM marked),
+sents AS (SELECT doc_id, line_in_doc, lang, split, sent_no::BIGINT AS sent_no, trim(string_agg(p, ' ' ORDER BY i)) AS sentence
+          FROM numbered GROUP BY doc_id, line_in_doc, lang, split, sent_no HAVING trim(string_agg(p, ' ' ORDER BY i)) <> '')"""
+
+
+register("sentence_split", f"""WITH {ABBR}, {sentences_sql('lines')}
+SELECT doc_id, line_in_doc::BIGINT AS line_in_doc, sent_no, sentence FROM sents""")
 
 TC_MODEL = TOKL + """,
 trn AS (SELECT doc_id, line_in_doc, lang, tok FROM tokl WHERE split = 'train'),
@@ -640,6 +675,22 @@ SELECT ml.doc_id, ml.line_in_doc::BIGINT AS line_in_doc, ml.lang, ml.split, tcm2
 FROM ml JOIN tcm2 USING (doc_id, line_in_doc, lang)""")
 
 
+register("recipe_monolingual", f"""WITH {ABBR},
+fitted AS (SELECT * FROM lines WHERE split = 'train'),
+{sentences_sql('fitted')},
+rows_ AS (SELECT doc_id, line_in_doc, sent_no, lang, split, sentence AS line FROM sents
+          UNION ALL SELECT doc_id, line_in_doc, 0, lang, split, line FROM lines WHERE split <> 'train'),
+rt AS (SELECT *, {normalise_tokenise_sql('line', 'lang')} AS tok FROM rows_),
+ml AS (SELECT doc_id, line_in_doc, sent_no, lang, split, tok FROM rt
+       WHERE split <> 'train' OR len(list_filter(string_split_regex(tok, '{WS}'), lambda t: t <> '')) < 100),
+mf AS (SELECT * FROM ml WHERE split = 'train'),
+{truecase_sql('mf', 'ml', 'doc_id, line_in_doc, sent_no', 'tok', 'tcm2', 'lang')},
+pos AS (SELECT doc_id, line_in_doc, sent_no, row_number() OVER (PARTITION BY split ORDER BY
+               md5('42:' || doc_id || ':' || line_in_doc || ':' || sent_no), doc_id || ':' || line_in_doc || ':' || sent_no) - 1 AS pos FROM ml)
+SELECT ml.doc_id, ml.line_in_doc::BIGINT AS line_in_doc, ml.sent_no::BIGINT AS sent_no, ml.lang, ml.split, pos.pos::BIGINT AS pos, tcm2.text
+FROM ml JOIN tcm2 USING (doc_id, line_in_doc, sent_no, lang) JOIN pos USING (doc_id, line_in_doc, sent_no)""")
+
+
 _VOCAB_FILE = f"""{TOKL},
 vc AS (SELECT unnest({chars_sql(_marked('tok'))}) AS piece FROM tokl WHERE split = 'train'),
 vn AS (SELECT piece, count(*) AS n FROM vc GROUP BY piece),
@@ -705,7 +756,7 @@ SELECT tk.line_no, tk.split, tcs.text AS src, tct.text AS tgt
 FROM tk JOIN tcs USING (line_no) JOIN tct USING (line_no)""")
 
 
-def _segment_chars(joint: bool) -> str:
+def _segment_chars(joint: bool, cap: int | None = None) -> str:
     by, on = ("", "USING (piece)") if joint else ("PARTITION BY side ", "USING (side, piece)")
     keys = "piece" if joint else "side, piece"
     return f"""WITH {PAIRS},
@@ -713,7 +764,8 @@ k AS (SELECT conv_id || '-' || turn AS id, src, tgt FROM pairs),
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS r FROM k),
 p AS (SELECT *, CASE WHEN r < 50 THEN 'val' WHEN r < 100 THEN 'dev' ELSE 'train' END AS split FROM r),
 t AS (SELECT id, split, 'src' AS side, src AS text FROM p UNION ALL SELECT id, split, 'tgt', tgt FROM p),
-c AS (SELECT side, unnest({chars_sql(_marked('text'))}) AS piece FROM t WHERE split = 'train'),
+n AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY md5('42:' || id || ':' || side), id) AS nth FROM t WHERE split = 'train'),
+c AS (SELECT side, unnest({chars_sql(_marked('text'))}) AS piece FROM n {f"WHERE nth <= {cap}" if cap else ""}),
 v AS (SELECT {keys}, (row_number() OVER ({by}ORDER BY count(*) DESC, piece) + 1)::INTEGER AS id FROM c GROUP BY {keys}),
 d AS (SELECT id, side, split, string_split({char_pieces_sql('text')}, ' ') AS ps FROM t),
 e AS (SELECT id AS line, side, unnest(generate_series(1, len(ps))) AS pos, unnest(ps) AS piece FROM d),
@@ -725,3 +777,4 @@ FROM d LEFT JOIN a USING (id, side)"""
 
 register("segment_chars", _segment_chars(joint=False))
 register("segment_chars_joint", _segment_chars(joint=True))
+register("segment_capped", _segment_chars(joint=False, cap=100))

@@ -14,6 +14,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # folders of checkpoints go when their tables do
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
