@@ -32,14 +32,15 @@ from pyspark.sql import types as T
 
 from corpusforge.llm.common import map_rows
 
-#: Fixed pattern of byte-level tokenizers with ``use_regex``: contractions, words, numbers, marks, blanks.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What byte-level tokenizers with ``use_regex`` split: words, numbers, contractions (fixed), marks, blanks. Words and
+#: numbers, which no other alternative starts like, come first since they are the most.
+SPLIT = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a task remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Bytes of text, or ids, after which the next row starts a new batch.
-BATCH = 1 << 22
+BATCH = 1 << 20
 #: Words that are held and merged together.
-WORDS = 1 << 18
+WORDS = 1 << 17
 #: Bytes that a transducer reads beyond its lookahead before it merges.
 STEP = 2048
 #: Bytes from which a run is merged on its own, with a heap; below it, with others of its length.
@@ -367,7 +368,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in cut(batches, lambda b: pc.list_value_length(b.columns[-1])):
-            made = pa.array([decoder.text(v or ()) for v in batch.columns[-1].to_pylist()], pa.string())
+            column = batch.columns[-1]
+            flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            made = pa.array([decoder.text(flat[start:end]) for start, end in zip([0, *ends], ends, strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "made"])
 
     return map_rows(slim, run, T.StructField(text, T.StringType())).drop(spare)
