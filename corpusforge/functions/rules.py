@@ -23,8 +23,18 @@ TRANSLATE_FROM = "\u201c\u201d\u201e\u201f\u00ab\u00bb\u2018\u2019\u201a\u201b\u
 # six double-quote forms, six apostrophe forms, en dash, four spaces; CR is dropped
 TRANSLATE_TO = '"' * 6 + "'" * 6 + "-" + " " * 4
 
+# ---- fixed values: spaces inside French quotes, while these can be told from others
+QUOTE_SPACES: list[Rule] = [
+    ("\u00ab[ \u00a0\u202f\u2009]+", "\u00ab", None),
+    ("[ \u00a0\u202f\u2009]+\u00bb", "\u00bb", None),
+]
+
 # ---- fixed values: punctuation normalisation -------------------------------
+# a comma goes outside the closing quote in German, Spanish and French, commas and
+# stops go inside it in English; French keeps a space before high marks
 NORMALISE: list[Rule] = [
+    (',"', '",', ("de", "es", "fr")),
+    ('"([,.]+)', '$1"', ("en",)),
     ("\u2026", "...", None),
     ("\u2014", " - ", None),
     (" +([:;?!%])", "$1", ("!", "fr")),
@@ -130,8 +140,12 @@ def apply_rules(c, rules: list[Rule], lang_col: str | None = None) -> Column:
     return out.otherwise(_chain(base, rules, None))
 
 
+def _plain(c) -> Column:
+    return F.translate(apply_rules(c, QUOTE_SPACES), TRANSLATE_FROM, TRANSLATE_TO)
+
+
 def normalise(c, lang_col: str | None = None) -> Column:
-    return apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE, lang_col)
+    return apply_rules(_plain(c), NORMALISE, lang_col)
 
 
 def _listed(word: Column, lists: dict[str, list[str]], lang_col: str | None) -> Column:
@@ -160,7 +174,7 @@ def split_stops(tokens: Column, lang_col: str | None = None) -> Column:
 
 
 def normalise_tokenise(c, lang_col: str | None = None) -> Column:
-    text = apply_rules(F.translate(col_of(c), TRANSLATE_FROM, TRANSLATE_TO), NORMALISE + TOKENISE, lang_col)
+    text = apply_rules(_plain(c), NORMALISE + TOKENISE, lang_col)
     return split_stops(F.split(text, " ", -1), lang_col)
 
 
@@ -212,7 +226,7 @@ def rules_sql(expr: str, rules: list[Rule], lang_expr: str | None = None) -> str
 
 
 def translate_sql(expr: str) -> str:
-    return (f"translate({expr}, {_sql_literal(TRANSLATE_FROM.replace(chr(13), ''))} || chr(13), "
+    return (f"translate({rules_sql(expr, QUOTE_SPACES)}, {_sql_literal(TRANSLATE_FROM.replace(chr(13), ''))} || chr(13), "
             f"{_sql_literal(TRANSLATE_TO)})")
 
 

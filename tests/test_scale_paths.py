@@ -136,3 +136,12 @@ def test_words_that_keep_their_full_stop(spark):
     df = spark.createDataFrame([(i, lang, text) for i, (lang, text, _) in enumerate(rows)], "k int, lang string, line string")
     got = {r["k"]: r["t"] for r in df.select("k", normalise_tokenise("line", "lang").alias("t")).collect()}
     assert [got[i] for i in range(len(rows))] == [want for _, _, want in rows]
+
+
+def test_punctuation_by_language(spark):
+    from corpusforge.functions.rules import normalise
+    rows = [("fr", "Il dit : « Bonjour ! » et «\u00a0Non\u202f».", 'Il dit : "Bonjour !" et "Non".'), ("de", "\u201eHallo,\u201c sagte er : ja", '"Hallo", sagte er: ja'),
+            ("en", "\u201cHello\u201d, he said. \u201cNo\u201d.", '"Hello," he said. "No."'), ("es", "\u00abHola,\u00bb dijo", '"Hola", dijo'), ("xx", '"a", "b".', '"a", "b".')]
+    df = spark.createDataFrame([(i, lang, text) for i, (lang, text, _) in enumerate(rows)], "k int, lang string, line string")
+    got = {r["k"]: r["t"] for r in df.select("k", normalise("line", "lang").alias("t")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, _, want in rows]
