@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import char_windows
+from ..session import checkpoint_dir
 from .lookup import split_model
 from .ordering import keyed
 from .rows import map_values
@@ -65,11 +66,11 @@ def _languages(langs: DataFrame) -> Inventory:
 
 
 def gram_rows(grams: DataFrame, inventory: Inventory) -> DataFrame:
-    """``(gram, at, ln_c1)``: one row a gram, with the places of the languages that have it and their values. The plan
+    """``(gram, at, ln_c1, n)``: one row a gram, with the places of the languages that have it and their values. The plan
     doesn't widen with the languages, and a gram of one language takes room for one."""
     place = grams.sparkSession.createDataFrame([(n, i) for i, n in enumerate(inventory.names)], "lang string, i int")
-    pairs = grams.join(F.broadcast(place), "lang").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("i", "ln_c1"))).alias("p"))
-    return pairs.select("gram", F.col("p.i").alias("at"), F.col("p.ln_c1").alias("ln_c1"))
+    pairs = grams.join(F.broadcast(place), "lang").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("i", "ln_c1"))).alias("p"), F.sum("n").alias("n"))
+    return pairs.select("gram", F.col("p.i").alias("at"), F.col("p.ln_c1").alias("ln_c1"), "n")
 
 
 def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols: list[str], line_col: str, n: int,
@@ -81,7 +82,7 @@ def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols:
     model = gram_rows(grams, inventory)
     kept = [*id_cols, *carry]
     line = lines.select(*kept, F.col(line_col).cast("string").alias("_line"))
-    split = split_model(model, "gram", F.struct("at", "ln_c1"), lambda: line.select(F.explode(char_windows("_line", n)).alias("gram")))
+    split = split_model(model, "gram", F.struct("at", "ln_c1"), "n", lambda: line.select(F.explode(char_windows("_line", n)).alias("gram")))
     width, shared = len(inventory.names), lines.sparkSession.sparkContext.broadcast(split)
 
     def make():
@@ -105,7 +106,8 @@ def line_sums(lines: DataFrame, grams: DataFrame, inventory: Inventory, id_cols:
     done = map_values(line.where("_line IS NOT NULL"), F.col("_line"), "_done", kind, make).select(*kept, "_done.*")
     if split.whole:
         return done.drop("rest")
-    done = keyed(done, id_cols)
+    checkpoint_dir(lines.sparkSession)
+    done = keyed(done, id_cols).checkpoint()  # the grams that leave, and the lines that their sums come back to
     asked = done.select("_key_", F.explode("rest").alias("gram"))
     found = (asked.join(model, "gram").select("_key_", F.explode(F.arrays_zip("at", "ln_c1")).alias("v"))
              .groupBy("_key_", F.col("v.at").alias("i")).agg(F.sum("v.ln_c1").alias("s"))

@@ -368,9 +368,12 @@ def q_truecase_fit(spark, sf):
 
 @query("truecase_apply")
 def q_truecase_apply(spark, sf):
-    from ..operators.truecase import truecase_apply
-    out = truecase_apply(_tok_lines(spark, sf), _truecase_model(spark, sf), ["doc_id", "line_in_doc", "lang"], "tok", "text",
-                         group_cols=["lang"])
+    from ..operators.truecase import truecase_apply, truecase_fit
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    tok = _tok_lines(spark, sf).select("doc_id", "line_in_doc", "lang", "split", "tok").checkpoint()  # fitted on and cased
+    model = truecase_fit(tok.where(F.col("split") == "train"), "tok", ["lang"])
+    out = truecase_apply(tok, model, ["doc_id", "line_in_doc", "lang"], "tok", "text", group_cols=["lang"])
     return out.select("doc_id", F.col("line_in_doc").cast("long"), "text")
 
 

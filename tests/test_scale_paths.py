@@ -64,6 +64,7 @@ def test_truecase_by_join_equals_truecase_in_the_line(spark, monkeypatch, heavy)
     got = {r["k"]: r["t"] for r in truecase.truecase_apply(hot, model, ["k"], "text", "t", ["lang"]).collect()}
     assert got == want and len(want) == 203
     assert not asked[0].whole and any(k.endswith("the") for k in asked[0].known)  # the hot word never leaves its line
+    assert len(asked[0].known) <= 3 + max(heavy, 1)
 
 
 def test_language_sums_by_join_equal_those_in_the_line(spark, monkeypatch):
