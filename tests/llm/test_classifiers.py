@@ -105,7 +105,7 @@ def test_models_do_not_depend_on_partitioning(spark):
 @pytest.mark.parametrize("text", ["", None, "x", "é" * 5])
 def test_scores_of_tiny_texts(text):
     assert len(toxicity.features(text)) <= 20
-    assert len(quality.Compressors(b"abc", b"def").features(text)) == 3
+    assert -1 < quality.Compressors(b"abc", b"def").difference(text) < 1
 
 
 def test_quality_reads_labelled_texts_beyond_their_opening():
@@ -118,7 +118,7 @@ def test_quality_reads_labelled_texts_beyond_their_opening():
     assert len(model.good) <= quality.DICT_BYTES and len(model.bad) <= quality.DICT_BYTES
     both = quality.Compressors(model.good, model.bad)
     for label in (0, 1):
-        lead = both.features(" ".join(rng.choices(vocabulary[label], k=300)))[0]
+        lead = both.difference(" ".join(rng.choices(vocabulary[label], k=300)))
         assert (lead > 0.02) if label else (lead < -0.02)
 
 
@@ -127,11 +127,37 @@ def test_quality_dictionaries_reach_the_end_of_long_texts():
     rng = random.Random(2)
     good, bad, text = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (400_000, 400_000, 6_000_000))
     both = quality.Compressors(good.encode(), bad.encode())
-    plain, ended = both.features(text)[0], both.features(text + good)[0]
+    plain, ended = both.difference(text), both.difference(text + good)
     assert abs(plain) < 1e-3 and ended > 0.02
 
 
-def test_quality_dictionary_of_like_texts():
-    assert 0 < len(quality.dictionary(["the same line " * 100] * 2000)) <= quality.DICT_BYTES
-    assert 0 < len(quality.dictionary(["x" * 3_000_000])) <= quality.DICT_BYTES
-    assert quality.dictionary(["", ""]) == b" "
+def test_quality_dictionaries_are_made_alike():
+    import random
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    many, few = ([" ".join(rng.choices(words, k=200)) for _ in range(n)] for n in (900, 250))
+    good, bad = quality.dictionaries(many, few)
+    magic = (0xEC30A437).to_bytes(4, "little")
+    assert good[:4] == bad[:4] == magic and 0.8 < len(good) / len(bad) < 1.25  # both trained, to one size
+    for one, other in ((["the same line " * 100] * 2000, few), (["x" * 3_000_000], few), (["", ""], few), ([], [])):
+        pair = quality.dictionaries(one, other)
+        assert all(0 < len(d) <= quality.DICT_BYTES for d in pair) and pair[0][:4] == magic or pair[1][:4] != magic
+    assert quality.raw([b"abc", b"abc", b"x" * 50, b"de"], 12) == b" \nabc\nde"  # whole texts only
+
+
+def test_quality_score_against_a_plain_program(spark):
+    """Difference and curve worked out text by text with the library alone."""
+    import math
+
+    import zstandard
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(d, labels, fold(F.col("doc_id"), 4) != 2)
+    size = {}
+    for row in d.select("doc_id", "text").limit(60).collect():
+        data, sizes = row["text"].encode(), []
+        for content in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False)
+            sizes.append(sum(len(c.compress(data[i:i + quality.CHUNK])) for i in range(0, len(data), quality.CHUNK)))
+        size[row["doc_id"]] = 1 / (1 + math.exp(-(model.slope * (sizes[1] - sizes[0]) / sum(sizes) + model.shift)))
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, model).collect()}
+    assert all(abs(got[k] - v) < 0.02 for k, v in size.items())
