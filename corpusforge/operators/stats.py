@@ -89,7 +89,7 @@ def _grid(stream: DataFrame, item_col: str, key_col: str, weight: str | None, tr
         filled = [F.coalesce(F.col(c), F.lit(0)).alias(f"{name[0]}_{c}") for c in ("items", "n", "log", "nlog")]
         return listed.join(totals, F.col(name) == F.col("_corpus"), "left").select(name, *filled)
 
-    pairs = side("train", train).crossJoin(side("dev", dev))  # the cells of the grid
+    pairs = side("train", train).crossJoin(F.broadcast(side("dev", dev)))  # the cells of the grid; a row a name that was asked for
     out = pairs.join(_shared(counts, list(dict.fromkeys(train)), list(dict.fromkeys(dev)), smoothing), ["train", "dev"], "left")
     return out.fillna(0, ["shared", "shared_n", "shared_log"])
 
