@@ -6,9 +6,11 @@
    ``target / (2 k - 1)``. The method is house-monotone, so a shard's integer quota of a source is its seats
    among the blocks up to the shard's end less those up to its start.
 3. Blocks: a source's documents lie one after another in a seeded order of size class and hash; block b holds
-   tokens ``[b B, (b + 1) B)``. With q blocks due of M, every block is taken ``q div M`` times and ``q mod M`` of
-   them once more: those at which ``(b r + seeded offset) div M`` steps up, exactly r, evenly spread. A document's
-   share of the taken blocks follows from its first and last token by arithmetic; no block is listed.
+   tokens ``[b B, (b + 1) B)``. Blocks are dealt to the shards in turn, from a seeded shard on, and every shard
+   chooses its quota among its own: with q due of m, each is taken ``q div m`` times and ``r = q mod m`` of them once
+   more, those at which ``(j r + seeded offset) div m`` steps up for the shard's j-th block, exactly r, evenly
+   spread. A document's share of a shard's choice follows from its first and last token by arithmetic; no block is
+   listed.
 """
 
 from __future__ import annotations
@@ -91,12 +93,41 @@ def quotas(aims: DataFrame, block: int = BLOCK, shards: int = SHARDS, cap: int =
     return upto.select("key", (F.col("shard") - 1).alias("shard"), (F.col("seats") - before).alias("quota"))
 
 
+def choices(aims: DataFrame, block: int = BLOCK, shards: int = SHARDS, cap: int = 3, seed: str = SEED) -> DataFrame:
+    """(key, quota, picks) from (key, source_size, target): the source's blocks in the mix, and for each shard, in
+    order, the struct (turn, own, full, rest, offset) that says which blocks it takes. Block b goes to the shard whose
+    turn is ``b mod shards``; ``own`` blocks fall to it, all taken ``full`` times and ``rest`` of them once more.
+
+    A shard that is due more than ``cap`` times its own blocks leaves the excess to the next ones with room, then to
+    the first ones; a source is never due more than all its shards can take.
+    """
+    first = hex_number(hex_key(seed + ":turn", F.col("key")), 8)
+    due = quotas(aims, block, shards, cap).join(aims.select("key", F.ceil(F.col("source_size") / block).cast("long").alias("blocks")), "key")
+    due = due.withColumn("turn", F.pmod(F.col("shard") - first, F.lit(shards)).cast("long"))
+    due = due.withColumn("own", F.expr(f"(blocks - turn + {shards - 1}) div {shards}"))
+    whole = Window.partitionBy("key")
+    upto = whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    before = whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.sum("own").over(upto) * cap
+    served = (due.withColumn("room", room).withColumn("lead", F.sum("quota").over(upto) - F.col("room"))
+              .withColumn("upto", F.col("room") + F.least(F.lit(0), F.min("lead").over(upto)))
+              .withColumn("got", F.col("upto") - F.lag("upto", 1, 0).over(whole.orderBy("shard")))
+              .withColumn("free", F.col("own") * cap - F.col("got"))
+              .withColumn("left", F.sum("quota").over(whole) - F.max("upto").over(whole) - F.coalesce(F.sum("free").over(before), F.lit(0)))
+              .withColumn("got", F.col("got") + F.least(F.col("free"), F.greatest(F.lit(0), F.col("left")))))
+    some = F.greatest(F.col("own"), F.lit(1))
+    offset = hex_number(hex_key(seed + ":blocks", F.col("key"), F.col("shard")), 8) % some
+    pick = F.struct(F.col("shard"), F.col("turn"), some.alias("own"), F.call_function("div", F.col("got"), some).alias("full"),
+                    (F.col("got") % some).alias("rest"), offset.alias("offset"))
+    return served.groupBy("key").agg(F.sum("got").alias("quota"), F.sort_array(F.collect_list(pick)).alias("picks"))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block: int = BLOCK, shards: int = SHARDS,
         carry: Sequence[str] = (), seed: str = SEED) -> DataFrame:
-    """(doc_id, source, *carry, size, source_size, target, quota, taken, copies) of every row of ``docs``.
+    """(doc_id, source, *carry, size, source_size, target, quota, taken, by_shard, copies) of every row of ``docs``.
 
-    ``taken``: words of the row in the taken blocks, a block taken twice counting twice, at most ``cap`` times
-    ``size``. ``copies``: how often a mix of whole documents repeats the row: the whole passes over its source, and
+    ``by_shard``: words of the row in the blocks that each shard takes, a block taken twice counting twice; ``taken``:
+    their sum, at most ``cap`` times ``size``. ``copies``: how often a mix of whole documents repeats the row: the whole passes over its source, and
     one more for an evenly spread part of its documents, in the same seeded order.
 
     Null texts and texts without words have size 0 and are never taken; null sources form one source, the last;
@@ -104,7 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block
     hash like others; an empty table gives no rows. Documents are shuffled once, by (source, size class, hash
     range), so a source with a third of all rows is spread; range totals come from a scan of its own.
     """
-    out = ("size", "source_size", "target", "quota", "taken", "copies")
+    out = ("size", "source_size", "target", "quota", "taken", "by_shard", "copies")
     kept = [c for c in dict.fromkeys(["doc_id", "source", *carry]) if c not in out]
     laid = docs.select(*kept, n_words(F.col("text")).alias("size"), source_key(F.col("source")).alias("_key"),
                        hex_key(seed, F.col("doc_id")).alias("_order"))
@@ -113,7 +144,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block
     totals = laid.groupBy(*place).agg(F.sum("size").alias("_words"), F.count("*").alias("_rows"))
     sizes = totals.groupBy("_key").agg(F.sum("_words").alias("source_size")).withColumnRenamed("_key", "key")
     aims = targets(sizes, weights, cap)
-    due = quotas(aims, block, shards, cap).groupBy("key").agg(F.sum("quota").alias("quota"))
+    due = choices(aims, block, shards, cap, seed)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long")
     plan = (aims.join(due, "key").withColumn("_blocks", blocks)
             .withColumn("_full", F.expr("quota div _blocks")).withColumn("_rest", F.col("quota") % F.col("_blocks"))
@@ -127,15 +158,28 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block
             .withColumn("_row", F.row_number().over(within)).join(starts, place)
             .withColumn("_end", F.col("_end") + F.col("_word0")).withColumn("_begin", F.col("_end") - F.col("size")))
 
-    def taken_before(at: str) -> Column:
-        b = f"cast({at} div {block} as decimal(19,0))"
-        steps = f"(({b} * _rest + _offset) div _blocks)"
-        return F.expr(f"{block} * {steps} + (((({b} + 1) * _rest + _offset) div _blocks) - {steps}) * ({at} % {block})")
+    def whole(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    def by_shard(p: Column) -> Column:
+        def words_before(at: Column) -> Column:
+            """Words of the blocks that the shard takes, up to a place in the source."""
+            b = whole(at, F.lit(block))
+            n = whole(b - p["turn"] + (shards - 1), F.lit(shards))
+
+            def times(k: Column) -> Column:
+                return p["full"] * k + whole(k.cast("decimal(19,0)") * p["rest"] + p["offset"], p["own"])
+
+            part = F.when(b % shards == p["turn"], (times(n + 1) - times(n)) * (at % block)).otherwise(0)
+            return times(n) * block + part
+
+        return words_before(F.col("_end")) - words_before(F.col("_begin"))
 
-    taken = F.col("_full") * F.col("size") + taken_before("_end") - taken_before("_begin")
     part = (F.col("_rest") * block).cast("double") / F.greatest(F.col("source_size"), F.lit(1))
     nth = F.col("_row0") + F.col("_row")
     jitter = F.col("_offset").cast("double") / F.col("_blocks")
     extra = F.floor(nth * part + jitter) - F.floor((nth - 1) * part + jitter)
     copies = F.when(F.col("size") > 0, F.least(F.lit(cap), F.col("_full") + extra)).otherwise(F.lit(0)).cast("int")
-    return runs.select(*kept, "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), copies.alias("copies"))
+    shared = runs.withColumn("by_shard", F.transform("picks", by_shard))
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
+    return shared.select(*kept, "size", "source_size", "target", "quota", taken.alias("taken"), "by_shard", copies.alias("copies"))

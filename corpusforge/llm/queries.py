@@ -42,9 +42,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to source weights 5, 2, 1, repeating, to the size of the whole."""
+    """All documents mixed to source weights 5, 2, 1, repeating, to the size of the whole, with the words that each of
+    the 16 shards of the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, WEIGHTS).select("doc_id", "size", "source_size", "target", "taken",
+                                            F.array_join(F.col("by_shard").cast("array<string>"), ",").alias("taken_by_shard"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +154,16 @@ QUERIES = {
     "op13_whitening": op13_whitening,
 }
 
+
+def _words_before(at: str) -> str:
+    """SQL: words up to the place ``at`` of a source in the blocks that shard ``p`` of the mix takes."""
+    block = f"({at} // {mixing.BLOCK})"
+    nth = f"(({block} - p.turn + {mixing.SHARDS - 1}) // {mixing.SHARDS})"
+    times = [f"(p.whole * {k} + ({k}::HUGEINT * p.rest + p.shift) // p.own)" for k in (nth, f"({nth} + 1)")]
+    return (f"({mixing.BLOCK} * {times[0]} + CASE WHEN {block} % {mixing.SHARDS} = p.turn "
+            f"THEN ({times[1]} - {times[0]}) * ({at} % {mixing.BLOCK}) ELSE 0 END)")
+
+
 ORACLE = {
     "op11_conversation_repair": CONVERSATION_SQL,
     # A draw is the md5 of seed, shard and key; only its order counts where weights are equal.
@@ -211,28 +223,37 @@ house AS (
 seats AS (
   SELECT key, target / (2 * seat - 1) AS quotient
   FROM aim, house, LATERAL (SELECT unnest(range(1, 1 + CAST(least(n, 3 * ceil(source_size / {mixing.BLOCK})) AS BIGINT))) AS seat)),
+ranked AS (
+  SELECT key, row_number() OVER (ORDER BY quotient DESC, encode(key)) AS nth FROM seats),
+ends AS (
+  SELECT key, source_size, target, CAST(ceil(source_size / {mixing.BLOCK}) AS BIGINT) AS blocks, shard, n * (shard + 1) // {mixing.SHARDS} AS house,
+         (({mixing.SHARDS} + shard - CAST('0x' || substr(md5('mix:turn:' || key), 1, 8) AS BIGINT) % {mixing.SHARDS}) % {mixing.SHARDS}) AS turn
+  FROM aim, house, range(0, {mixing.SHARDS}) AS r(shard)),
 won AS (
-  SELECT key, count(*) AS quota
-  FROM (SELECT key, row_number() OVER (ORDER BY quotient DESC, encode(key)) AS nth FROM seats), house
-  WHERE nth <= n GROUP BY key),
-plan AS (
-  SELECT key, source_size, target, coalesce(quota, 0) AS quota, greatest(1, CAST(ceil(source_size / {mixing.BLOCK}) AS BIGINT)) AS blocks
-  FROM aim LEFT JOIN won USING (key)),
-offsets AS (
-  SELECT *, quota // blocks AS whole, quota % blocks AS rest,
-         CAST('0x' || substr(md5('mix:blocks:' || key), 1, 8) AS BIGINT) % blocks AS shift
-  FROM plan),
+  SELECT e.key, source_size, target, shard, turn, (blocks - turn + {mixing.SHARDS - 1}) // {mixing.SHARDS} AS own, count(nth) AS upto
+  FROM ends e LEFT JOIN ranked r ON r.key = e.key AND nth <= house GROUP BY ALL),
+queue AS (
+  SELECT *, 3 * sum(own) OVER byshard AS room, max(upto) OVER (PARTITION BY key) AS quota FROM won WINDOW byshard AS (PARTITION BY key ORDER BY shard)),
+served AS (
+  SELECT *, room + least(0, min(upto - room) OVER byshard) AS done FROM queue WINDOW byshard AS (PARTITION BY key ORDER BY shard)),
+got AS (
+  SELECT *, done - lag(done, 1, 0) OVER byshard AS got, quota - max(done) OVER (PARTITION BY key) AS late
+  FROM served WINDOW byshard AS (PARTITION BY key ORDER BY shard)),
+filled AS (
+  SELECT *, got + least(3 * own - got, greatest(0, late - coalesce(sum(3 * own - got) OVER earlier, 0))) AS due
+  FROM got WINDOW earlier AS (PARTITION BY key ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+picks AS (
+  SELECT key, source_size, target, list({{'turn': turn, 'own': held, 'whole': CAST(due AS BIGINT) // held, 'rest': CAST(due AS BIGINT) % held,
+           'shift': CAST('0x' || substr(md5('mix:blocks:' || key || ':' || shard), 1, 8) AS BIGINT) % held}} ORDER BY shard) AS picks
+  FROM (SELECT *, greatest(1, own) AS held FROM filled) GROUP BY key, source_size, target),
 laid AS (
   SELECT doc_id, key, size, CAST(sum(size) OVER (
            PARTITION BY key ORDER BY floor(log2(CAST(size AS DOUBLE) + 1.0) * 8.0), place, size, doc_id NULLS FIRST
            ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM d),
-ends AS (
-  SELECT doc_id, size, source_size, target, whole, rest, shift, blocks, list_transform([stop - size, stop], lambda x:
-         {mixing.BLOCK} * CAST(((x // {mixing.BLOCK})::HUGEINT * rest + shift) // blocks AS BIGINT)
-         + CAST(((x // {mixing.BLOCK} + 1)::HUGEINT * rest + shift) // blocks - ((x // {mixing.BLOCK})::HUGEINT * rest + shift) // blocks AS BIGINT)
-           * (x % {mixing.BLOCK})) AS upto
-  FROM laid JOIN offsets USING (key))
-SELECT doc_id, size, source_size, target, CAST(whole * size + upto[2] - upto[1] AS BIGINT) AS taken FROM ends
+parts AS (
+  SELECT doc_id, size, source_size, target, list_transform(picks, lambda p: CAST({_words_before("stop")} - {_words_before("(stop - size)")} AS BIGINT)) AS parts
+  FROM laid JOIN picks USING (key))
+SELECT doc_id, size, source_size, target, CAST(list_sum(parts) AS BIGINT) AS taken, array_to_string(parts, ',') AS taken_by_shard FROM parts
 """,
 }
