@@ -1,39 +1,49 @@
 """Document fingerprints by Order MinHash, in DataFrame expressions.
 
-A text's items are its k-mers of ``K`` words, each numbered by how often the same k-mer came before it. Every item
-has one place on a ring of hashes. Sketch i starts at i / SKETCHES of the ring and selects the ``TUPLE`` items that
+A text's items are its k-mers of ``K`` units, each numbered by how often the same k-mer came before it. A unit is a
+word of at most ``LONG`` characters; longer words, and runs of scripts that are written without spaces, count
+character by character, so that one changed character changes ``K`` items there too. Every item has one place on a ring of hashes. Sketch i starts at i / SKETCHES of the ring and selects the ``TUPLE`` items that
 follow - the minimal ones in the order that starts there - puts them back into the order of the text, and hashes
 that tuple. Two texts agree in a sketch if they share its items in the same order, so the share of equal sketches
 falls with the edit distance, also where the same words are rearranged.
 
 Everything about one text happens in its own row: arrays of longs are sorted, cut and compared by built-in
 functions, and no k-mer is ever shuffled. A k-mer is held as 36 bits of hash beside 28 bits of position, which
-bounds a text to 2**27 words.
+bounds a text to 2**27 units; Spark's own bound on a row, 2 GiB with its arrays of 8 bytes an item, is met before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.llm.common import let
 
 K, TUPLE, SKETCHES = 2, 2, 64
 PLACE_BITS = 28
 PLACE = (1 << PLACE_BITS) - 1
-#: Quantiles of the key that bound the coarse ranges of the ordered pass, and parts a range for each shuffle partition.
-QUANTILES = 256
-SPACE = r"[ \t\n\x0B\f\r]+"
+#: Characters of a word that still counts as one unit.
+LONG = 24
+#: Quantiles of the key that bound the coarse ranges of the ordered pass, rows for each of its tasks, ranges whose first
+#: rows are broadcast, and parts of a repeated key (by the first two bytes of the text).
+QUANTILES, TASK_ROWS, KNOWN, PARTS = 256, 16384, 1 << 18, 1 << 16
+# Scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Chinese, Japanese).
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
+SPACE = r" \t\n\x0B\f\r"
+INSIDE = f"[^{SPACE}{UNSPACED}]"
+UNIT = f"(?<!{INSIDE}){INSIDE}{{1,{LONG}}}+(?!{INSIDE})|[^{SPACE}]"
 
 
-def _words(text: Column) -> Column:
-    """Words of the whole text; none for a null or blank text."""
-    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE)
-    return F.filter(parts, lambda w: w != "")
+def _units(text: Column) -> Column:
+    """Units of the whole text; none for a null or blank text."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(UNIT), F.lit(0))
 
 
 def _kmers(hashes: Column) -> Column:
-    """Hashes of the runs of ``K`` word hashes; the whole sequence if it is shorter, none if it is empty."""
+    """Hashes of the runs of ``K`` unit hashes; the whole sequence if it is shorter, none if it is empty."""
     def runs(h: Column) -> Column:
         n = F.size(h) - (K - 1)
         out = F.slice(h, 1, n)
@@ -96,7 +106,7 @@ def _sketches(items: Column) -> Column:
 
 def signature(text: Column) -> Column:
     """Array of ``SKETCHES`` longs of the whole text (null: as empty)."""
-    return _sketches(_numbered(_kmers(F.transform(_words(text), lambda w: F.xxhash64(w)))))
+    return _sketches(_numbered(_kmers(F.transform(_units(text), lambda w: F.xxhash64(w)))))
 
 
 def fingerprint(sig: Column) -> Column:
@@ -109,50 +119,74 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"] == p["y"])) / F.lit(float(SKETCHES))
 
 
-def _ranges(docs: DataFrame, key: str) -> Column:
-    """Number of the key range of a row: ranges follow the key order, null last, and hold about equally many rows
-    where keys are spread, whatever their values. ``QUANTILES`` numbers reach the driver; between two of them, equal
-    widths part a range further, as many as the shuffle has partitions."""
-    spark: SparkSession = docs.sparkSession
-    bounds = sorted({int(x) for x in docs.select(F.col(key).cast("double").alias("k")).approxQuantile(
-        "k", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES)) if x is not None})
-    parts = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // QUANTILES))
-    k = F.col(key)
-    if len(bounds) < 2:
-        return F.when(k.isNull(), F.lit(1)).otherwise(F.lit(0))
-
+def _leading(text: Column, skip: Column | int, n: int) -> Column:
+    """The ``n`` bytes of a text after the first ``skip`` as a number that sorts as they do."""
+    start = F.lit(skip) + 1
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), start, F.lit(n))), 2 * n, "0"), 16, 10).cast("long")
+
+
+def _number(docs: DataFrame) -> Column:
+    """``key`` as a number that never falls while keys rise: itself, or of other types the seven bytes of its text that
+    follow what all keys begin with."""
+    if isinstance(docs.schema["key"].dataType, T.NumericType):
+        return F.col("key")
+    low, high = docs.agg(F.min("key").cast("string").cast("binary"), F.max("key").cast("string").cast("binary")).first()
+    same = next((i for i, (a, b) in enumerate(zip(low or b"", high or b"")) if a != b), min(len(low or b""), len(high or b"")))
+    return _leading(F.col("key").cast("string"), same, 7)
+
+
+def _ranges(docs: DataFrame, tasks: int) -> Column:
+    """Number of the key range of a row: ranges follow the key order, null last, about as many as ``tasks``, of about
+    equally many rows where keys are spread. ``QUANTILES`` numbers reach the driver; equal widths part what lies between
+    two of them. A whole number that is several quantiles, and the null key, are parted by the first bytes of the text."""
+    k, kind = _number(docs), docs.schema["key"].dataType
+    found = [int(x) for x in docs.select(k.cast("double").alias("k")).approxQuantile(
+        "k", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES)) if x is not None and math.isfinite(x)]
+    bounds, parts = sorted(set(found)) or [0], max(1, -(-4 * tasks // QUANTILES))
+    heavy = [x for x in bounds if found.count(x) > 1] if isinstance(kind, T.IntegralType) else []
+    part = F.coalesce(_leading(F.col("text"), 0, 2), F.lit(0))
     low = F.array(*(F.lit(b).cast("long") for b in bounds))
 
     def place(q: Column) -> Column:
-        width = F.greatest(F.lit(1), F.ceil((F.get(low, q + 1) - F.get(low, q)) / F.lit(parts)))
-        inner = F.floor((k - F.get(low, q)) / width)
-        return q * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inner)).cast("int")
+        least, above = F.get(low, q), F.get(low, q + 1)
+        width = F.greatest(F.lit(1), F.ceil((above - least) / F.lit(parts)))
+        inner = F.floor((k - least) / width).cast("long")
+        inner = F.when(above.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(parts - 1), inner)))
+        side = F.when(k < least, 0).when(k.isin(heavy) if heavy else F.lit(False), 1).otherwise(2)
+        return (q * parts + inner) * 3 + side
 
-    quantile = F.size(F.filter(low, lambda b: b <= k)) - 1
-    return F.when(k.isNull(), F.lit(len(bounds) * parts)).otherwise(
-        let(F.greatest(F.lit(0), F.least(F.lit(len(bounds) - 2), quantile)), place))
+    quantile = F.greatest(F.lit(0), F.size(F.filter(low, lambda b: b <= k)) - 1)
+    at = let(quantile.cast("long"), place)
+    return (F.when(F.col("key").isNull(), F.lit(3 * len(bounds) * parts + 3) * PARTS + part)
+            .when(at % 3 == 1, at * PARTS + part).otherwise(at * PARTS))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, next_text, _range, _tail): each row's text beside that of the row next by key, the last row's
-    beside the first's; equal keys follow by text, null keys come last.
+    beside the first's; equal keys follow by text, null keys come last. Keys are of any type that sorts.
 
-    Rows are dealt once by key range. A range's last row needs the first of the next range, so first rows go to the
-    range before as well, as ``_tail`` rows, which the caller drops. The first keys of the ranges (as many rows as
-    ranges, the bound of their broadcast) come from a scan of the key alone.
+    Rows are dealt once by key range, to as many tasks as their number asks for. A range's last row needs the first of
+    the next range, so first rows go to the range before as well, as ``_tail`` rows, which the caller drops. The first
+    rows of the ranges, their texts cut to 64 characters, come from a scan of its own; those of at most ``KNOWN``
+    expected ranges are broadcast, of more joined by shuffle. Rows of one repeated key with one text are one range.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    dealt = slim.withColumn("_range", _ranges(slim.select("key"), "key"))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, -(-slim.count() // TASK_ROWS))
+    begins = F.struct(F.col("key"), F.substring("text", 1, 64).alias("text"))
+    dealt = slim.withColumn("_range", _ranges(slim, tasks))
     ranges = Window.orderBy("_range")
     around = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = (dealt.groupBy("_range").agg(F.min("key").alias("_first"))
+    firsts = (dealt.groupBy("_range").agg(F.min(begins).alias("_first"))
               .select(F.col("_range").alias("_own"), "_first",
                       F.coalesce(F.lag("_range").over(ranges), F.last("_range").over(around)).alias("_before")))
-    doubled = dealt.join(F.broadcast(firsts), F.col("_range") == F.col("_own"), "left").select(
-        "key", "text", F.explode(F.when(F.col("key").eqNullSafe(F.col("_first")), F.array(
+    firsts = F.broadcast(firsts) if 4 * tasks <= KNOWN else firsts
+    doubled = dealt.join(firsts, F.col("_range") == F.col("_own"), "left").select(
+        "key", "text", F.explode(F.when(begins.eqNullSafe(F.col("_first")), F.array(
             F.struct(F.col("_range").alias("r"), F.lit(0).alias("tail")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("tail"))))
             .otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("tail"))))).alias("to"))
     laid = doubled.select("key", "text", F.col("to.r").alias("_range"), F.col("to.tail").alias("_tail"))
+    laid = laid.repartition(tasks, "_range") if tasks > usual else laid
     return laid.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(in_order()))
 
 
