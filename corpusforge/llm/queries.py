@@ -87,7 +87,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document: counts and digest of the base kinds, and all reported spans."""
+    """Personal data in every document: counts and digest of the base kinds, and all reported spans with their
+    scores."""
     found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
 
@@ -98,7 +99,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
-                        listed(F.col("spans")).alias("spans"))
+                        listed(F.col("spans")).alias("spans"),
+                        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

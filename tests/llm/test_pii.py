@@ -57,6 +57,33 @@ def test_method_adds_confirmed_kinds():
     assert pii.find("part 123-45-6789 in stock") == []
 
 
+def coded(country, rest):
+    """An IBAN with its check digits."""
+    turned = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(turned) % 97:02d}{rest}"
+
+
+def test_ibans_end_where_their_country_says():
+    rng = random.Random(5)
+    for country, size in pii.IBAN_LENGTH.items():
+        code = coded(country, "".join(rng.choice("0123456789") for _ in range(size - 4)))
+        grouped = " ".join(code[i:i + 4] for i in range(0, size, 4))
+        for shown in (code, grouped):
+            for after in ("", " CALL ME", " 1234", ".", " é", "\nX"):
+                text = f"konto {shown}{after}"
+                assert [s[:2] for s in pii.find(text) if s[2] == "iban"] == [(6, 6 + len(shown))], text
+            assert not [s for s in pii.find(f"konto {shown}7") + pii.find(f"konto Q{shown}") if s[2] == "iban"]
+    assert [s[:3] for s in pii.find("BE68 5390 0754 7034 CALL ME")] == [(0, 19, "iban")]
+
+
+def test_context_decides_for_every_added_kind():
+    code = "GB82 WEST 1234 5698 7654 32"
+    assert [s[2] for s in pii.find(f"pay {code} now")] == ["iban"]
+    assert [s[2] for s in pii.find(f"a test of my bank account {code}")] == ["iban"]
+    assert pii.find(f"an example of a code: {code}") == []
+    assert pii.find("social security test 123-45-6789") == [] and pii.find("example 123-45-6789") == []
+
+
 def test_context_moves_the_score():
     near, far, against = (pii.find(t)[0][3] for t in ("server address 10.1.2.3", "saw 10.1.2.3 there", "version 10.1.2.3"))
     assert near > far > against
