@@ -65,6 +65,64 @@ def test_spans_of_mixed_text_and_scripts():
     assert langid.label("ПРИВЕТ", model)[0] == "ru"
 
 
+def words_in(text):
+    words = langid.words_of(text)
+    return bytes(words.data.astype("uint8")).decode().split()
+
+
+def test_words_are_runs_of_letters_of_one_script():
+    cases = {"hello\u00a0monde": ["hello", "monde"], "“quoted” – it’s": ["quoted", "it", "s"], "你好world": ["你好", "world"], "日本の家 x": ["日本の家", "x"],
+             "e\u0301te\u0301 naïve": ["e\u0301te\u0301", "naïve"], "हिन्दी,भाषा।": ["हिन्दी", "भाषा"], "приветHi5世": ["привет", "hi", "世"], "، !": []}
+    for text, want in cases.items():
+        assert words_in(text) == want, text
+
+
+def test_scripts_are_told_apart():
+    import unicodedata
+    for name, c in {"Telugu": "త", "Kannada": "ಕ", "Malayalam": "മ", "Gujarati": "ગ", "Gurmukhi": "ਗ", "Khmer": "ខ", "Ethiopic": "አ", "Lao": "ລ", "Myanmar": "မ",
+                    "Sinhala": "ස", "Thaana": "ހ", "Syriac": "ܐ"}.items():
+        assert unicodedata.name(c).startswith(name.upper())
+        assert langid.NAMES[langid.scripts_of(langid.np.array([ord(c)]))[0]] == name
+    assert (langid.STARTS[1:] > langid.LAST[:-1]).all()
+
+
+def test_a_switch_inside_a_run_and_letters_as_score():
+    model = model_of([("en", EN * 5), ("ru", RU * 5), ("zh", "你好世界我们在这里看书写字" * 20)], None)
+    text = EN.strip() + "我们在这里看书" + EN.strip()
+    _, share, spans = langid.label(text, model)
+    assert [text[a:b] for a, b, lang in spans if lang == "zh"] == ["我们在这里看书"]
+    letters = sum(map(str.isalpha, text))
+    assert abs(share - (letters - 7) / letters) < 1e-9
+
+
+def test_all_languages_are_learnt(spark, monkeypatch):
+    import random
+    rng, rows = random.Random(4), []
+    names = [f"l{i:03d}" for i in range(300)]
+    for i, name in enumerate(names):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(i * 10 + j, " ".join(rng.choice(words) for _ in range(40)), name) for j in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for cells in (langid.CELLS, 300 << 12):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        model = langid.fit(frame, F.lit(True))
+        assert list(model.languages) == names and model.table.size <= cells
+        found = langid.predict(frame, model).join(frame, "doc_id")
+        assert found.where("lang_pred = lang").count() == len(rows)
+
+
+def test_sample_of_a_language_with_most_rows(spark):
+    """The texts learnt from are the first by hash, however many rows a language has."""
+    import hashlib
+    rows = [(i, f"w{i}a", "en" if i % 50 else "de") for i in range(3000)]
+    place = lambda i: hashlib.md5(f"langid:{i}".encode()).hexdigest()
+    first = sorted((i for i, _, lang in rows if lang == "en"), key=place)[:5] + sorted((i for i, _, lang in rows if lang == "de"), key=place)[:5]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.fit(frame, F.lit(True), per_language=5)
+    want = langid.fit(frame.where(F.col("doc_id").isin(first)), F.lit(True))
+    assert (got.table == want.table).all()
+
+
 def test_short_cut_of_viterbi_gives_the_best_path():
     import itertools
 
