@@ -3,7 +3,12 @@
 The page is cut into blocks at block-level tags; text in scripts, styles, forms and other parts that never hold
 prose is skipped. The first pass labels each block by its region, its length, its link density and its density of
 stop words: good, bad, or short and undecided. In the second pass an undecided block takes the label of its nearest
-decided neighbours; where they differ, the nearer one, or its region, decides.
+decided neighbours; where they differ, the nearer one, or its region, decides. Where no block of the page is good (a
+language without stop words here, or short paragraphs only), undecided paragraphs stay.
+
+Names of classes mark regions, but with care: states of the page (``has-sidebar``) say nothing, names of layout beside
+names of content leave a wrapper to the tests, and an article or main element inside a region that only a name
+marks counts as main if the page has no other main region.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ BOILER = {"nav", "footer", "aside", "menu"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
-          "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements in whose prose a label is a word like others.
+PROSE = {"p", "li", "td", "dd", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end where their next sibling begins, with the tags that end them and those that shelter them.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
              "tr": ({"tr"}, {"table"}), "td": ({"td", "th", "tr"}, {"table"}), "th": ({"td", "th", "tr"}, {"table"})}
@@ -38,6 +45,8 @@ BOILER_NAMES = {
     "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing",
     "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion",
     "pagination", "pager", "copyright", "legal", "disclaimer", "search", "tags", "skip"}
+LAYOUT_NAMES = {"sidebar", "sidenav", "share", "sharing", "social", "related", "menu", "nav", "navbar", "banner", "search", "tags", "widget", "widgets"}
+NOT_MAIN = {"comment", "comments", "reply", "ad", "sponsored"}
 MAIN_NAMES = {"article", "main", "content", "post", "entry", "story", "articlebody"}
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -59,12 +68,14 @@ TAG = re.compile(
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+#: Class names that tell a state of the page, not what an element holds.
+STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:enabled|disabled)", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Block:
-    region: str  # "boiler", "main" or ""
+    region: str  # "boiler", "named" (boilerplate by its name alone), "main", "again" (main inside such) or ""
     tag: str  # the element around the text
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
@@ -79,8 +90,10 @@ class Block:
 
 
 def region_of(tag: str, attributes: str, outer: str) -> str:
-    """Region that an element opens: boilerplate stays boilerplate, a page header is one unless inside the article."""
-    if outer == "boiler" or tag in BOILER or (tag == "header" and outer != "main"):
+    """Region that an element opens: boilerplate stays boilerplate, but for an article or main element where only a name
+    said so; a page header is boilerplate unless inside the article."""
+    inside = outer in ("main", "again")
+    if outer == "boiler" or tag in BOILER or (tag == "header" and not inside):
         return "boiler"
     names: set[str] = set()
     if "none" in attributes and UNSEEN.search(attributes):
@@ -91,14 +104,21 @@ def region_of(tag: str, attributes: str, outer: str) -> str:
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return "boiler"
             if key != "aria-hidden":
-                names.update(x.lower() for x in PART.findall(value))
+                names.update(x.lower() for token in value.split() if not STATE.fullmatch(token) for x in PART.findall(token))
     if tag in ("html", "body"):
         return outer
+    marks = names & BOILER_NAMES
     if tag in MAIN:
-        return "boiler" if not names.isdisjoint({"comment", "comments", "reply", "related", "ad", "sponsored"}) else "main"
-    if not names.isdisjoint(BOILER_NAMES) or ("header" in names and outer != "main" and names.isdisjoint(MAIN_NAMES)):
-        return "boiler"
-    return "main" if outer == "main" or not names.isdisjoint(MAIN_NAMES) else outer
+        if names & NOT_MAIN or (outer == "named" and marks) or ("related" in names and not names & MAIN_NAMES):
+            return "boiler"
+        return "again" if outer in ("named", "again") or "related" in names else "main"
+    if outer == "named":
+        return outer
+    if marks and not inside and names & MAIN_NAMES and marks <= LAYOUT_NAMES:
+        return outer
+    if marks or ("header" in names and not inside and names.isdisjoint(MAIN_NAMES)):
+        return "boiler" if inside or marks & NOT_MAIN else "named"
+    return outer if inside else "main" if names & MAIN_NAMES else outer
 
 
 def blocks(page: str) -> list[Block]:
@@ -163,7 +183,8 @@ def blocks(page: str) -> list[Block]:
             close = low.find("</" + tag, at)
             at = len(page) if close < 0 else close
         region = region_of(tag, m[3], region)
-        skipped = (skipped or tag in SKIPPED) and tag not in MAIN  # a form may wrap the whole page
+        word = tag == "label" and any(x[0] in PROSE for x in stack)
+        skipped = (skipped or (tag in SKIPPED and not word)) and tag not in MAIN  # a form may wrap the whole page
         links += tag == "a"
         stack.append((tag, region, skipped))
         if tag not in INLINE:
@@ -177,7 +198,7 @@ def blocks(page: str) -> list[Block]:
 def first_pass(block: Block, has_main: bool) -> str:
     """good, bad, or short (undecided)."""
     size, density = len(block.text), block.linked / len(block.text)
-    if block.region == "boiler":
+    if block.region in ("boiler", "named", "again"):
         return "bad"
     if block.region == "main" and size >= SHORT and density <= LINKS:
         return "good"
@@ -189,14 +210,19 @@ def first_pass(block: Block, has_main: bool) -> str:
         return "bad"
     if size < (SHORT // 2 if block.tag == "p" else SHORT):
         return "short"
-    return "good" if stops >= STOPS else "short" if not block.linked else "bad"
+    return "good" if stops >= STOPS else "short" if density <= LINKS / 2 else "bad"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is kept: undecided ones follow their nearest decided neighbours. If these differ, a block
     of the main region or a heading before good text is kept, another takes the nearer label; if they are as near,
-    paragraphs are kept."""
+    paragraphs are kept. Where nothing is good, undecided paragraphs and long blocks are, and the headings before them."""
     n = len(labels)
+    if "good" not in labels:
+        text = [x == "short" and (b.tag == "p" or len(b.text) >= SHORT or b.region == "main") for x, b in zip(labels, found)]
+        for i in range(n - 2, -1, -1):
+            text[i] = text[i] or (labels[i] == "short" and found[i].tag in HEADINGS and text[i + 1])
+        return text
     before, after = [(0, "bad")] * n, [(0, "bad")] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
         far, label = n + 1, "bad"
@@ -228,6 +254,10 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_main = any(b.region == "main" for b in found)
+    if not has_main:
+        for b in found:
+            b.region = "main" if b.region == "again" else b.region
+        has_main = any(b.region == "main" for b in found)
     kept = second_pass(found, [first_pass(b, has_main) for b in found])
     return " ".join(b.text for b, keep in zip(found, kept) if keep)
 

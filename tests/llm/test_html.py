@@ -45,6 +45,38 @@ def test_undecided_blocks_follow_their_neighbours():
     assert ext.main_text(f"<nav>{short}</nav>{short}<nav>x</nav>") == ""
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "main-content social-share-enabled", "sidebar", "page with-comments"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p><p>Short.</p></article>", "<main><p>{}</p><p>Short.</p></main>"])
+def test_names_of_wrappers_do_not_hide_an_article(name, inner):
+    assert ext.main_text(f'<body><nav>x</nav><div class="{name}">{inner.format(P1)}</div><footer>{P2}</footer></body>') == f"{P1} Short."
+
+
+def test_wrappers_of_layout_and_content_are_left_to_the_tests():
+    assert ext.main_text(f'<div class="content-sidebar-wrap"><p>{P1}</p><div class="sidebar">{P2}</div></div>') == P1
+
+
+def test_articles_by_name():
+    assert ext.main_text(f'<article class="post related"><p>{P1}</p></article>') == P1
+    assert ext.main_text(f'<article><p>{P1}</p></article><div class="related"><article><p>{P2}</p></article></div>') == P1
+    assert ext.main_text(f'<article><p>{P1}</p></article><article class="post related"><p>{P2}</p></article>') == P1
+    assert ext.main_text(f'<div><p>{P1}</p></div><div id="comments"><article><p>{P2}</p></article></div>') == P1
+    assert ext.main_text(f'<article><p>{P1}</p><div class="post-comments"><article><p>{P2}</p></article></div></article>') == P1
+    assert ext.main_text(f'<aside><article><p>{P2}</p></article></aside><p>{P1}</p>') == P1
+
+
+def test_prose_without_known_stop_words():
+    polish = "Wczoraj wieczorem nad rzeką zebrało się kilkadziesiąt osób, żeby wspólnie obejrzeć pokaz sztucznych ogni."
+    chinese = "昨天晚上，数十人聚集在河边观看烟花表演。"
+    for prose in (polish, chinese):
+        page = f"<nav><a href=/>Start</a></nav><h1>T</h1><p>{prose}</p><p>{prose} <a href=x>42</a></p><div class=cookie-notice>{polish}</div><footer>{prose}</footer>"
+        assert ext.main_text(page) == f"T {prose} {prose} 42"
+
+
+def test_short_paragraphs_alone_and_labels():
+    assert ext.main_text("<p>One short line.</p><p>And one more.</p><div><a href=x>Home</a></div>") == "One short line. And one more."
+    assert ext.main_text(f"<article><p>Take <label>this</label> word. {P1}</p><form><label>Not this</label></form><label>nor this</label></article>") == f"Take this word. {P1}"
+
+
 def test_given_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in ext.extract(rows).collect()}
