@@ -27,9 +27,9 @@ PLACE_BITS = 28
 PLACE = (1 << PLACE_BITS) - 1
 #: Characters of a word that still counts as one unit.
 LONG = 24
-#: Quantiles of the key that bound the coarse ranges of the ordered pass, rows for each of its tasks, ranges whose first
-#: rows are broadcast, and parts of a repeated key (by the first two bytes of the text).
-QUANTILES, TASK_ROWS, KNOWN, PARTS = 256, 16384, 1 << 18, 1 << 16
+#: Quantiles of the key that bound the coarse ranges of the ordered pass, rows for each of its tasks and ranges dealt to
+#: each, ranges whose first rows are broadcast, and parts of a repeated key (by the first two bytes of the text).
+QUANTILES, TASK_ROWS, TASK_RANGES, KNOWN, PARTS = 256, 8192, 8, 1 << 19, 1 << 16
 # Scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Chinese, Japanese).
 UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
 SPACE = r" \t\n\x0B\f\r"
@@ -136,13 +136,13 @@ def _number(docs: DataFrame) -> Column:
 
 
 def _ranges(docs: DataFrame, tasks: int) -> Column:
-    """Number of the key range of a row: ranges follow the key order, null last, about as many as ``tasks``, of about
+    """Number of the key range of a row: ranges follow the key order, null last, ``TASK_RANGES`` for each of ``tasks``, of about
     equally many rows where keys are spread. ``QUANTILES`` numbers reach the driver; equal widths part what lies between
     two of them. A whole number that is several quantiles, and the null key, are parted by the first bytes of the text."""
     k, kind = _number(docs), docs.schema["key"].dataType
     found = [int(x) for x in docs.select(k.cast("double").alias("k")).approxQuantile(
         "k", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES)) if x is not None and math.isfinite(x)]
-    bounds, parts = sorted(set(found)) or [0], max(1, -(-4 * tasks // QUANTILES))
+    bounds, parts = sorted(set(found)) or [0], max(1, -(-TASK_RANGES * tasks // QUANTILES))
     heavy = [x for x in bounds if found.count(x) > 1] if isinstance(kind, T.IntegralType) else []
     part = F.coalesce(_leading(F.col("text"), 0, 2), F.lit(0))
     low = F.array(*(F.lit(b).cast("long") for b in bounds))
@@ -180,7 +180,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     firsts = (dealt.groupBy("_range").agg(F.min(begins).alias("_first"))
               .select(F.col("_range").alias("_own"), "_first",
                       F.coalesce(F.lag("_range").over(ranges), F.last("_range").over(around)).alias("_before")))
-    firsts = F.broadcast(firsts) if 4 * tasks <= KNOWN else firsts
+    firsts = F.broadcast(firsts) if TASK_RANGES * tasks <= KNOWN else firsts
     doubled = dealt.join(firsts, F.col("_range") == F.col("_own"), "left").select(
         "key", "text", F.explode(F.when(begins.eqNullSafe(F.col("_first")), F.array(
             F.struct(F.col("_range").alias("r"), F.lit(0).alias("tail")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("tail"))))
