@@ -1,13 +1,17 @@
 """Work that must grow no faster than the rows: what is looked at one by one, dealt by a few keys or held at once."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from conftest import SF001
 
 from corpusforge.functions.rules import NEEDS, normalise_tokenise
 from corpusforge.operators import bpe, rows
 from corpusforge.operators.sentences import split_sentences
 from corpusforge.operators.truecase import detruecase, flagged, not_starting
+from corpusforge.plans import catalog
 from corpusforge.plans.composites import preprocess_monolingual
 
 
@@ -62,3 +66,33 @@ def test_proposals_go_on_after_merges(spark):
     words = [([rnd.choice("ab") for _ in range(rnd.randint(1, 9))], rnd.randint(1, 9)) for _ in range(80)]
     whole = bpe.Proposer(words, {}).propose(40, 2)
     assert len(whole) == 40 and bpe.Proposer(words, {}, whole[:15]).propose(25, 2) == whole[15:]
+
+
+def test_words_replayed_by_arrays():
+    """All words at once change the counts of pairs as word after word does, also where merges come in another order."""
+    rnd = random.Random(3)
+    for trial in range(60):
+        words = [([rnd.choice("ab" if trial % 2 else "abc") for _ in range(rnd.randint(1, 9))], rnd.randint(1, 9)) for _ in range(30)]
+        merges = bpe.Proposer(words, {}).propose(rnd.randint(0, 20), 2)
+        rnd.shuffle(merges)
+        base, steps, want, got = rnd.randint(0, len(merges)), bpe.steps_of(merges), Counter(), Counter()
+        for syms, freq in words:
+            want.update({(pair, 0): freq * n for pair, n in Counter(zip(syms, syms[1:])).items()})
+            for step, before, after in bpe.replay(syms, steps):
+                for sign, some in ((-freq, before), (freq, after)):
+                    for pair in zip(some, some[1:]):
+                        want[pair, max(step - base + 1, 0)] += sign
+        book = bpe.Numbered.of(["a", "b", "c"], merges)
+        sym, lengths = (np.array(x) for x in ([book.ids[s] for w, _ in words for s in w], [len(w) for w, _ in words]))
+        for keys, word, sign in book.replayed(sym, lengths, base):
+            for key, w in zip(keys.tolist(), word.tolist()):
+                got[book.pair(key >> book.step_bits), key & (1 << book.step_bits) - 1] += sign * words[w][1]
+        assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
+
+
+def test_rare_words_stand_for_others(spark, monkeypatch):
+    words = spark.createDataFrame([(f"w{i}", 9 if i < 20 else 1, "a b") for i in range(2_000)], "word string, freq long, syms string")
+    assert {(r.freq, r.weight) for r in bpe.weighed(words).collect()} == {(9, 9), (1, 1)}
+    monkeypatch.setattr(bpe, "PROPOSAL_WORDS", 400)
+    seen = [(r.freq, r.weight) for r in bpe.weighed(words).where("weight > 0").collect()]
+    assert set(seen) == {(9, 9), (1, 10)} and 120 < len(seen) < 300
