@@ -96,3 +96,9 @@ def test_rare_words_stand_for_others(spark, monkeypatch):
     monkeypatch.setattr(bpe, "PROPOSAL_WORDS", 400)
     seen = [(r.freq, r.weight) for r in bpe.weighed(words).where("weight > 0").collect()]
     assert set(seen) == {(9, 9), (1, 10)} and 120 < len(seen) < 300
+
+
+def test_lines_are_tokenised_once_for_bpe(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "BPE_VOCAB", 400)
+    for name in ("segment_corpus", "subword_encode_bpe"):
+        assert "regexp_replace" not in plan_of(catalog.QUERIES[name](spark, SF001))
