@@ -10,7 +10,8 @@ from conftest import SF001
 from corpusforge.functions.rules import NEEDS, normalise_tokenise
 from corpusforge.operators import bpe, rows
 from corpusforge.operators.sentences import split_sentences
-from corpusforge.operators.truecase import detruecase, flagged, not_starting
+from corpusforge.operators.lookup import Split
+from corpusforge.operators.truecase import cased, cased_lines, detruecase, flagged, not_starting
 from corpusforge.plans import catalog
 from corpusforge.plans.composites import preprocess_monolingual
 
@@ -102,3 +103,27 @@ def test_lines_are_tokenised_once_for_bpe(spark, monkeypatch):
     monkeypatch.setattr(catalog, "BPE_VOCAB", 400)
     for name in ("segment_corpus", "subword_encode_bpe"):
         assert "regexp_replace" not in plan_of(catalog.QUERIES[name](spark, SF001))
+
+
+def test_lines_cased_by_arrays():
+    """Tokens cased all at once are those cased one after another; a token without cases never leaves its line."""
+    rnd = random.Random(6)
+    model = {"en\u0001the": {"_best": "the", "_forms": ["the", "The"]}, "en\u0001paris": {"_best": "Paris", "_forms": ["Paris"]}, "en\u0001x": None}
+    words = ["the", "The", "THE", "paris", "Paris", "X", "x", ".", "?", '"', "(", "12", "", "Rare", "rare"]
+    lines = [None, "", " ", *(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(300))]
+    rows = [{"line": x, "low": x and x.lower(), "prefix": rnd.choice(["en\u0001", "de\u0001"])} for x in lines]
+    rest = pa.list_(pa.struct([("i", pa.int32()), ("key", pa.string()), ("t", pa.string()), ("s", pa.bool_())]))
+    kind = pa.struct([("text", pa.string()), ("rest", rest)])
+    given = pa.array(rows, pa.struct([(c, pa.string()) for c in ("line", "low", "prefix")]))
+    for whole in (False, True):
+        for start in (0, 7):  # also of a slice
+            for row, got in zip(rows[start:], cased_lines(given[start:], Split(model, whole), kind).to_pylist(), strict=True):
+                toks = [t for t in (row["line"] or "").split(" ") if t]
+                want, left = [], []
+                for i, (t, s) in enumerate(zip(toks, flagged(toks))):
+                    key = row["prefix"] + t.lower()
+                    v = model.get(key)
+                    want.append(cased(t, s, v["_best"], v["_forms"]) if v else t)
+                    if not whole and key not in model and t.upper() != t.lower():
+                        left.append({"i": i, "key": key, "t": t, "s": s})
+                assert (got["text"], got["rest"]) == (" ".join(want), left)
